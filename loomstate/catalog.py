@@ -1,6 +1,467 @@
-"""Every query of the library's own operators, by name, and its SQL twin."""
+"""Every query of the library's own operators, by name, and its SQL twin.
+
+A query applies one operator to whole tables: `events` as ledgers, contracts and logs, `lineitem` as effects,
+`orders` as futures to choose from, `customer` as a tree of futures.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import contracts, effects, folding, lineage, logs, merging, selecting
+from .sources.ledger import OPS_SQL, operations, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+KEY = ["execution_id", "key"]
+AFFINE_SQL = f"""WITH {OPS_SQL}, a AS (
+  SELECT *, CASE kind WHEN 'set' THEN 0 WHEN 'compute' THEN -1 ELSE 1 END AS scale FROM ops WHERE kind <> 'sleep')"""
+
+
+# Folds
+
+
+@query("state_fold_affine", AFFINE_SQL + """, n AS (
+  SELECT *, max(CASE WHEN scale = 0 THEN seq END) OVER (PARTITION BY execution_id, key) AS last_set,
+         count(CASE WHEN scale = -1 THEN 1 END) OVER (PARTITION BY execution_id, key ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS turns FROM a)
+SELECT execution_id, key, CAST(sum(CASE WHEN last_set IS NULL OR seq >= last_set THEN amount * (CASE WHEN turns % 2 = 1 THEN -1 ELSE 1 END) ELSE 0 END) AS BIGINT) AS value
+FROM n GROUP BY ALL""")
+def state_fold_affine(spark, d):
+    return folding.fold_affine(operations(spark, d), KEY)
+
+
+CLOSED_SQL = f"""WITH {OPS_SQL}, a AS (SELECT * FROM ops WHERE kind IN ('set', 'add')),
+l AS (SELECT execution_id, key, max(seq) AS f FROM a WHERE kind = 'set' GROUP BY ALL)"""
+
+
+@query("state_fold_closed", CLOSED_SQL + " SELECT execution_id, key, CAST(sum(amount) AS BIGINT) AS value FROM a LEFT JOIN l USING (execution_id, key) WHERE f IS NULL OR seq >= f GROUP BY ALL")
+def state_fold_closed(spark, d):
+    return folding.fold_closed(operations(spark, d), KEY)
+
+
+@query("state_prefix_versions", f"""WITH {OPS_SQL}, a AS (SELECT *, CAST(sum(CASE WHEN kind = 'set' THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id, key ORDER BY seq) AS BIGINT) AS segment FROM ops WHERE kind IN ('set', 'add'))
+SELECT execution_id, key, seq, segment, CAST(sum(amount) OVER (PARTITION BY execution_id, key, segment ORDER BY seq) AS BIGINT) AS value FROM a""")
+def state_prefix_versions(spark, d):
+    return folding.prefix_states(operations(spark, d), KEY).select(*KEY, "seq", "segment", "value")
+
+
+@query("affine_maps", AFFINE_SQL + " SELECT execution_id, seq, kind, CAST(scale AS BIGINT) AS scale, amount AS addend FROM a")
+def affine_maps(spark, d):
+    return folding.affine(operations(spark, d)).select("execution_id", "seq", "kind", "scale", "addend")
+
+
+RUNS_SQL = f"""WITH {OPS_SQL}, m AS (SELECT *, kind = 'sleep' AS barrier, lag(key) OVER w AS k0, lag(kind = 'sleep', 1, true) OVER w AS b0 FROM ops WINDOW w AS (PARTITION BY execution_id ORDER BY seq)),
+r AS (SELECT *, CAST(sum(CASE WHEN barrier OR b0 OR k0 <> key THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id ORDER BY seq) AS BIGINT) AS run FROM m)"""
+
+
+@query("delta_runs", RUNS_SQL + " SELECT execution_id, run, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS ops FROM r GROUP BY ALL")
+def delta_runs(spark, d):
+    return folding.runs(operations(spark, d)).groupBy("execution_id", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("ops"))
+
+
+@query("delta_coalesce", RUNS_SQL + """, s AS (SELECT *, CASE kind WHEN 'set' THEN 0 WHEN 'compute' THEN -1 ELSE 1 END AS scale, CASE WHEN barrier THEN 0 ELSE amount END AS addend FROM r),
+t AS (SELECT *, count(CASE WHEN scale = -1 THEN 1 END) OVER w AS turns, count(CASE WHEN scale = 0 THEN 1 END) OVER w AS sets FROM s
+      WINDOW w AS (PARTITION BY execution_id, run ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT execution_id, run, max(seq) AS seq, arg_max(kind, seq) AS k, arg_max(key, seq) AS key, count(*) AS folded, bool_or(barrier) AS barrier,
+        CAST(CASE WHEN bool_or(scale = 0) THEN 0 WHEN count(CASE WHEN scale = -1 THEN 1 END) % 2 = 1 THEN -1 ELSE 1 END AS BIGINT) AS scale,
+        CAST(sum(CASE WHEN sets > 0 THEN 0 WHEN turns % 2 = 1 THEN -addend ELSE addend END) AS BIGINT) AS addend FROM t GROUP BY execution_id, run)
+SELECT execution_id, seq, CASE WHEN folded > 1 THEN 'compute' ELSE k END AS kind, key, scale, addend, folded FROM g WHERE barrier OR NOT (scale = 1 AND addend = 0)""")
+def delta_coalesce(spark, d):
+    return folding.coalesce_runs(operations(spark, d))
+
+
+# States and merges
+
+SIDES = {"base": (0, 1, 2), "ours": (0, 1, 2, 3, 4), "theirs": (0, 1, 2, 5, 6)}
+
+
+def sides(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Three states of each execution: common slices of its events, and two that add slices of their own."""
+    ops = operations(spark, d)
+    return {n: ops.where((F.col("seq") % 7).isin(*s)).groupBy(*KEY).agg((F.sum("amount") % 5).alias("value")) for n, s in SIDES.items()}
+
+
+SIDES_SQL = f"WITH {OPS_SQL}, " + ", ".join(f"{n} AS (SELECT execution_id, key, CAST(sum(amount) % 5 AS BIGINT) AS value FROM ops WHERE seq % 7 IN {s} GROUP BY ALL)" for n, s in SIDES.items())
+MERGE_SQL = SIDES_SQL + """, m AS (
+  SELECT execution_id, key, coalesce(b.value, 0) AS base, coalesce(o.value, 0) AS ours, coalesce(t.value, 0) AS theirs
+  FROM ours o FULL JOIN theirs t USING (execution_id, key) LEFT JOIN base b USING (execution_id, key)),
+c AS (SELECT *, ours <> base AND theirs <> base AND ours <> theirs AS conflict FROM m)"""
+
+
+def merged(spark, d):
+    s = sides(spark, d)
+    return merging.merge(s["base"], s["ours"], s["theirs"])
+
+
+@query("state_diff", SIDES_SQL + " SELECT execution_id, key, coalesce(o.value, 0) AS a, coalesce(t.value, 0) AS b FROM ours o FULL JOIN theirs t USING (execution_id, key) WHERE coalesce(o.value, 0) <> coalesce(t.value, 0)")
+def state_diff(spark, d):
+    s = sides(spark, d)
+    return merging.diff(s["ours"], s["theirs"])
+
+
+@query("state_logical_eq", SIDES_SQL + " SELECT execution_id, bool_and(o.value IS NOT DISTINCT FROM t.value) AS equal FROM ours o FULL JOIN theirs t USING (execution_id, key) GROUP BY ALL")
+def state_logical_eq(spark, d):
+    s = sides(spark, d)
+    return merging.logically_equal(s["ours"], s["theirs"])
+
+
+@query("state_address", SIDES_SQL + " SELECT execution_id, sha256(string_agg(key || '=' || CAST(value AS VARCHAR), ',' ORDER BY key || '=' || CAST(value AS VARCHAR))) AS node FROM ours GROUP BY ALL")
+def state_address(spark, d):
+    return merging.address(sides(spark, d)["ours"])
+
+
+@query("state_store_dedup", SIDES_SQL + """, a AS (SELECT execution_id, sha256(string_agg(key || '=' || CAST(value AS VARCHAR), ',' ORDER BY key || '=' || CAST(value AS VARCHAR))) AS node FROM ours GROUP BY ALL)
+SELECT count(DISTINCT node) AS distinct_states, count(*) - count(DISTINCT node) AS deduped FROM a""")
+def state_store_dedup(spark, d):
+    nodes = merging.address(sides(spark, d)["ours"])
+    return nodes.agg(F.count_distinct("node").alias("distinct_states"), (F.count("*") - F.count_distinct("node")).alias("deduped"))
+
+
+@query("three_way_merge", MERGE_SQL + " SELECT execution_id, key, base, ours, theirs, CASE WHEN conflict THEN NULL WHEN ours = base THEN theirs ELSE ours END AS merged, conflict FROM c")
+def three_way_merge(spark, d):
+    return merged(spark, d)
+
+
+@query("merge_conflicts", MERGE_SQL + " SELECT execution_id, key, base, ours, theirs FROM c WHERE conflict")
+def merge_conflicts(spark, d):
+    return merging.conflicts(merged(spark, d))
+
+
+for _policy, _side in (("abort", "theirs"), ("take_future", "ours")):
+
+    @query(f"commit_trunk_{_policy}", MERGE_SQL + f""", w AS (SELECT *, bool_or(conflict) OVER (PARTITION BY execution_id) AS conflicted FROM c)
+SELECT execution_id, key, CASE WHEN conflicted THEN {_side} WHEN ours = base THEN theirs ELSE ours END AS value, conflicted FROM w""")
+    def _commit(spark, d, policy=_policy):
+        return merging.commit(merged(spark, d), policy)
+
+
+@query("fork_state", SIDES_SQL + ", arms AS (SELECT * FROM (VALUES (0, 10), (1, 20), (2, 15)) t(arm, gain)) SELECT execution_id, arm, key, value + gain * (CASE key WHEN 'k0' THEN 1 ELSE 0 END) AS value FROM base, arms")
+def fork_state(spark, d):
+    """Every state handed to each arm of a plan's fork; the arms' own step adds to one key. The arms are part of the plan: three rows."""
+    arms = F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(g).alias("gain")) for a, g in ((0, 10), (1, 20), (2, 15))))
+    forked = sides(spark, d)["base"].withColumn("a", F.explode(arms))
+    return forked.select("execution_id", F.col("a.arm").alias("arm"), "key", (F.col("value") + F.when(F.col("key") == "k0", F.col("a.gain")).otherwise(0)).alias("value"))
+
+
+# Selection
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(
+        F.col("o_custkey").alias("execution_id"), F.col("o_orderkey").alias("future_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("evaluable").alias("status"),
+        F.floor(F.col("o_totalprice") / 1000).cast("long").alias("head"), (F.col("o_orderkey") % 97).alias("cost_ms"), (F.col("o_orderkey") % 3).alias("irreversible_deferred"),
+    )
+
+
+CANDIDATES_SQL = "WITH c AS (SELECT o_custkey AS execution_id, o_orderkey AS future_id, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'evaluable' END AS status, CAST(floor(o_totalprice / 1000) AS BIGINT) AS head, o_orderkey % 97 AS cost_ms, o_orderkey % 3 AS irreversible_deferred FROM orders)"
+SCORES = {"highest_score": "head", "lowest_score": "-head", "cheapest": "-cost_ms", "first_by_identity": "0", "only_without_irreversible": "CASE WHEN irreversible_deferred = 0 THEN head END"}
+
+
+def _winners(score: str) -> str:
+    return CANDIDATES_SQL + f", w AS (SELECT execution_id, future_id, CAST({score} AS BIGINT) AS score, row_number() OVER (PARTITION BY execution_id ORDER BY {score} DESC, future_id) AS r FROM c WHERE status = 'evaluable' AND {score} IS NOT NULL)"
+
+
+for _name, _score in SCORES.items():
+
+    @query(f"select_{_name}", _winners(_score) + " SELECT execution_id, future_id, score FROM w WHERE r = 1")
+    def _select(spark, d, name=_name):
+        return selecting.select_future(candidates(spark, d), name)
+
+
+@query("select_settle", _winners("head") + """ SELECT c.execution_id, c.future_id, CASE WHEN status = 'failed' THEN 'failed' WHEN w.future_id IS NULL THEN status WHEN w.future_id = c.future_id THEN 'committed' ELSE 'rejected' END AS status
+FROM c LEFT JOIN w ON w.execution_id = c.execution_id AND w.r = 1""")
+def select_settle(spark, d):
+    c = candidates(spark, d)
+    return selecting.settle(c, selecting.select_future(c, "highest_score"))
+
+
+@query("select_ready", CANDIDATES_SQL + " SELECT execution_id, bool_and(status IN ('evaluable', 'failed', 'rejected', 'committed')) AS ready FROM c GROUP BY ALL")
+def select_ready(spark, d):
+    return selecting.ready(candidates(spark, d))
+
+
+@query("percentile_nearest_rank", CANDIDATES_SQL + ", r AS (SELECT execution_id, head, row_number() OVER (PARTITION BY execution_id ORDER BY head) AS r, count(*) OVER (PARTITION BY execution_id) AS n FROM c) SELECT execution_id, head AS value FROM r WHERE r = greatest(1, CAST(ceil(0.95 * n) AS BIGINT))")
+def percentile_nearest_rank(spark, d):
+    return selecting.nearest_rank(candidates(spark, d), ["execution_id"], "head", 0.95)
+
+
+# Effects
+
+
+def recorded(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of lineitem: an order is an execution, its lines are the effects of futures 0 (the trunk) to 2."""
+    cls = F.array(*map(F.lit, effects.CLASSES))
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("execution_id"), (F.col("l_suppkey") % 3).alias("future_id"), F.col("l_linenumber").cast("long").alias("ordinal"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.element_at(cls, (F.col("l_partkey") % 5 + 1).cast("int")).alias("class"),
+        F.col("l_quantity").cast("long").alias("args"), (F.col("l_suppkey") % 3 == 0).alias("authoritative"), F.col("l_partkey").alias("part"),
+    )
+
+
+EFFECTS_SQL = """WITH e AS (SELECT l_orderkey AS execution_id, l_suppkey % 3 AS future_id, CAST(l_linenumber AS BIGINT) AS ordinal, l_orderkey * 10 + l_linenumber AS seq,
+  CASE l_partkey % 5 WHEN 0 THEN 'pure' WHEN 1 THEN 'read' WHEN 2 THEN 'idempotent_write' WHEN 3 THEN 'compensatable' ELSE 'irreversible' END AS class,
+  CAST(floor(l_quantity) AS BIGINT) AS args, l_suppkey % 3 = 0 AS authoritative, l_partkey AS part FROM lineitem),
+x AS (SELECT *, CASE WHEN authoritative OR class IN ('pure', 'read', 'idempotent_write') THEN 'performed' ELSE 'deferred' END AS disposition FROM e)"""
+EFFECT_COLUMNS = ["execution_id", "future_id", "ordinal", "class", "args", "disposition"]
+
+
+@query("effect_disposition", EFFECTS_SQL + f" SELECT {', '.join(EFFECT_COLUMNS)} FROM x")
+def effect_disposition(spark, d):
+    return effects.disposition(recorded(spark, d)).select(*EFFECT_COLUMNS)
+
+
+@query("effect_keys", EFFECTS_SQL + " SELECT 'e' || execution_id || '/' || CASE WHEN future_id = 0 THEN 'trunk' ELSE (future_id - 1) || '.' || (part % 2) END || '.e' || ordinal AS effect_key FROM x")
+def effect_keys(spark, d):
+    path = F.when(F.col("future_id") == 0, F.array().cast("array<int>")).otherwise(F.array(F.col("future_id") - 1, F.col("part") % 2).cast("array<int>"))
+    return recorded(spark, d).select(effects.effect_key(F.col("execution_id"), path, F.col("ordinal")).alias("effect_key"))
+
+
+
+
+@query("effect_dedup", EFFECTS_SQL + """, t AS (SELECT 'p' || part AS effect_key, seq, class, args, row_number() OVER (PARTITION BY part ORDER BY seq, args) AS r, count(*) OVER (PARTITION BY part) - 1 AS dedup_hits FROM e)
+SELECT effect_key, seq, class, CASE WHEN class = 'read' THEN args * 2 + 1 END AS result, dedup_hits FROM t WHERE r = 1""")
+def effect_dedup(spark, d):
+    attempts = recorded(spark, d).select(F.concat(F.lit("p"), F.col("part").cast("string")).alias("effect_key"), "class", "args", F.struct("seq", "args").alias("seq"))
+    return effects.first_results(attempts).select("effect_key", F.col("seq.seq").alias("seq"), "class", "result", "dedup_hits")
+
+
+@query("effect_pending_release", EFFECTS_SQL + f" SELECT {', '.join(EFFECT_COLUMNS)} FROM x WHERE disposition = 'deferred' AND class NOT IN ('pure', 'read')")
+def effect_pending_release(spark, d):
+    return effects.pending_release(effects.disposition(recorded(spark, d))).select(*EFFECT_COLUMNS)
+
+
+@query("effect_owed", EFFECTS_SQL + """, c AS (SELECT DISTINCT execution_id, ordinal FROM x WHERE disposition = 'deferred' AND class NOT IN ('pure', 'read')), r AS (SELECT execution_id, ordinal FROM x WHERE args % 2 = 0)
+SELECT * FROM c ANTI JOIN r USING (execution_id, ordinal)""")
+def effect_owed(spark, d):
+    e = effects.disposition(recorded(spark, d))
+    commits = effects.pending_release(e).groupBy("execution_id").agg(F.collect_set("ordinal").alias("release"))
+    return effects.owed(commits, e.where("args % 2 = 0").select("execution_id", "ordinal"))
+
+
+@query("effect_reclaimable", EFFECTS_SQL + """, f AS (SELECT o_orderkey AS execution_id, k AS future_id FROM orders, (VALUES (0), (1), (2)) t(k) WHERE o_orderstatus = 'F')
+SELECT """ + ", ".join(EFFECT_COLUMNS) + " FROM x SEMI JOIN f USING (execution_id, future_id) WHERE disposition <> 'deferred'")
+def effect_reclaimable(spark, d):
+    ended = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("running")
+    futures = table(spark, d, "orders").select(F.col("o_orderkey").alias("execution_id"), F.explode(F.expr("sequence(0L, 2L)")).alias("future_id"), ended.alias("status"))
+    return effects.reclaimable(effects.disposition(recorded(spark, d)), futures).select(*EFFECT_COLUMNS)
+
+
+@query("effect_classes", EFFECTS_SQL + " SELECT execution_id, class, min(seq) AS first_seq FROM e GROUP BY ALL")
+def effect_classes(spark, d):
+    return effects.classes_in_order(recorded(spark, d))
+
+
+@query("effect_sinks", EFFECTS_SQL + """ SELECT execution_id, count(*) AS attempts, count(CASE WHEN disposition = 'performed' THEN 1 END) AS performed, count(CASE WHEN class = 'read' THEN 1 END) AS observable, count(CASE WHEN class <> 'read' THEN 1 END) AS suppressed FROM x GROUP BY ALL""")
+def effect_sinks(spark, d):
+    """What a performing, an observing and a suppressing sink would each see."""
+    e = effects.disposition(recorded(spark, d))
+    return e.groupBy("execution_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("disposition") == "performed").alias("performed"), F.count_if(F.col("class") == "read").alias("observable"), F.count_if(F.col("class") != "read").alias("suppressed"))
+
+
+# Logs
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("execution_id"), F.col("event_id").alias("seq"), (F.octet_length(F.coalesce("props", F.lit(""))) + 8).cast("long").alias("size"), (F.col("event_id") % 97 != 13).alias("valid"))
+
+
+FRAMES_SQL = "WITH f AS (SELECT user_id AS execution_id, event_id AS seq, strlen(coalesce(props, '')) + 8 AS size, event_id % 97 <> 13 AS valid FROM events), b AS (SELECT execution_id, min(seq) AS bad FROM f WHERE NOT valid GROUP BY ALL), g AS (SELECT f.*, bad FROM f LEFT JOIN b USING (execution_id)), p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY execution_id ORDER BY seq) AS BIGINT) AS end_pos FROM f), o AS (SELECT execution_id, seq, size, valid, end_pos, end_pos - size AS \"offset\" FROM p)"
+
+
+@query("log_valid_prefix", FRAMES_SQL + " SELECT execution_id, seq, size FROM g WHERE bad IS NULL OR seq < bad")
+def log_valid_prefix(spark, d):
+    return logs.valid_prefix(frames(spark, d)).select("execution_id", "seq", "size")
+
+
+@query("log_torn_bytes", FRAMES_SQL + " SELECT execution_id, count(CASE WHEN bad IS NULL OR seq < bad THEN 1 END) AS kept, count(CASE WHEN seq >= bad THEN 1 END) AS dropped, CAST(coalesce(sum(CASE WHEN seq >= bad THEN size END), 0) AS BIGINT) AS torn_bytes FROM g GROUP BY ALL")
+def log_torn_bytes(spark, d):
+    return logs.torn(frames(spark, d))
+
+
+FRONTIER = 900
+for _name, _test, _f in (("log_commit_prefix", f"end_pos <= {FRONTIER}", logs.commit_prefix), ("log_read_from", f"\"offset\" >= {FRONTIER}", logs.read_from), ("log_truncate_to", f"\"offset\" < {FRONTIER}", logs.truncate_to)):
+
+    @query(_name, FRAMES_SQL + f" SELECT execution_id, seq, \"offset\", end_pos FROM o WHERE {_test}")
+    def _positions(spark, d, f=_f):
+        return f(logs.offsets(frames(spark, d)), F.lit(FRONTIER)).select("execution_id", "seq", "offset", "end_pos")
+
+
+@query("log_boundary", FRAMES_SQL + f" SELECT execution_id, bool_or(\"offset\" = {FRONTIER} OR end_pos = {FRONTIER}) AS at_boundary FROM o GROUP BY ALL")
+def log_boundary(spark, d):
+    return logs.boundary(logs.offsets(frames(spark, d)), F.lit(FRONTIER))
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("execution_id").orderBy("seq")
+    s = operations(spark, d).select("execution_id", "seq", F.when(F.col("seq") % 53 == 5, F.col("seq") - 60).otherwise(F.col("seq")).alias("version"))
+    return s.withColumn("parent", F.when(F.col("seq") % 41 == 7, -1).otherwise(F.lag("version", 1, 0).over(w)))
+
+
+STEPS_SQL = "WITH s AS (SELECT user_id AS execution_id, event_id AS seq, CASE WHEN event_id % 53 = 5 THEN event_id - 60 ELSE event_id END AS version FROM events), t AS (SELECT *, lag(version, 1, 0) OVER (PARTITION BY execution_id ORDER BY seq) AS before, lag(version) OVER (PARTITION BY execution_id ORDER BY seq) AS prior FROM s), p AS (SELECT *, CASE WHEN seq % 41 = 7 THEN -1 ELSE before END AS parent FROM t)"
+
+
+@query("log_gap_freeze", STEPS_SQL + ", g AS (SELECT *, sum(CASE WHEN parent <> before THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id ORDER BY seq) AS gaps FROM p) SELECT execution_id, seq, version FROM g WHERE gaps = 0")
+def log_gap_freeze(spark, d):
+    return logs.freeze_at_gaps(steps(spark, d), ["execution_id"]).select("execution_id", "seq", "version")
+
+
+@query("log_chain_check", STEPS_SQL + " SELECT execution_id, seq, prior AS before, version FROM p WHERE version <= prior")
+def log_chain_check(spark, d):
+    return logs.chain_breaks(steps(spark, d), ["execution_id"])
+
+
+@query("ledger_metrics", f"WITH {OPS_SQL} SELECT execution_id, count(*) AS records, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {k}_records" for k in ("set", "add", "compute", "sleep")) + ", min(seq) AS first_seq, max(seq) AS last_seq FROM ops GROUP BY ALL")
+def ledger_metrics(spark, d):
+    return logs.metrics(operations(spark, d), ["execution_id"])
+
+
+@query("strategy_agreement", CLOSED_SQL + " SELECT execution_id, key, CAST(0 AS BIGINT) AS value, '' AS side FROM a WHERE false")
+def strategy_agreement(spark, d):
+    """Two ways to the same states, the ordered fold and the last of the prefix states: no row may differ."""
+    own = operations(spark, d).where(F.col("kind").isin("set", "add"))
+    last = folding.prefix_states(own, KEY).groupBy(*KEY).agg(F.max_by("value", "seq").alias("value"))
+    return logs.agreement(folding.fold_affine(own, KEY).select(*KEY, "value"), last)
+
+
+@query("replay_prefixes", f"""WITH {OPS_SQL}, a AS (SELECT * FROM ops WHERE kind IN ('set', 'add')), n AS (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS part), m AS (SELECT max(seq) + 1 AS top FROM ops),
+c AS (SELECT part, CAST(floor(part * top) AS BIGINT) AS upto FROM n, m), q AS (SELECT upto, a.* FROM c JOIN a ON a.seq < c.upto),
+l AS (SELECT upto, execution_id, key, max(seq) AS f FROM q WHERE kind = 'set' GROUP BY ALL)
+SELECT upto, execution_id, key, CAST(sum(amount) AS BIGINT) AS value FROM q LEFT JOIN l USING (upto, execution_id, key) WHERE f IS NULL OR seq >= f GROUP BY ALL""")
+def replay_prefixes(spark, d):
+    """States rebuilt from four prefixes of the log; none is ahead of its prefix. The bounds are one row from one aggregate."""
+    ops = operations(spark, d)
+    top = ops.agg((F.max("seq") + 1).alias("top"))
+    bounds = top.select(F.explode(F.array(*(F.floor(F.lit(p) * F.col("top")) for p in (0.25, 0.5, 0.75, 1.0)))).alias("upto"))
+    inside = ops.join(F.broadcast(bounds), ops["seq"] < bounds["upto"])
+    return folding.fold_closed(inside, ["upto", *KEY])
+
+
+# Lineage
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    path = F.slice(F.array(c % 3, (c / 3).cast("long") % 3, (c / 9).cast("long") % 3).cast("array<int>"), F.lit(1), (c % 4).cast("int"))
+    status = F.when(c % 5 == 0, "running").when(c % 5 == 1, "blocked").when(c % 5 == 2, "committed").otherwise("rejected")
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("execution_id"), path.alias("path"), status.alias("status")).dropDuplicates(["execution_id", "path", "status"])
+
+
+TREE_SQL = """WITH f AS (SELECT DISTINCT c_nationkey AS execution_id, list_slice([c_custkey % 3, (c_custkey // 3) % 3, (c_custkey // 9) % 3], 1, c_custkey % 4) AS path,
+  CASE c_custkey % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'blocked' WHEN 2 THEN 'committed' ELSE 'rejected' END AS status FROM customer)"""
+named = lambda c: F.array_join(F.col(c).cast("array<string>"), ".").alias(c)
+
+
+@query("lineage_ancestors", TREE_SQL + ", a AS (SELECT execution_id, path, status, unnest(range(1, len(path) + 1)) AS distance FROM f) SELECT execution_id, array_to_string(path, '.') AS path, CAST(distance AS INTEGER) AS distance, array_to_string(list_slice(path, 1, len(path) - distance), '.') AS ancestor FROM a")
+def lineage_ancestors(spark, d):
+    return lineage.ancestors(tree(spark, d)).select("execution_id", named("path"), "distance", named("ancestor"))
+
+
+@query("lineage_subtree", TREE_SQL + " SELECT execution_id, array_to_string(path, '.') AS path, status FROM f WHERE path[1] = 1")
+def lineage_subtree(spark, d):
+    return lineage.subtree(tree(spark, d), [1]).select("execution_id", named("path"), "status")
+
+
+@query("lineage_live", TREE_SQL + " SELECT execution_id, array_to_string(path, '.') AS path, status FROM f WHERE status IN ('running', 'blocked')")
+def lineage_live(spark, d):
+    return lineage.live(tree(spark, d)).select("execution_id", named("path"), "status")
+
+
+@query("lineage_depth", TREE_SQL + " SELECT execution_id, CAST(max(len(path)) AS INTEGER) AS depth FROM f GROUP BY ALL")
+def lineage_depth(spark, d):
+    return lineage.depth(tree(spark, d))
+
+
+@query("lineage_orphans", TREE_SQL + " SELECT execution_id, array_to_string(path, '.') AS path, status FROM f WHERE len(path) > 0 AND NOT EXISTS (SELECT 1 FROM f p WHERE p.execution_id = f.execution_id AND p.path = list_slice(f.path, 1, len(f.path) - 1))")
+def lineage_orphans(spark, d):
+    return lineage.orphans(tree(spark, d)).select("execution_id", named("path"), "status")
+
+
+# Contracts: a signup expects a purchase within twelve hours and forbids more than one error
+
+CONTRACT_SQL = """WITH i AS (SELECT user_id, min(ts) AS opened_at, arg_min(event_id, (ts, event_id)) AS opened_by FROM events WHERE event_type = 'signup' GROUP BY ALL),
+x AS (SELECT i.*, opened_at + INTERVAL 12 HOUR AS due_at, (SELECT min(ts) FROM events e WHERE e.user_id = i.user_id AND e.event_type = 'purchase' AND e.ts > opened_at AND e.ts <= opened_at + INTERVAL 12 HOUR) AS seen_at FROM i),
+v AS (SELECT user_id, opened_by, count(CASE WHEN e.ts > opened_at THEN 1 END) AS hits FROM i LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'error') e USING (user_id) GROUP BY ALL),
+t AS (SELECT max(ts) - INTERVAL 1 DAY AS as_of FROM events)"""
+
+
+def opened(spark, d) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, d, "events")
+    return events, contracts.instances(events, "signup")
+
+
+def as_of(expected: DataFrame, events: DataFrame) -> DataFrame:
+    """expected with as_of, a day before the last event: one row from one aggregate, broadcast."""
+    return expected.join(F.broadcast(events.agg((F.max("ts") - F.expr("interval 1 day")).alias("as_of"))))
+
+
+@query("contract_instances", CONTRACT_SQL + " SELECT user_id, opened_at, opened_by FROM i")
+def contract_instances(spark, d):
+    return opened(spark, d)[1]
+
+
+@query("contract_expectations", CONTRACT_SQL + " SELECT user_id, opened_at, opened_by, due_at, seen_at FROM x")
+def contract_expectations(spark, d):
+    events, i = opened(spark, d)
+    return contracts.expectations(i, events, "purchase", "12 hours")
+
+
+@query("contract_forbids", CONTRACT_SQL + " SELECT user_id, opened_by, hits, hits > 1 AS violated FROM v")
+def contract_forbids(spark, d):
+    events, i = opened(spark, d)
+    return contracts.forbidden(i, events, "error", 1)
+
+
+@query("contract_outcomes", CONTRACT_SQL + " SELECT user_id, opened_by, CASE WHEN hits > 1 THEN 'violated' WHEN seen_at IS NOT NULL THEN 'satisfied' WHEN due_at <= as_of THEN 'breached' ELSE 'open' END AS outcome FROM x JOIN v USING (user_id, opened_by), t")
+def contract_outcomes(spark, d):
+    events, i = opened(spark, d)
+    expected = as_of(contracts.expectations(i, events, "purchase", "12 hours"), events)
+    return contracts.outcomes(expected, contracts.forbidden(i, events, "error", 1), F.col("as_of")).select("user_id", "opened_by", "outcome")
+
+
+@query("contract_sweep", CONTRACT_SQL + " SELECT user_id, opened_by, due_at FROM x, t WHERE seen_at IS NULL AND due_at <= as_of")
+def contract_sweep(spark, d):
+    events, i = opened(spark, d)
+    expected = as_of(contracts.expectations(i, events, "purchase", "12 hours"), events)
+    return contracts.sweep(expected, F.col("as_of")).select("user_id", "opened_by", "due_at")
+
+
+@query("contract_breaches_recent", CONTRACT_SQL + " SELECT user_id, opened_by, due_at FROM x, t WHERE seen_at IS NULL AND due_at <= as_of ORDER BY due_at DESC, opened_by DESC LIMIT 20")
+def contract_breaches_recent(spark, d):
+    """The newest twenty breaches: a report, so its limit is its feature."""
+    return contract_sweep(spark, d).orderBy(F.desc("due_at"), F.desc("opened_by")).limit(20)
+
+
+@query("contract_escalations", CONTRACT_SQL + " SELECT user_id, opened_by, count(*) AS errors_after FROM x JOIN events e USING (user_id) CROSS JOIN t WHERE seen_at IS NULL AND due_at <= as_of AND e.event_type = 'error' AND e.ts > due_at GROUP BY ALL")
+def contract_escalations(spark, d):
+    """A second contract that a breach triggers: errors behind the deadline."""
+    errors = table(spark, d, "events").where("event_type = 'error'").select("user_id", "ts")
+    return contract_sweep(spark, d).join(errors, "user_id").where("ts > due_at").groupBy("user_id", "opened_by").agg(F.count("*").alias("errors_after"))
+
+
+@query("contract_dedupe", """WITH k AS (SELECT user_id, event_id, CASE WHEN event_type <> 'view' THEN event_type || '-' || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) END AS dedupe_key FROM events)
+SELECT user_id, dedupe_key, event_id FROM k WHERE dedupe_key IS NULL UNION ALL SELECT user_id, dedupe_key, min(event_id) FROM k WHERE dedupe_key IS NOT NULL GROUP BY ALL""")
+def contract_dedupe(spark, d):
+    key = F.when(F.col("event_type") != "view", F.concat_ws("-", "event_type", (F.floor("value").cast("long") % 10).cast("string")))
+    keyed = table(spark, d, "events").select("user_id", key.alias("dedupe_key"), "event_id")
+    return contracts.dedupe(keyed, "user_id", "dedupe_key", "event_id").select("user_id", "dedupe_key", "event_id")
+
+
