@@ -2,9 +2,10 @@
 
 Both vocabularies split a text before they merge, and never across the cuts made here: the byte-level pattern
 starts a new piece at a single space between two non-space characters and at a single newline between two; the
-word vocabulary drops white space altogether. So each distinct piece goes through the library once for each worker
-and is then a look-up; a text that has anything else around its spaces goes to the library in larger parts. The
-cache is bounded by its number of entries.
+word vocabulary drops white space altogether. So each distinct part goes through the library once for each worker
+and is then a look-up; a text that has anything else around its spaces goes to the library in larger parts. A new
+part whose characters are all below U+0250, where no normal form changes anything, is split here by the same pattern
+and its pieces go straight to the library's merges. Both caches are bounded by their number of entries.
 """
 
 from __future__ import annotations
@@ -21,6 +22,36 @@ ODD = re.compile("[\x1c-\x1f]")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: Below U+0250: letters, numbers and white space, as the patterns' classes have them.
+LETTERS, NUMBERS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The splits of the two vocabularies, for parts without white space inside.
+WORD_SPLIT = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+BYTE_SPLIT = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies have for each byte: its own if it prints, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+class Merged(dict):
+    """A piece of the split to its ids, by the library's merges."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.model, self.letters = library.model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        letters = "".join([self.letters[b] for b in piece.encode()])
+        found = self[piece] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        return found
+
+
 class Uneven(Exception):
     """A part that has white space at an end, so that its cut isn't one of the library's."""
 
@@ -52,11 +83,18 @@ class Encoder:
 
         self.library, self.spaces = Tokenizer.from_file(path), spaces
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first, self.later, self.parts = Pieces(self.whole), Pieces(self.whole, " "), Pieces(self.whole, whole=True)
+        self.merged, self.split = Merged(self.library), (BYTE_SPLIT if spaces else WORD_SPLIT).findall
+        self.first, self.later, self.parts = Pieces(self.part), Pieces(self.part, " "), Pieces(self.whole, whole=True)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def part(self, text: str) -> bytes:
+        """A part without white space inside, but for a space before it."""
+        if (text.isascii() or max(text) < "\u0250") and len(text) <= KEPT_LENGTH and not ODD.search(text) and (inside := text.strip(" ")).split() == [inside]:
+            return b"".join(map(self.merged.__getitem__, self.split(text if self.spaces else text.lower())))
+        return self.whole(text)
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
