@@ -51,11 +51,11 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (over all files), n_tokens, ids. One row for each file is broadcast."""
+    """doc_id, start (over all files), n_tokens, ids. What is broadcast has one row, two numbers, for each file."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
     before = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = rows.groupBy("part").agg(F.sum("n_tokens").alias("held")).select("part", before.alias("base"))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
