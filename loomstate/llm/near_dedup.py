@@ -5,8 +5,8 @@
    XOR estimates a high similarity. Documents with equal sets form a class; from here on one of them stands for it.
 2. Classes that share a band are candidates. First each is held against the smallest of its bucket. A bucket in which
    all then belong to one component is done; the members of any other are compared with each other in blocks of
-   bounded size, best estimates first, and only pairs between different components go on, each from its first
-   common band. No bucket is capped.
+   bounded size, where pairs between different components, each in its first common band, are confirmed at once,
+   so that only links leave a block. No bucket is capped.
 3. Pairs that pass the bound on sizes and the sketch, whose margin is many standard deviations, are confirmed on
    their full sets of 64-bit shingle hashes. Components are found by spreading the smallest label, with jumps.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import column_of, read_table, stored, text_column, texts_of
 
 #: MinHash samples and bits of a sketch; members of a block; identifiers that may be broadcast (16 MB), beyond which a shuffle joins.
-SAMPLES, BITS, BLOCK, BROADCAST_IDS = 384, 1024, 512, 2_000_000
+SAMPLES, BITS, BLOCK, BROADCAST_IDS = 384, 1024, 1024, 2_000_000
 #: Samples beside a band's rows, so that a pair just at the threshold is missed this often at most.
 MISS = 1e-7
 #: A word cache's entries in each worker.
@@ -137,37 +137,59 @@ def set_rows(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 def confirm_rows(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in parts:
-        keep = []
-        for x, y in zip(column_of(batch, "items_a").to_pylist(), column_of(batch, "items_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        pairs = zip(column_of(batch, "items_a").to_pylist(), column_of(batch, "items_b").to_pylist(), strict=True)
+        keep = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
         yield pa.RecordBatch.from_arrays([column_of(batch, "a"), column_of(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def block_pairs(percent: int, most: int):
-    def pairs(table: pa.Table) -> pa.Table:
-        return block_rows(table, percent, most)
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, without repeats, are so similar."""
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return pairs
 
+def block_links(percent: int, most: int):
+    def links(table: pa.Table) -> pa.Table:
+        return linked_in_block(table, percent, most)
 
-def block_rows(table: pa.Table, percent: int, most: int) -> pa.Table:
-    """Pairs of a block, or of two blocks, of a bucket: of different components, near enough in size and by sketch, in their first common band."""
+    return links
+
+
+def linked_in_block(table: pa.Table, percent: int, most: int) -> pa.Table:
+    """Confirmed links between different components of a block, or of two blocks, of a bucket.
+
+    Every pair that is near enough in size and by sketch, and has its first common band here, is held against its
+    full sets, the best estimates first, unless links found before have joined its components.
+    """
     ids, comp, side, size, at = (table.column(c).to_numpy() for c in ("rep", "comp", "side", "n_shingles", "at"))
     grid = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    sketch, bands = grid("sketch").view(np.uint64), grid("bands")
+    sketch, bands, items, parent = grid("sketch").view(np.uint64), grid("bands"), table.column("items"), {}
+    sets: dict[int, np.ndarray] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def whole(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(items[i].as_py(), np.uint64)
+        return sets[i]
+
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both are the same block
-    out_a, out_b = [], []
-    for i in left:
+    found = []
+    for i in left.tolist():
         js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if side[i] == 2 else True)]
         js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
-        js = js[(bands[js] == bands[i]).argmax(axis=1) == at[i]]
-        out_a.append(np.full(len(js), ids[i]))
-        out_b.append(ids[js])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        differ = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1)
+        js, differ = js[differ <= most], differ[differ <= most]
+        mine = (bands[js] == bands[i]).argmax(axis=1) == at[i]
+        for j in js[mine][np.argsort(differ[mine], kind="stable")].tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and alike(whole(i), whole(j), percent):
+                parent[max(a, b)] = min(a, b)
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,13 +213,16 @@ class Linker:
         self.bands, self.rows = bands_for(percent / 100)
         self.labels: DataFrame | None = None
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id, items: the full shingle sets of those documents."""
+        small = ids.count() <= BROADCAST_IDS
+        rows = self.docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_semi")
+        return stored(rows.mapInArrow(partial(set_rows, width=self.width), "id long, items binary"), "sets")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are as similar as asked."""
         pairs = stored(pairs.distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        small = ids.count() <= BROADCAST_IDS
-        rows = self.docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_semi")
-        sets = stored(rows.mapInArrow(partial(set_rows, width=self.width), "id long, items binary"), "sets")
+        sets = self.sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         of = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
         held = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "items_a", "items_b")
         return held.mapInArrow(partial(confirm_rows, percent=self.percent), "a long, b long")
@@ -209,15 +234,13 @@ class Linker:
         known = self.labels.select(F.col("node").alias("rep"), F.col("comp").alias("_c"))
         return rows.join(known, "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
 
-    def link(self, pairs: DataFrame) -> bool:
-        """Confirms pairs and merges their components; whether there was one."""
-        links = stored(self.confirmed(pairs).distinct(), "links")
-        if links.isEmpty():
-            return False
-        if self.labels is not None:  # each node stays with its component
-            links = links.union(self.labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
-        self.labels = components(links)
-        return True
+    def merge(self, links: DataFrame) -> None:
+        """Merges the components that confirmed links (a, b) join."""
+        links = stored(links.distinct(), "links")
+        if not links.isEmpty():
+            if self.labels is not None:  # each node stays with its component
+                links = links.union(self.labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
+            self.labels = components(links)
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each row."""
@@ -234,22 +257,18 @@ class Linker:
         differ = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
         fits = F.expr(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         last = most_differing(self.percent / 100, max(SAMPLES, self.bands * self.rows), BITS)
-        best = most_differing(self.percent / 100, max(SAMPLES, self.bands * self.rows), BITS, 0.5)
-        self.link(near.where(fits & (differ <= last)).select("a", "b"))
-        members = members.where("m > 2").select("band", "rep", "m")
-        for most in (best, last):
-            here = stored(self.labelled(members), "here")
-            alive = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-            members = stored(here.join(alive, "band"), "alive")
-            block, blocks = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
-            dealt = members.withColumn("blocks", blocks).withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            dealt = dealt.join(classes.select("rep", "n_shingles", "bands", "sketch"), "rep").select(
-                "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n_shingles", "sketch", "bands",
-                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), (F.array_position("bands", F.col("band")) - 1).alias("at"),
-            )
-            pairs = dealt.groupBy("band", "i", "j").applyInArrow(block_pairs(self.percent, most), "a long, b long")
-            self.link(pairs)
-            members = members.select("band", "rep", "m")
+        self.merge(self.confirmed(near.where(fits & (differ <= last)).select("a", "b")))
+        here = stored(self.labelled(members.where("m > 2").select("band", "rep", "m")), "here")
+        alive = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+        alive = stored(here.join(alive, "band"), "alive")
+        full = classes.select("rep", "n_shingles", "bands", "sketch").join(self.sets(alive.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("id", "rep"), "rep")
+        block, blocks = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+        dealt = alive.join(full, "rep").withColumn("blocks", blocks).withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select(
+            "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n_shingles", "sketch", "bands", "items",
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), (F.array_position("bands", F.col("band")) - 1).alias("at"),
+        )
+        self.merge(dealt.groupBy("band", "i", "j").applyInArrow(block_links(self.percent, last), "a long, b long"))
         found = self.labelled(classes.select(*key, "rep")).select(*key, "comp")
         linked = features.where("n_shingles > 0").select("doc_id", *key).join(found, key, "left")
         bare = features.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
