@@ -33,6 +33,8 @@ from .encoding import vocabulary
 
 #: Rounds of re-estimation; the count that each piece has besides; entries of a counting table before it is passed on.
 ROUNDS, PSEUDO, COUNTED = 2, 0.1, 1_000_000
+#: Bytes of words that go through the lattice side by side (a longer word goes alone).
+PART_BYTES = 100_000
 SPACE = "▁"
 
 
@@ -60,63 +62,116 @@ def first_weights(path: str) -> np.ndarray:
     return np.log(w / w.sum())
 
 
+@lru_cache(maxsize=2)
+def load_trie(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces' trie: sorted keys (state and character), the state that each leads to, and the piece that ends in each state or -1."""
+    table = load_pieces(path)[2]
+    state = {text: k for k, text in enumerate(["", *table])}
+    keys = np.array([state[t[:-1]] << 21 | ord(t[-1]) for t in table], np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.arange(1, len(state))[order], np.array([-1, *(-1 if i is None else i for i in table.values())], np.int32)
+
+
 class Lattice:
-    """Forward and backward recursions over a word's segmentations. logs: natural log weights by piece."""
+    """Forward and backward recursions over the segmentations of many words side by side. logs: natural log weights by piece.
+
+    The longest words come first, and a position's number grows with its level (how many characters are before it), so
+    that all words take a level in one array operation. Row L - 1 of a grid has the pieces of L characters by their end.
+    """
 
     def __init__(self, path: str, logs: np.ndarray):
-        _, _, self.table, self.bytes = load_pieces(path)
-        self.logs = logs.tolist()
-
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """By end: (start, weight, pieces). A character without a piece of its own is one edge of its bytes."""
-        table, logs, n = self.table, self.logs, len(word)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            j, seen = i + 1, False
-            while j <= n:
-                piece = table.get(word[i:j], -1)
-                if piece == -1:
-                    break
-                if piece is not None:
-                    into[j].append((i, logs[piece], piece))
-                    seen |= j == i + 1
-                j += 1
-            if not seen:
-                parts = tuple(self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass"))
-                into[i + 1].append((i, sum(logs[p] for p in parts), parts))
-        return into
+        self.bytes, self.logs = load_pieces(path)[3], np.asarray(logs)
+        self.keys, self.next, self.piece = load_trie(path)
+
+    def spans(self, words: list[bytes]) -> tuple:
+        """order of the words, active words by level, first position by level, grid of symbols, symbols' weights, bytes of further symbols."""
+        texts = [SPACE + w.decode("utf-8", "replace") for w in words]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-sizes, kind="stable")
+        sizes, n = sizes[order], int(sizes.sum())
+        chars = np.frombuffer("".join([texts[k] for k in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), side="right")
+        first = np.cumsum(active) - active
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        begins = np.cumsum(sizes) - sizes
+        level, rows = np.arange(n) - begins[word], []
+        left, at, state = sizes[word] - level, np.arange(n), np.zeros(n, np.int64)
+        while len(at):
+            length = len(rows) + 1
+            key = state << 21 | chars[at + length - 1]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[k] == key
+            at, state = at[there], self.next[k[there]]
+            row, piece = np.full(int(active.sum()), -1, np.int32), self.piece[state]
+            ends = at[piece >= 0]
+            row[first[level[ends] + length] + word[ends]] = piece[piece >= 0]
+            rows.append(row)
+            more = left[at] > length
+            at, state = at[more], state[more]
+        # a character without a piece of its own is one symbol, of its bytes
+        to = first[level + 1] + word
+        bare = rows[0][to] < 0
+        others, which = np.unique(chars[bare], return_inverse=True)
+        parts = [[self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in others.tolist()]
+        rows[0][to[bare]] = len(self.logs) + which
+        weights = np.concatenate([self.logs, [self.logs[x].sum() for x in parts], [-np.inf]])  # the last is -1, no piece
+        return order, active, first, np.stack(rows), weights, parts
 
     @staticmethod
-    def forward(into: list) -> list[float]:
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for ends in into[1:]:
-            if len(ends) == 1:
-                alpha.append(alpha[ends[0][0]] + ends[0][1])
-            else:
-                x = [alpha[i] + w for i, w, _ in ends]
-                top = max(x)
-                alpha.append(top + log(sum([exp(y - top) for y in x])))
+    def into(active: np.ndarray, first: np.ndarray, t: int, most: int) -> tuple[slice, np.ndarray]:
+        """A level's positions, and those that each piece's length leads there from (length x word)."""
+        k = int(active[t])
+        return slice(int(first[t]), int(first[t]) + k), first[t - np.arange(1, min(t, most) + 1)][:, None] + np.arange(k)
+
+    def forward(self, active: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        alpha = np.zeros(weight.shape[1])
+        for t in range(1, len(active)):
+            to, start = self.into(active, first, t, len(weight))
+            x = alpha[start] + weight[: len(start), to]
+            top = x.max(axis=0)
+            alpha[to] = top + np.log(np.exp(x - top).sum(axis=0))
         return alpha
 
+    def score_all(self, words: list[bytes]) -> np.ndarray:
+        """The natural logs of the words' marginal probabilities."""
+        out = np.zeros(len(words))
+        if words:
+            order, active, first, grid, weights, _ = self.spans(words)
+            alpha = self.forward(active, first, weights[grid])
+            later = np.append(active[1:], 0)
+            for t in np.flatnonzero(active > later).tolist():  # words that end at this level
+                out[order[later[t] : active[t]]] = alpha[first[t] + later[t] : first[t] + active[t]]
+        return out
+
+    def expect_all(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The expected number of each piece in all words, each as often as counted."""
+        if not words:
+            return np.zeros(len(self.logs))
+        order, active, first, grid, weights, parts = self.spans(words)
+        weight = weights[grid]
+        alpha = self.forward(active, first, weight)
+        later, share, counts = np.append(active[1:], 0), np.zeros(len(alpha)), np.asarray(counts, float)[order]
+        for t in range(len(active) - 1, 0, -1):
+            to, start = self.into(active, first, t, len(weight))
+            share[to][later[t] :] = counts[later[t] : active[t]]  # the posterior of each position, times its word's count
+            part = weight[: len(start), to]
+            part[...] = np.exp(alpha[start] + part - alpha[to]) * share[to]
+            share[start] += part  # all of start differ
+        weight[:, : active[0]] = 0
+        weight[grid < 0] = 0
+        found = np.bincount(grid.ravel() % len(weights), weight.ravel(), len(weights))
+        total = found[: len(self.logs)]
+        for x, ids in zip(found[len(self.logs) :], parts, strict=False):
+            np.add.at(total, ids, x)
+        return total
+
     def score(self, word: bytes) -> float:
-        """The natural log of a word's marginal probability."""
-        return self.forward(self.edges(SPACE + word.decode("utf-8", "replace")))[-1]
+        return float(self.score_all([word])[0])
 
     def expect(self, word: bytes, count: float, into_counts: list[float]) -> None:
         """Adds the expected number of each piece, count times."""
-        into = self.edges(SPACE + word.decode("utf-8", "replace"))
-        alpha = self.forward(into)
-        exp, n = math.exp, len(into) - 1
-        share = [0.0] * n + [1.0]  # the posterior of each position; an edge's is its end's, by its part of the end's sum
-        for j in range(n, 0, -1):
-            if share[j] > 1e-12:
-                base = alpha[j]
-                for i, w, piece in into[j]:
-                    p = share[j] * exp(alpha[i] + w - base)
-                    share[i] += p
-                    for q in piece if type(piece) is tuple else (piece,):
-                        into_counts[q] += p * count
+        for i, x in enumerate(self.expect_all([word], np.array([count])).tolist()):
+            into_counts[i] += x
 
 
 COUNTS = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
@@ -144,20 +199,32 @@ def counted(held: dict) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array(n[at : at + 20_000], pa.int64())], schema=COUNTS)
 
 
-def expect_rows(parts: Iterator[pa.RecordBatch], path: str, logs) -> Iterator[pa.RecordBatch]:
-    lattice, total = Lattice(path, logs.value), [0.0] * len(logs.value)
+def word_parts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and their counts in parts of about PART_BYTES."""
+    words, counts, size = [], [], 0
     for batch in parts:
         for word, n in zip(texts_of(batch, "word"), column_of(batch, "n").to_pylist(), strict=True):
-            lattice.expect(word, n, total)
-    some = [i for i, x in enumerate(total) if x]
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i] for i in some], pa.float64())], names=["piece", "expected"])
+            words.append(word)
+            counts.append(n)
+            size += len(word) + 1
+            if size >= PART_BYTES:
+                yield words, np.array(counts, np.int64)
+                words, counts, size = [], [], 0
+    yield words, np.array(counts, np.int64)
+
+
+def expect_rows(parts: Iterator[pa.RecordBatch], path: str, logs) -> Iterator[pa.RecordBatch]:
+    lattice, total = Lattice(path, logs.value), np.zeros(len(logs.value))
+    for words, counts in word_parts(parts):
+        total += lattice.expect_all(words, counts)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.float64())], names=["piece", "expected"])
 
 
 def lattice_rows(parts: Iterator[pa.RecordBatch], path: str, logs) -> Iterator[pa.RecordBatch]:
     lattice = Lattice(path, logs.value)
-    for batch in parts:
-        scores = [lattice.score(w) for w in texts_of(batch, "word")]
-        yield pa.RecordBatch.from_arrays([column_of(batch, "word"), column_of(batch, "n"), pa.array(scores, pa.float64())], names=["word", "n", "logp"])
+    for words, counts in word_parts(parts):
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(lattice.score_all(words), pa.float64())], names=["word", "n", "logp"])
 
 
 def block_scorer(total: int, distinct: int, ends: int, log_end: float):
