@@ -35,6 +35,8 @@ SAMPLES, BITS, BLOCK, BROADCAST_IDS = 384, 1024, 1024, 2_000_000
 MISS = 1e-7
 #: A word cache's entries in each worker.
 WORDS = 500_000
+#: Rows of a part of the graph's tables, and parts at least: a round over few links shouldn't write as many files as a large shuffle has.
+PART_ROWS, PARTS = 100_000, 8
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -192,15 +194,16 @@ def linked_in_block(table: pa.Table, percent: int, most: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) of every node that has an edge (a, b)."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "label")
+def components(edges: DataFrame, most: int) -> DataFrame:
+    """node, comp (the smallest node reachable) of every node that has an edge (a, b). most: a bound on the edges' number."""
+    kept = lambda df, tag: stored(df.coalesce(max(PARTS, math.ceil(2 * most / PART_ROWS))), tag)
+    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    label = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "label")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("comp").alias("next")), "b").groupBy(F.col("a").alias("node")).agg(F.min("next").alias("next"))
         low = label.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "next").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        found = stored(low.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "label")
+        found = kept(low.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "label")
         label = found.select("node", "comp")
         if found.where("was <> comp").isEmpty():
             return label
@@ -212,6 +215,7 @@ class Linker:
         self.width, self.percent = width, percent
         self.bands, self.rows = bands_for(percent / 100)
         self.labels: DataFrame | None = None
+        self.most = 0  # nodes of labels at most
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """id, items: the full shingle sets of those documents."""
@@ -237,10 +241,11 @@ class Linker:
     def merge(self, links: DataFrame) -> None:
         """Merges the components that confirmed links (a, b) join."""
         links = stored(links.distinct(), "links")
-        if not links.isEmpty():
+        if n := links.count():
+            edges = n + self.most
             if self.labels is not None:  # each node stays with its component
                 links = links.union(self.labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
-            self.labels = components(links)
+            self.labels, self.most = components(links, edges), 2 * edges
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each row."""
