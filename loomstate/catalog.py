@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import contracts, effects, folding, lineage, logs, merging, selecting
+from .plans import Plan, Run
 from .sources.ledger import OPS_SQL, operations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,6 +356,61 @@ def replay_prefixes(spark, d):
     return folding.fold_closed(inside, ["upto", *KEY])
 
 
+# Plans: every order is an execution, its customer's region of keys and its price are the values that the plan names
+
+
+def orders_run(spark: SparkSession, d: str) -> Run:
+    """Three arms for each order: two of them charge, one reads; the best score is committed to the order's state."""
+    price, cust = F.floor("o_totalprice").cast("long"), F.col("o_custkey")
+    executions = table(spark, d, "orders").select(F.col("o_orderkey").alias("execution_id"), price.alias("price"), cust.alias("cust"))
+    p, c = F.col("price"), F.col("cust")
+    arm = lambda by, score: Plan().add("total", by).effect("irreversible", "charge", by).set("score", score)
+    plan = (
+        Plan().set("total", p).fork(arm(p * 2, p % 11), arm(c, c % 11), Plan().effect("read", "quote", c, reads_into="quoted").compute("total", -1, c).set("score", 7))
+        .select("highest_score").commit().add("committed", 1)
+    )
+    return Run(plan, executions)
+
+
+PLAN_SQL = """WITH o AS (SELECT o_orderkey AS execution_id, CAST(floor(o_totalprice) AS BIGINT) AS price, o_custkey AS cust FROM orders),
+s AS (SELECT *, price % 11 AS s0, cust % 11 AS s1, CAST(7 AS BIGINT) AS s2 FROM o), w AS (SELECT *, CASE WHEN s0 >= s1 AND s0 >= 7 THEN 0 WHEN s1 >= 7 THEN 1 ELSE 2 END AS won FROM s)"""
+
+
+@query("plan_run_states", PLAN_SQL + """ SELECT execution_id, 'total' AS key, CASE won WHEN 0 THEN price * 3 WHEN 1 THEN price + cust ELSE cust - price END AS value FROM w
+UNION ALL SELECT execution_id, 'score', CASE won WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END FROM w UNION ALL SELECT execution_id, 'committed', 1 FROM w UNION ALL SELECT execution_id, 'quoted', cust * 2 FROM w WHERE won = 2""")
+def plan_run_states(spark, d):
+    return orders_run(spark, d).states()
+
+
+@query("plan_run_futures", PLAN_SQL + """, f AS (SELECT w.*, unnest([0, 1, 2]) AS arm FROM w)
+SELECT execution_id, CAST(arm AS VARCHAR) AS path, arm, CASE WHEN arm = won THEN 'committed' ELSE 'rejected' END AS status, CASE arm WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS score, CAST(3 AS BIGINT) AS steps, CAST(3 AS BIGINT) AS cost_ms,
+  CAST(CASE WHEN arm < 2 THEN 1 ELSE 0 END AS BIGINT) AS deferred, CAST(CASE WHEN arm = 2 THEN 1 ELSE 0 END AS BIGINT) AS performed, CAST(CASE WHEN arm < 2 THEN 1 ELSE 0 END AS BIGINT) AS irreversible_deferred FROM f""")
+def plan_run_futures(spark, d):
+    return orders_run(spark, d).futures()
+
+
+@query("plan_run_effects", PLAN_SQL + """, f AS (SELECT w.*, unnest([0, 1, 2]) AS arm FROM w)
+SELECT execution_id, 'e' || execution_id || '/' || arm || '.e0' AS effect_key, CAST(arm AS VARCHAR) AS path, CAST(0 AS BIGINT) AS ordinal, CASE arm WHEN 2 THEN 'read' ELSE 'irreversible' END AS class, CASE arm WHEN 2 THEN 'quote' ELSE 'charge' END AS op_name,
+  CASE arm WHEN 0 THEN price * 2 ELSE cust END AS args, CASE arm WHEN 2 THEN 'performed' ELSE 'deferred' END AS disposition, CASE arm WHEN 2 THEN cust * 2 END AS result, arm < 2 AND arm = won AS released FROM f""")
+def plan_run_effects(spark, d):
+    return orders_run(spark, d).effects()
+
+
+def nested_run(spark: SparkSession, d: str) -> Run:
+    """The states of executions folded from events go through a fork whose first arm forks again."""
+    h = F.col("held")
+    inner = Plan().fork(Plan().add("k0", h), Plan().compute("k0", -1, 9)).select("lowest_score", "k0").commit().add("k1", 2)
+    return Run(Plan().fork(inner, Plan().set("k1", h % 7)).select("highest_score", "k1").add("k2", 1).commit("take_future").compute("k2", 3, 1), None, sides(spark, d)["base"], values={"held": F.sum("value")})
+
+
+@query("plan_nested_states", SIDES_SQL + """, e AS (SELECT execution_id, CAST(sum(value) AS BIGINT) AS h, max(CASE key WHEN 'k0' THEN value END) AS k0, max(CASE key WHEN 'k1' THEN value END) AS k1, max(CASE key WHEN 'k2' THEN value END) AS k2 FROM base GROUP BY ALL),
+n AS (SELECT *, least(coalesce(k0, 0) + h, 9 - coalesce(k0, 0)) AS i0, coalesce(k1, 0) + 2 AS i1 FROM e), w AS (SELECT *, i1 >= h % 7 AS first FROM n)
+SELECT execution_id, 'k0' AS key, CASE WHEN first THEN i0 ELSE k0 END AS value FROM w WHERE first OR k0 IS NOT NULL
+UNION ALL SELECT execution_id, 'k1', CASE WHEN first THEN i1 ELSE h % 7 END FROM w UNION ALL SELECT execution_id, 'k2', 3 * (coalesce(k2, 0) + 1) + 1 FROM w""")
+def plan_nested_states(spark, d):
+    return nested_run(spark, d).states()
+
+
 # Lineage
 
 

@@ -17,6 +17,15 @@ def is_write(cls: Column) -> Column:
     return ~cls.isin(PURE, READ)
 
 
+def speculatable_class(cls: str) -> bool:
+    """The same of a plan's own effects, whose classes are known without data."""
+    return cls in (PURE, READ, IDEMPOTENT)
+
+
+def is_write_class(cls: str) -> bool:
+    return cls not in (PURE, READ)
+
+
 def may_perform_now(cls: Column, authoritative: Column) -> Column:
     return authoritative | speculatable(cls)
 
