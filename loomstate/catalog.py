@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import contracts, effects, folding, lineage, logs, merging, selecting
 from .plans import Plan, Run
+from .sources import frames as binary
 from .sources.ledger import OPS_SQL, operations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,6 +357,46 @@ def replay_prefixes(spark, d):
     return folding.fold_closed(inside, ["upto", *KEY])
 
 
+# Binary logs: the properties of a user's events are the payloads of one log
+
+
+@query("frame_checksums", """SELECT event_id, octet_length(encode(props)) AS size, CAST(list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(range(1, strlen(props) + 1), lambda i: CAST(ord(substr(props, i, 1)) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS BIGINT) AS checksum FROM events""")
+def frame_checksums(spark, d):
+    payload = F.col("props").cast("binary")
+    return table(spark, d, "events").select("event_id", F.octet_length(payload).cast("long").alias("size"), binary.fnv1a32(payload).alias("checksum"))
+
+
+def hurt_logs(spark: SparkSession, d: str) -> DataFrame:
+    """A log for each user; a third lose their last three bytes, a third end in eleven bytes of a frame never finished."""
+    logs = binary.write_logs(table(spark, d, "events"), "user_id", "event_id", "props")
+    torn = F.concat("log", F.lit(bytes([64, 0, 0, 0, 1, 2, 3, 4, 7, 7, 7])))
+    return logs.withColumn("log", F.when(F.col("user_id") % 3 == 1, F.expr("substring(log, 1, octet_length(log) - 3)")).when(F.col("user_id") % 3 == 2, torn).otherwise(F.col("log")))
+
+
+HURT_SQL = """WITH f AS (SELECT user_id, event_id, strlen(props) + 8 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r,
+  sum(strlen(props) + 8) OVER (PARTITION BY user_id ORDER BY event_id) AS end_pos, props FROM events)"""
+
+
+@query("frame_read", HURT_SQL + " SELECT user_id, ordinal, CAST(end_pos - size AS BIGINT) AS \"offset\", CAST(end_pos AS BIGINT) AS end_pos, props AS payload FROM f WHERE user_id % 3 <> 1 OR r > 1")
+def frame_read(spark, d):
+    return binary.read_logs(hurt_logs(spark, d), "user_id").withColumn("payload", F.col("payload").cast("string"))
+
+
+@query("frame_torn_bytes", HURT_SQL + """ SELECT user_id, CAST(coalesce(sum(CASE WHEN user_id % 3 <> 1 OR r > 1 THEN size END), 0) AS BIGINT) AS kept_bytes,
+  CAST(CASE user_id % 3 WHEN 1 THEN max(CASE WHEN r = 1 THEN size END) - 3 WHEN 2 THEN 11 ELSE 0 END AS BIGINT) AS torn_bytes FROM f GROUP BY user_id""")
+def frame_torn_bytes(spark, d):
+    logs = hurt_logs(spark, d)
+    return binary.torn_bytes(logs, binary.read_logs(logs, "user_id"), "user_id")
+
+
+@query("delta_encoded_len", f"""WITH {OPS_SQL}, z AS (SELECT *, CASE WHEN amount >= 0 THEN 2 * amount ELSE -2 * amount - 1 END AS zig FROM ops)
+SELECT execution_id, CAST(sum(CASE kind WHEN 'sleep' THEN 9 WHEN 'compute' THEN 5 + strlen(key) + 16 ELSE 5 + strlen(key) + 8 END) AS BIGINT) AS raw_bytes,
+  CAST(sum(CASE kind WHEN 'sleep' THEN 1 + greatest(1, ceil(len(bin(amount)) / 7)) ELSE 2 + strlen(key) + greatest(1, ceil(len(bin(zig)) / 7)) + CASE kind WHEN 'compute' THEN 1 ELSE 0 END END) AS BIGINT) AS compact_bytes FROM z GROUP BY ALL""")
+def delta_encoded_len(spark, d):
+    sized = binary.delta_sizes(operations(spark, d).withColumn("scale", F.lit(-1).cast("long")))
+    return sized.groupBy("execution_id").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("compact_bytes").alias("compact_bytes"))
+
+
 # Plans: every order is an execution, its customer's region of keys and its price are the values that the plan names
 
 
