@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stored
+from .sql import CRC_TABLE_SQL, crc32_sql, md5_bits_sql
 
 #: Production weights; the share of all tokens that the mix has; epochs that a leaf may give; the order's seed.
 DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
@@ -110,3 +111,33 @@ def keep_mix(docs: DataFrame, share: float = 0.9) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mix(docs, ["doc_id", domain_of().alias("domain"), "lang", "source", tokens_of().alias("tokens")], domain_of())
+
+
+def _weight_sql(column: str, weights: dict[str, float]) -> str:
+    return f"CAST(CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + " ELSE 1 END AS DOUBLE)"
+
+
+def _shared_sql(name: str, nodes: str, parent: str, child: str) -> str:
+    """A common table of that name: nodes (parent, child, w, cap, budget) with got, as share_out has it."""
+    by = f"PARTITION BY {parent} " if parent else ""
+    order = f"{by}ORDER BY cap / w, {child}"
+    return f"""{name}_level AS (SELECT *, (budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {nodes}),
+{name} AS (SELECT *, CASE WHEN cap <= level * w THEN cap ELSE w * max(CASE WHEN cap > level * w THEN level END) OVER ({by}) END AS got FROM {name}_level)"""
+
+
+OP9_SQL = f"""WITH {CRC_TABLE_SQL},
+sources AS (SELECT s, 'd' || ({crc32_sql("s")} % 4) AS domain FROM (SELECT DISTINCT coalesce(source, '') AS s FROM documents), crc),
+docs AS (SELECT doc_id, domain, coalesce(lang, '') AS l, s, lang, source, greatest(1, (coalesce(strlen(text), 0) + 3) // 4) AS tokens FROM documents JOIN sources ON s = coalesce(source, '')),
+leaves AS (SELECT domain, l, s, sum(tokens) AS held, CAST(sum(tokens) * {EPOCHS} AS DOUBLE) AS cap FROM docs GROUP BY ALL),
+d_nodes AS (SELECT domain, sum(cap) AS cap, {_weight_sql("domain", DOMAIN_WEIGHTS)} AS w, (SELECT floor(CAST(sum(held) AS DOUBLE) * CAST({SHARE} AS DOUBLE)) FROM leaves) AS budget FROM leaves GROUP BY domain),
+{_shared_sql("d", "d_nodes", "", "domain")},
+l_nodes AS (SELECT v.domain, l, sum(v.cap) AS cap, {_weight_sql("l", LANG_WEIGHTS)} AS w, max(d.got) AS budget FROM leaves v JOIN d USING (domain) GROUP BY v.domain, l),
+{_shared_sql("m", "l_nodes", "domain", "l")},
+s_nodes AS (SELECT v.domain, v.l, s, held, v.cap, CAST(1 AS DOUBLE) AS w, m.got AS budget FROM leaves v JOIN m USING (domain, l)),
+{_shared_sql("n", "s_nodes", "domain, l", "s")},
+quotas AS (SELECT domain, l, s, held, CAST(floor(got + CAST(1e-6 AS DOUBLE)) AS BIGINT) AS quota FROM n),
+epochs AS (SELECT *, least(quota // held, {EPOCHS}) AS whole FROM quotas),
+ordered AS (SELECT d.*, whole, quota - whole * held AS rest, {md5_bits_sql(f"'{SEED}:' || CAST(whole AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')", 15)} AS h FROM docs d JOIN epochs USING (domain, l, s)),
+reached AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY h, doc_id NULLS FIRST) AS reach FROM ordered),
+copies AS (SELECT *, CAST(whole + CASE WHEN reach <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM reached)
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(unnest(range(n)) AS INTEGER) AS epoch FROM copies"""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, text_column
+from .sql import CRC_TABLE_SQL, crc32_sql, md5_bits_sql
 
 SHARDS, VNODES, CELLS = 40, 128, 65536
 
@@ -107,3 +108,25 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(text_column().cast("binary")).alias("text_crc32")
     found = shard_rows(docs, ["doc_id", size, crc])
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+CLOCKWISE = "OVER (ORDER BY lap, vnode ROWS UNBOUNDED PRECEDING)"
+OP5_SQL = f"""WITH {CRC_TABLE_SQL},
+spots AS (SELECT {md5_bits_sql("'shard:' || s || ':' || v", 8)} // {2**32 // CELLS} AS cell, min(s) AS shard FROM range({SHARDS}) a(s), range({VNODES}) b(v) GROUP BY 1),
+nodes AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS vnode, shard, lag(cell, 1, -1) OVER (ORDER BY cell) AS behind, cell FROM spots),
+hashed AS (SELECT doc_id, coalesce(text, '') AS text, {md5_bits_sql("coalesce(CAST(doc_id AS VARCHAR), '')", 8)} AS h FROM documents),
+homes AS (SELECT d.*, coalesce(n.vnode, 0) AS vnode FROM hashed d LEFT JOIN nodes n ON d.h // {2**32 // CELLS} > n.behind AND d.h // {2**32 // CELLS} <= n.cell),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vnode ORDER BY h, doc_id) - 1 AS r FROM homes),
+loaded AS (SELECT n.vnode, n.shard, count(r.vnode) AS load FROM nodes n LEFT JOIN ranked r USING (vnode) GROUP BY ALL),
+bounds AS (SELECT *, sum(load) OVER () // {SHARDS} + CASE WHEN shard < sum(load) OVER () % {SHARDS} THEN 1 ELSE 0 END AS bound, CASE WHEN sum(load) OVER (PARTITION BY shard) > 0 THEN load ELSE 1 END AS w FROM loaded),
+parts AS (SELECT *, bound * w // sum(w) OVER (PARTITION BY shard) AS least_cap, bound * w % sum(w) OVER (PARTITION BY shard) AS frac FROM bounds),
+capped AS (SELECT vnode, shard, load, least_cap + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY frac DESC, vnode) <= bound - sum(least_cap) OVER (PARTITION BY shard) THEN 1 ELSE 0 END AS cap FROM parts),
+laps AS (SELECT c.*, lap, sum(load - cap) {CLOCKWISE} AS p FROM capped c, range(2) l(lap)),
+carried AS (SELECT *, p - least(0, min(p) {CLOCKWISE}) AS carry FROM laps),
+flow AS (SELECT *, lag(carry, 1, 0) OVER (ORDER BY lap, vnode) AS come, least(load, cap) AS kept FROM carried QUALIFY lap = 1),
+zeroed AS (SELECT *, load - kept AS sent, least(cap, load + come) - kept AS taken, CASE WHEN vnode <= min(CASE WHEN carry = 0 THEN vnode END) OVER () THEN 1 ELSE 0 END AS turn FROM flow),
+places AS (SELECT *, sum(sent) OVER (ORDER BY turn, vnode) - sent AS sent_at, sum(taken) OVER (ORDER BY turn, vnode) - taken AS taken_at, sum(kept + taken) OVER (PARTITION BY shard ORDER BY vnode) - kept - taken AS slot_at FROM zeroed),
+rows_at AS (SELECT r.*, p.kept, p.shard, p.slot_at, CASE WHEN r >= p.kept THEN p.sent_at + r - p.kept END AS moved FROM ranked r JOIN places p USING (vnode))
+SELECT a.doc_id, CAST(strlen(a.text) + 16 AS BIGINT) AS size, {crc32_sql("a.text")} AS text_crc32, 'rows' AS law, CAST(coalesce(t.shard, a.shard) AS INTEGER) AS shard,
+  CAST(CASE WHEN moved IS NULL THEN a.slot_at + a.r ELSE t.slot_at + t.kept + moved - t.taken_at END AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM rows_at a LEFT JOIN places t ON a.moved >= t.taken_at AND a.moved < t.taken_at + t.taken CROSS JOIN crc"""
