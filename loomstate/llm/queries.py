@@ -19,4 +19,4 @@ QUERIES = {
     "op10_repetition": repetition.op10_repetition,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_sharding": sharding.OP5_SQL, "op9_mixing": mixing.OP9_SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_sharding": sharding.OP5_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
