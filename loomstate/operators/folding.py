@@ -19,9 +19,15 @@ def affine(ops: DataFrame) -> DataFrame:
 
 def fold_affine(ops: DataFrame, by: list[str]) -> DataFrame:
     """The final value of each key from 0. Maps compose in parts of the sequence first, then part after part, so a long log spreads over tasks."""
-    maps = affine(ops).groupBy(*by, F.floor(F.col("seq") / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "scale", "addend"))).alias("ops"))
-    parts = maps.select(*by, "part", compose(F.col("ops")).alias("m")).select(*by, F.struct("part", "m.scale", "m.addend").alias("p"))
-    return parts.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("ps")).select(*by, compose(F.col("ps"))["addend"].alias("value"))
+    return compose_maps(affine(ops), by).withColumnRenamed("addend", "value").drop("scale")
+
+
+def compose_maps(maps: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
+    """by, scale, addend: the one map that the maps of each group make, in their order."""
+    parted = maps.groupBy(*by, F.floor(F.col(order) / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct(order, "scale", "addend"))).alias("ops"))
+    parts = parted.select(*by, "part", compose(F.col("ops")).alias("m")).select(*by, F.struct("part", "m.scale", "m.addend").alias("p"))
+    whole = parts.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("ps")).select(*by, compose(F.col("ps")).alias("m"))
+    return whole.select(*by, "m.scale", "m.addend")
 
 
 def fold_closed(ops: DataFrame, by: list[str]) -> DataFrame:

@@ -98,14 +98,15 @@ class Plan:
         return found
 
     def _number(self, path: tuple[int, ...], found: list[tuple]) -> None:
-        at = None
+        at, first = None, 0
         for s in self.steps:
             if at is not None:
                 found[at] = (*found[at][:3], len(found))
             at = len(found)
             found.append((at, path, s.kind, -1))
-            for i, arm in enumerate(s.arms):
+            for i, arm in enumerate(s.arms, first):
                 arm._number((*path, i), found)
+            first += len(s.arms)
 
     def widest_fork(self) -> int:
         return max((max(len(s.arms), *(a.widest_fork() for a in s.arms)) for s in self.steps if s.arms), default=0)

@@ -5,7 +5,8 @@ become columns, one row for each execution: a single aggregation. Steps are then
 columns of its arms, a selection is a greatest struct, a merge compares columns; so the whole plan, however deep its
 forks, is codegen over one row at a time without another shuffle. Keys that the plan doesn't touch never enter it.
 
-Where the semantics leave a choice: the trunk is authoritative throughout; a nested commit merges into the future that
+Where the semantics leave a choice: arms are numbered on from fork to fork of the same future, so that a path names one
+future only; the trunk is authoritative throughout; a nested commit merges into the future that
 runs it, and its effects are released once all futures above are committed; failed futures stay failed; an
 execution whose commit meets a conflict under "abort" keeps its own state, and says so in `conflicted`.
 """
@@ -56,6 +57,7 @@ class Run:
         self._futures: list[tuple] = []
         self._effects: list[tuple] = []
         self._conflicts: list[str] = []
+        self._log: list[tuple] = [((), "opened", {})]
         env: dict[str, str] = {}
         pivot = lambda: {self._name(env, k): F.max(F.when(F.col("key") == k, F.col("value"))) for k in self.keys}
         self.df = executions
@@ -93,7 +95,7 @@ class Run:
         self._add(new)
 
     def _block(self, plan: Plan, env: dict[str, str], path: tuple[int, ...]) -> dict[str, str]:
-        env, maps, ordinal = dict(env), {}, 0
+        env, maps, ordinal, arms = dict(env), {}, 0, 0
         forked: dict | None = None
 
         def step(key: str, scale, addend) -> None:
@@ -107,18 +109,26 @@ class Run:
         for s in plan.until_failure():
             if s.kind in ("set", "add", "compute", "emit"):
                 step(s.key, s.scale, s.addend)
+                self._log.append((path, "step", {"key": s.key, "scale": s.scale, "addend": s.addend}))
+            elif s.kind == "sleep":
+                self._log.append((path, "step", {}))
             elif s.kind == "effect":
                 done = not path or speculatable_class(s.cls)
                 self._effects.append((path, ordinal, s, done))
                 ordinal += 1
+                read = {}
                 if s.reads_into:
-                    step(s.reads_into, 0, _plus(_times(s.addend, 2), self.bias))
+                    read = {"key": s.reads_into, "scale": 0, "addend": _plus(_times(s.addend, 2), self.bias)}
+                    step(s.reads_into, 0, read["addend"])
+                self._log.append((path, "effect", read))
             elif s.kind == "fork":
                 self._flush(env, maps)
-                ends = [self._block(arm, env, (*path, i)) for i, arm in enumerate(s.arms)]
-                forked = {"arms": s.arms, "base": dict(env), "ends": ends, "won": None, "at": len(self._futures)}
-                for i, arm in enumerate(s.arms):
+                self._log.append((path, "fork", {"arms": len(s.arms), "arm": arms}))
+                ends = [self._block(arm, env, (*path, i)) for i, arm in enumerate(s.arms, arms)]
+                forked = {"arms": s.arms, "first": arms, "base": dict(env), "ends": ends, "won": None, "at": len(self._futures)}
+                for i, arm in enumerate(s.arms, arms):
                     self._futures.append(((*path, i), arm, None, None))
+                arms += len(s.arms)
             elif s.kind == "select":
                 if forked is None:
                     raise PlanError("nothing to select from")
@@ -143,18 +153,19 @@ class Run:
 
     def _select(self, s: Step, forked: dict, path: tuple[int, ...]) -> None:
         scores = [self._score(s, arm, end) for arm, end in zip(forked["arms"], forked["ends"], strict=True)]
-        standing = [F.struct(x.alias("score"), F.lit(-i).alias("arm")) for i, x in enumerate(scores) if x is not None]
+        standing = [F.struct(x.alias("score"), F.lit(-i).alias("arm")) for i, x in enumerate(scores, forked["first"]) if x is not None]
         if not standing:
             raise PlanError("no viable future: all failed or were refused")
         won = self._fresh()
         best = standing[0] if len(standing) == 1 else F.greatest(*standing)
         self._add({won: -best["arm"]})
         forked["won"] = won
+        self._log.append((path, "selected", {"arm": F.col(won)}))
         for i, x in enumerate(scores):
             name = self._fresh() if x is not None else None
             if name:
                 self._add({name: _long(x)})
-            self._futures[forked["at"] + i] = ((*path, i), forked["arms"][i], name, (won, None))
+            self._futures[forked["at"] + i] = ((*path, forked["first"] + i), forked["arms"][i], name, (won, None))
 
     def _commit(self, s: Step, forked: dict, env: dict[str, str], path: tuple[int, ...]) -> dict[str, str]:
         """The winner's state merged with the state that its parent has now, both since the fork."""
@@ -165,7 +176,7 @@ class Run:
             ends = [e[k] for e in forked["ends"]]
             pick = F.col(ends[-1])
             for i, e in reversed(list(enumerate(ends[:-1]))):
-                pick = F.when(won == i, F.col(e)).otherwise(pick)
+                pick = F.when(won == forked["first"] + i, F.col(e)).otherwise(pick)
             ours[k] = self._fresh()
             self._add({ours[k]: pick if len(set(ends)) > 1 else F.col(ends[0])})
         # A key that the parent hasn't changed since the fork can't conflict.
@@ -181,6 +192,8 @@ class Run:
             merged = F.when(read(o) == read(F.col(base[k])), F.coalesce(t, o)).otherwise(o) if k in moved else o
             new[self._name(out, k)] = F.when(F.col(conflicted), t if s.name == "abort" else o).otherwise(merged)
         self._add(new)
+        changes = F.array(*(F.struct(F.lit(k).alias("key"), F.col(out[k]).alias("value"), F.col(out[k]).eqNullSafe(F.col(env[k])).alias("same")) for k in self.keys))
+        self._log.append((path, "committed", {"arm": won, "policy": s.name, "changes": F.transform(F.filter(changes, lambda c: ~c["same"] & c["value"].isNotNull()), lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))}))
         for i in range(len(forked["arms"])):
             p, arm, score, (w, _) = self._futures[forked["at"] + i]
             self._futures[forked["at"] + i] = (p, arm, score, (w, (conflicted, s.name)))
@@ -246,6 +259,19 @@ class Run:
             raise PlanError("the plan has no effects")
         return self.df.select("execution_id", F.explode(F.array(*rows)).alias("e")).select("execution_id", "e.*")
 
+    def records(self) -> DataFrame:
+        """The run's ledger: execution_id, sequence, path, kind (opened, step, effect, fork, selected, committed), key, scale,
+        addend, arms, arm, policy, changes. A commit is one record with all that it changes, so no prefix has half of it."""
+        rows = []
+        for sequence, (path, kind, of) in enumerate(self._log):
+            number = lambda c: (F.lit(None) if of.get(c) is None else _long(of[c])).cast("long").alias(c)  # noqa: B023, E731
+            rows.append(F.struct(
+                F.lit(sequence).cast("long").alias("sequence"), F.array(*map(F.lit, path)).cast("array<int>").alias("path"), F.lit(kind).alias("kind"), F.lit(of.get("key")).cast("string").alias("key"),
+                *map(number, ("scale", "addend", "arms", "arm")), F.lit(of.get("policy")).cast("string").alias("policy"),
+                (of["changes"] if "changes" in of else F.lit(None)).cast("array<struct<key:string,value:bigint>>").alias("changes"),
+            ))
+        return self.df.select("execution_id", F.explode(F.array(*rows)).alias("r")).select("execution_id", "r.*")
+
     def conflicted(self) -> DataFrame:
         """execution_id, conflicted: whether any commit met a conflict."""
         flags = [F.col(c) for c in self._conflicts]
