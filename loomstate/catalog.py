@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import contracts, effects, folding, lineage, logs, merging, selecting
-from .plans import Plan, Run
+from .operators import contracts, effects, folding, lineage, logs, merging, rebuild, selecting
+from .plans import Plan, Run, strategies
 from .sources import frames as binary
 from .sources.ledger import OPS_SQL, operations, table
 
@@ -31,6 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 KEY = ["execution_id", "key"]
+named = lambda c: F.array_join(F.col(c).cast("array<string>"), ".").alias(c)
 AFFINE_SQL = f"""WITH {OPS_SQL}, a AS (
   SELECT *, CASE kind WHEN 'set' THEN 0 WHEN 'compute' THEN -1 ELSE 1 END AS scale FROM ops WHERE kind <> 'sleep')"""
 
@@ -437,6 +438,36 @@ def plan_run_effects(spark, d):
     return orders_run(spark, d).effects()
 
 
+for _name, _arms, _write in (("deterministic", 0, "performed"), ("observe", 0, "suppressed"), ("speculative", 3, "performed")):
+
+    @query(f"strategy_{_name}", PLAN_SQL + f""", f AS (SELECT w.*, unnest([0, 1, 2]) AS arm FROM w)
+SELECT execution_id, 'e' || execution_id || '/' || arm || '.e0' AS effect_key, CASE WHEN arm = 2 THEN 'read' WHEN arm = won THEN '{_write}' ELSE 'waiting' END AS sink, CASE arm WHEN 2 THEN cust * 2 END AS result FROM f""")
+    def _strategy(spark, d, name=_name, arms=_arms):
+        return strategies.Strategy(name, arms).issued(orders_run(spark, d)).select("execution_id", "effect_key", "sink", "result")
+
+
+@query("rebuild_states", PLAN_SQL + """, f AS (SELECT w.*, unnest([0, 1, 2]) AS arm FROM w), t AS (SELECT execution_id, arm, won, cust, CASE arm WHEN 0 THEN price * 3 WHEN 1 THEN price + cust ELSE cust - price END AS total, CASE arm WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS score FROM f),
+y AS (SELECT *, CAST(arm AS VARCHAR) AS path FROM t UNION ALL SELECT *, '' FROM t WHERE arm = won)
+SELECT execution_id, path, 'total' AS key, total AS value FROM y UNION ALL SELECT execution_id, path, 'score', score FROM y UNION ALL SELECT execution_id, path, 'quoted', cust * 2 FROM y WHERE arm = 2 UNION ALL SELECT execution_id, '', 'committed', 1 FROM w""")
+def rebuild_states(spark, d):
+    return rebuild.states(orders_run(spark, d).records()).select("execution_id", named("path"), "key", "value")
+
+
+@query("rebuild_commit_check", PLAN_SQL + " SELECT execution_id, CAST(13 AS BIGINT) AS sequence, 'score' AS key, CASE won WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END + 1 AS recorded, CASE won WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS recomputed FROM w WHERE execution_id % 10 = 3")
+def rebuild_commit_check(spark, d):
+    """A tenth of the commits have a wrong score recorded; just these must be told."""
+    wrong = F.expr("transform(changes, c -> named_struct('key', c.key, 'value', c.value + if(c.key = 'score' and execution_id % 10 = 3, 1L, 0L)))")
+    records = orders_run(spark, d).records().withColumn("changes", wrong)
+    return rebuild.commit_mismatches(records)
+
+
+@query("rebuild_violations", "SELECT o_orderkey AS execution_id, CAST(unnest([2, 3, 4]) AS BIGINT) AS sequence, 'before its fork' AS problem FROM orders WHERE o_orderkey % 10 = 7")
+def rebuild_violations(spark, d):
+    """In a tenth of the ledgers the fork comes behind the first arm's three records; just these must be told."""
+    moved = F.when((F.col("execution_id") % 10 == 7) & F.col("sequence").between(2, 5), F.when(F.col("sequence") == 2, 5).otherwise(F.col("sequence") - 1)).otherwise(F.col("sequence"))
+    return rebuild.violations(orders_run(spark, d).records().withColumn("sequence", moved.cast("long")))
+
+
 def nested_run(spark: SparkSession, d: str) -> Run:
     """The states of executions folded from events go through a fork whose first arm forks again."""
     h = F.col("held")
@@ -464,7 +495,6 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 TREE_SQL = """WITH f AS (SELECT DISTINCT c_nationkey AS execution_id, list_slice([c_custkey % 3, (c_custkey // 3) % 3, (c_custkey // 9) % 3], 1, c_custkey % 4) AS path,
   CASE c_custkey % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'blocked' WHEN 2 THEN 'committed' ELSE 'rejected' END AS status FROM customer)"""
-named = lambda c: F.array_join(F.col(c).cast("array<string>"), ".").alias(c)
 
 
 @query("lineage_ancestors", TREE_SQL + ", a AS (SELECT execution_id, path, status, unnest(range(1, len(path) + 1)) AS distance FROM f) SELECT execution_id, array_to_string(path, '.') AS path, CAST(distance AS INTEGER) AS distance, array_to_string(list_slice(path, 1, len(path) - distance), '.') AS ancestor FROM a")
