@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from loomstate import catalog
 
-HEADLINE = ["state_fold_affine", "state_fold_closed", "state_prefix_versions", "delta_coalesce", "three_way_merge", "select_highest_score", "effect_dedup", "effect_owed", "log_valid_prefix", "contract_outcomes"]
+HEADLINE = ["state_fold_affine", "state_fold_closed", "state_prefix_versions", "delta_coalesce", "three_way_merge", "select_highest_score", "effect_dedup", "effect_owed", "log_valid_prefix", "contract_outcomes", "plan_run_states", "plan_run_effects", "rebuild_states", "frame_read"]
 
 
 def main() -> None:

@@ -33,48 +33,49 @@ def segmented(records: DataFrame) -> DataFrame:
 
 def segment_maps(segments: DataFrame) -> DataFrame:
     """execution_id, path, segment, key, scale, addend. A commit's changes stand at the head of the segment behind it."""
-    own = segments.where("key is not null").select(ID, "path", "segment", F.col("sequence").alias("seq"), "key", "scale", "addend")
-    committed = segments.where("kind = 'committed'").select(ID, "path", (F.col("segment") + 1).alias("segment"), F.col("sequence").alias("seq"), F.explode("changes").alias("c"))
-    sets = committed.select(ID, "path", "segment", "seq", "c.key", F.lit(0).cast("long").alias("scale"), F.col("c.value").alias("addend"))
-    return compose_maps(own.unionByName(sets), [ID, "path", "segment", "key"])
+    as_map = lambda segment, key, scale, addend: F.struct(segment.alias("segment"), key.alias("key"), scale.cast("long").alias("scale"), addend.alias("addend"))
+    own = F.when(F.col("key").isNotNull(), F.array(as_map(F.col("segment"), F.col("key"), F.col("scale"), F.col("addend"))))
+    sets = F.when(F.col("kind") == "committed", F.transform("changes", lambda c: as_map(F.col("segment") + 1, c["key"], F.lit(0), c["value"])))
+    maps = segments.select(ID, "path", F.col("sequence").alias("seq"), F.explode(F.coalesce(own, sets)).alias("m")).select(ID, "path", "seq", "m.*")
+    return compose_maps(maps, [ID, "path", "segment", "key"])
 
 
-def futures(segments: DataFrame) -> DataFrame:
-    """execution_id, path, forked_in: the segment of the parent that ends in the fork; null for the trunk."""
+def futures(records: DataFrame) -> DataFrame:
+    """execution_id, path, forked_in: the segment of the parent that ends in the fork; null for the trunk. Steps aren't read."""
+    segments = segmented(records.where(F.col("kind").isin("opened", "fork", "committed")))
     trunk = segments.where("kind = 'opened'").select(ID, "path", F.lit(None).cast("long").alias("forked_in"))
     arms = segments.where("kind = 'fork'").select(ID, "path", F.explode(F.expr("sequence(cast(arm as int), cast(arm + arms - 1 as int))")).alias("_arm"), F.col("segment").alias("forked_in"))
     return trunk.unionByName(arms.select(ID, F.concat("path", F.array("_arm")).alias("path"), "forked_in"))
 
 
-def states_at(segments: DataFrame, views: DataFrame) -> DataFrame:
+def states_at(records: DataFrame, views: DataFrame) -> DataFrame:
     """execution_id, view, key, value. views: execution_id, view (any type), path, upto: the last of the path's own segments seen, null for all."""
-    forks = futures(segments).where("size(path) > 0").select(ID, F.col("path").alias("_child"), "forked_in")
+    forks = futures(records).where("size(path) > 0").select(ID, F.col("path").alias("_child"), "forked_in")
     parts = views.select(ID, "view", "path", "upto", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("_n"))
     parts = parts.withColumn("_child", F.when(F.col("_n") < F.size("path"), F.expr("slice(path, 1, _n + 1)"))).withColumn("_at", F.expr("slice(path, 1, _n)"))
     seen = parts.join(forks, [ID, "_child"], "left").select(ID, "view", F.col("_at").alias("path"), "_n", F.when(F.col("_child").isNull(), F.col("upto")).otherwise(F.col("forked_in")).alias("_upto"))
-    maps = seen.join(segment_maps(segments), [ID, "path"]).where("_upto is null or segment <= _upto")
+    maps = seen.join(segment_maps(segmented(records)), [ID, "path"]).where("_upto is null or segment <= _upto")
     ordered = F.array_sort(F.collect_list(F.struct("_n", "segment", "scale", "addend")))
     return maps.groupBy(ID, "view", "key").agg(ordered.alias("ms")).select(ID, "view", "key", compose(F.col("ms"))["addend"].alias("value"))
 
 
 def states(records: DataFrame) -> DataFrame:
     """execution_id, path, key, value of every future, the trunk's path being empty."""
-    segments = segmented(records)
-    views = futures(segments).select(ID, F.col("path").alias("view"), "path", F.lit(None).cast("long").alias("upto"))
-    return states_at(segments, views).withColumnRenamed("view", "path")
+    views = futures(records).select(ID, F.col("path").alias("view"), "path", F.lit(None).cast("long").alias("upto"))
+    return states_at(records, views).withColumnRenamed("view", "path")
 
 
 def commit_mismatches(records: DataFrame) -> DataFrame:
     """execution_id, sequence, key, recorded, recomputed of commits whose changes don't follow from the states merged."""
-    segments = segmented(records)
-    commits = segments.where("kind = 'committed'").select(ID, "sequence", "path", "segment", "arm", "policy", "changes")
+    cuts = segmented(records.where(F.col("kind").isin("fork", "committed")))
+    commits = cuts.where("kind = 'committed'").select(ID, "sequence", "path", "segment", "arm", "policy", "changes")
     child = F.concat("path", F.array(F.col("arm").cast("int")))
-    forks = futures(segments).where("forked_in is not null").select(ID, F.col("path").alias("_child"), "forked_in")
+    forks = futures(records).where("forked_in is not null").select(ID, F.col("path").alias("_child"), "forked_in")
     known = commits.withColumn("_child", child).join(forks, [ID, "_child"])
     side_of = lambda name, path, upto: F.struct(F.lit(name).alias("side"), F.col(path).alias("path"), upto.cast("long").alias("upto"))
     sides = F.array(side_of("base", "path", F.col("forked_in")), side_of("ours", "_child", F.lit(None)), side_of("theirs", "path", F.col("segment")))
     views = known.select(ID, "sequence", F.explode(sides).alias("s")).select(ID, F.struct(F.col("sequence"), F.col("s.side").alias("side")).alias("view"), "s.path", "s.upto")
-    found = states_at(segments, views).select(F.struct(ID, F.col("view.sequence").alias("sequence")).alias(ID), F.col("view.side").alias("side"), "key", "value")
+    found = states_at(records, views).select(F.struct(ID, F.col("view.sequence").alias("sequence")).alias(ID), F.col("view.side").alias("side"), "key", "value")
     side = lambda name: found.where(F.col("side") == name).select(ID, "key", "value")
     merged = merging.merge(side("base"), side("ours"), side("theirs"))
     policies = known.select(F.struct(ID, "sequence").alias(ID), "policy")
