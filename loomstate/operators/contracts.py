@@ -35,7 +35,7 @@ def forbidden(opened: DataFrame, events: DataFrame, event: str, more_than: int,
 
 
 def outcomes(expected: DataFrame, forbids: DataFrame, as_of: Column, correlation: str = "user_id") -> DataFrame:
-    """open, satisfied, violated or breached. A violation precedes a breach, a breach a satisfaction."""
+    """open, satisfied, violated or breached. A violation precedes both others, which exclude each other."""
     both = expected.join(forbids, [correlation, "opened_by"])
     outcome = F.when(F.col("violated"), "violated").when(F.col("seen_at").isNotNull(), "satisfied").when(F.col("due_at") <= as_of, "breached").otherwise("open")
     return both.withColumn("outcome", outcome)
