@@ -1,20 +1,26 @@
 """Licence scans: texts held against licence templates by the Dice coefficient over word bigrams.
 
-A text is normalised to lower-case words without marks. Units are the whole text, each line, and each run of lines
-that all share a bigram with the same template. A template is a candidate for a unit only if they share a bigram
-and the unit's number of distinct bigrams lies within the bounds that the threshold leaves: from t/(2-t) to
-(2-t)/t times the template's. Documents with the same notice are each judged alone; nothing is shuffled.
+A text is normalised to lower-case words without marks. Units are all spans of its words, wherever lines begin or end,
+so that blank lines, comment marks and prose beside a notice don't matter. A template is a candidate for a text only if
+they share t/(2-t) times its distinct bigrams, as no span reaches the threshold t with less; a span of more than (2-t)/t
+times as many doesn't reach it either. Documents with the same notice are each judged alone; nothing is shuffled.
 
-Defined results: null and empty texts have no licence; of units with the same coefficient the first, shortest one is
-given; a text can have several licences; repeated rows give repeated results; null identifiers are kept as null.
+Defined results: null and empty texts have no licence; of spans with the same coefficient the one that shares most, of
+these the shortest, of these the first is given, by the lines of its first and last word; a text can have several licences; repeated rows give repeated results; null identifiers are kept as null.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,45 +66,103 @@ def normalised_words(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def indexed(templates: tuple) -> tuple[list[tuple[str, set]], dict[tuple, list[int]]]:
+def indexed(templates: tuple) -> tuple[list[tuple[str, set]], frozenset, dict[tuple, list[int]]]:
     sets = [(name, bigrams(normalised_words(text))) for name, text in templates]
     index: dict[tuple, list[int]] = {}
     for i, (_, grams) in enumerate(sets):
         for gram in grams:
             index.setdefault(gram, []).append(i)
-    return sets, index
+    return sets, frozenset(index), index
+
+
+class Stream:
+    """The bigrams of a text by position, with the places of the equal ones before and after each."""
+
+    def __init__(self, words: list[str]):
+        ids: dict[tuple, int] = {}
+        self.ids = np.fromiter((ids.setdefault(gram, len(ids)) for gram in zip(words, words[1:])), np.int64, len(words) - 1)
+        self.numbers, self.size = ids, len(words) - 1
+        order = np.argsort(self.ids, kind="stable")
+        same = self.ids[order[1:]] == self.ids[order[:-1]]
+        self.before, self.after = np.full(self.size, -1), np.full(self.size, self.size)
+        self.before[order[1:][same]], self.after[order[:-1][same]] = order[:-1][same], order[1:][same]
+
+    def spans(self, grams: set, threshold: float, low: int = 0, high: int | None = None) -> list[tuple]:
+        """(dice, shared, distinct, first, last): the template's spans from low to high that share no word, best first.
+
+        A best span begins with a shared bigram that it doesn't hold again, and ends with one that it hasn't held before.
+        """
+        marks = np.zeros(len(self.numbers), bool)
+        marks[[self.numbers[gram] for gram in grams if gram in self.numbers]] = True
+        shared = marks[self.ids]
+        high = self.size if high is None else high
+        least, most = least_shared(len(grams), threshold), int((2 - threshold) / threshold * len(grams) + 1e-9)
+
+        def best_from(first: int, end: int) -> None:
+            end, size = min(end, int(self.after[first])), 2 * most
+            while True:
+                stop = min(first + size, end)
+                new = self.before[first:stop] < first
+                distinct = np.cumsum(new)
+                if stop == end or distinct[-1] > most:
+                    break
+                size *= 2
+            common = np.cumsum(new & shared[first:stop])
+            dice = 2 * common / (distinct + len(grams))
+            k = int(dice.argmax())
+            if dice[k] >= threshold:
+                heapq.heappush(heap, (-float(dice[k]), -int(common[k]), k, first, int(distinct[k])))
+
+        heap: list[tuple] = []
+        places = (low + np.flatnonzero(shared[low:high])).tolist()
+        names, held, to = self.ids[places].tolist(), {}, 0
+        for k, first in enumerate(places):
+            while len(held) < least and to < len(places):
+                held[names[to]] = held.get(names[to], 0) + 1
+                to += 1
+            if len(held) < least:
+                break
+            if places[to - 1] < self.after[first]:
+                best_from(first, high)
+            held[names[k]] -= 1
+            if not held[names[k]]:
+                del held[names[k]]
+        found: list[tuple] = []
+        taken: list[tuple[int, int]] = []
+        while heap:
+            dice, common, length, first, distinct = heapq.heappop(heap)
+            at = bisect_right(taken, (first, self.size))
+            if at and taken[at - 1][1] + 1 >= first:
+                continue
+            if at < len(taken) and taken[at][0] <= first + length + 1:
+                if (end := taken[at][0] - 1) > first:
+                    best_from(first, end)
+                continue
+            taken.insert(at, (first, first + length))
+            found.append((-dice, -common, distinct, first, first + length))
+        return found
+
+
+def least_shared(size: int, threshold: float) -> int:
+    """Distinct bigrams that a span must share with a template of that size: all others would only lower the coefficient."""
+    return max(1, math.ceil(threshold / (2 - threshold) * size - 1e-9))
 
 
 def scan(text: str, templates: tuple, threshold: float) -> list[tuple]:
-    """(licence, dice, first line, last line), the best unit of each licence."""
-    sets, index = indexed(templates)
-    lines = [normalised_words(x) for x in text.split("\n")]
-    hits: dict[int, list[int]] = {}  # template -> lines that share a bigram with it
-    known = index.keys()
-    for k, words in enumerate(lines):
-        for gram in bigrams(words) & known:
-            for i in index[gram]:
-                if not (at := hits.setdefault(i, [])) or at[-1] != k:
-                    at.append(k)
-    if not hits:
+    """(licence, dice, first line, last line), the best span of each licence."""
+    sets, known, index = indexed(templates)
+    words = normalised_words(text)
+    counts = Counter(chain.from_iterable(index[gram] for gram in known.intersection(zip(words, words[1:]))))
+    near = [i for i, n in counts.items() if n >= least_shared(len(sets[i][1]), threshold)]
+    if not near:
         return []
+    stream = Stream(words)
+    line = [k for k, x in enumerate(text.split("\n")) for _ in normalised_words(x)]
     best: dict[str, tuple] = {}
-    for i, at in hits.items():
-        name, grams = sets[i]
-        low, high = threshold / (2 - threshold) * len(grams), (2 - threshold) / threshold * len(grams)
-        runs, start = [(k, k) for k in at], at[0]
-        for a, b in zip(at, [*at[1:], None], strict=True):
-            if b != a + 1:
-                runs += [(start, a)] if start != a else []
-                start = b
-        for a, b in dict.fromkeys([*runs, (0, len(lines) - 1)]):
-            total = sum(map(len, lines[a : b + 1]))
-            if total - 1 < low:  # no more distinct bigrams than that
-                continue
-            unit = bigrams([w for line in lines[a : b + 1] for w in line])
-            if low <= len(unit) <= high and (dice := 2 * len(unit & grams) / (len(unit) + len(grams))) >= threshold:
-                best[name] = max(best.get(name, (0,)), (dice, a - b, -a, b))
-    return [(name, d, -a, b) for name, (d, _, a, b) in sorted(best.items())]
+    for i in near:
+        for dice, shared, _, a, b in stream.spans(sets[i][1], threshold):
+            best[sets[i][0]] = max(best.get(sets[i][0], (0,)), (dice, shared, a - b, -a))
+    return [(name, d, line[-a], line[1 - a - n]) for name, (d, _, n, a) in sorted(best.items())]
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())])
