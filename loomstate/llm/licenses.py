@@ -6,7 +6,10 @@ they share t/(2-t) times its distinct bigrams, as no span reaches the threshold
 times as many doesn't reach it either. Documents with the same notice are each judged alone; nothing is shuffled.
 
 Defined results: null and empty texts have no licence; of spans with the same coefficient the one that shares most, of
-these the shortest, of these the first is given, by the lines of its first and last word; a text can have several licences; repeated rows give repeated results; null identifiers are kept as null.
+these the shortest, of these the first is given, by the lines of its first and last word; a text can have several licences.
+Words speak for one licence: of spans of different templates with words in common, the one that explains most is kept (shared
+less other bigrams, then the higher coefficient; equal ones of the same words are all kept), and the others are looked for in
+what it leaves. The coefficient alone would prefer the two clauses inside a BSD-3-Clause text that names its holder; repeated rows give repeated results; null identifiers are kept as null.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from importlib import resources
 from itertools import chain
 
 import numpy as np
@@ -29,8 +33,8 @@ from .common import batches, column_of, read_table, text_column, texts_of
 
 THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+")
-#: Templates: short notices as they stand at a text's foot, and the wording of short licences. A parameter of the scan.
-TEMPLATES = (
+#: Short notices as they stand at a text's foot, and the wording of short licences.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
@@ -56,6 +60,47 @@ TEMPLATES = (
     ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
 )
 
+#: Whole licences, in license_texts/NAME.txt, without what follows their terms.
+WHOLE = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+GNU = (("GPL", "", "1.0 2.0 3.0"), ("LGPL", "Library", "2.0"), ("LGPL", "Lesser", "2.1 3.0"), ("AGPL", "Affero", "3.0"))
+CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
+
+
+def gnu_headers() -> Iterator[tuple[str, str]]:
+    """The grant alone and the standard header; all versions have the same forms, so that just the version decides."""
+    for family, kind, versions in GNU:
+        for name, number in ((f"{family}-{v}", v.removesuffix(".0")) for v in versions.split()):
+            title = " ".join(f"GNU {kind} General Public License".split())
+            yield name, f"This work is licensed under the {title}, version {number}."
+            for thing in ("program", "library"):
+                free = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the {title}"
+                hope = f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details. You should have received a copy of the {title} along with this {thing}; if not,"
+                later = f"{free} as published by the Free Software Foundation; either version {number} of the License, or (at your option) any later version."
+                only = f"{free} version {number} as published by the Free Software Foundation."
+                for grant in (later, only):
+                    yield name, grant
+                    yield name, f"{grant} {hope} see https://www.gnu.org/licenses/."
+                    yield name, f"{grant} {hope} write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+
+
+def cc_notices() -> Iterator[tuple[str, str]]:
+    for short, title in CC:
+        for version, scope in CC_VERSIONS:
+            yield f"CC-{short}-{version}", f"Licensed under CC {short} {version}."
+            yield f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {title} {version} {scope} License."
+
+
+#: Versions that the notices above would take for their own.
+OTHER_VERSIONS = (
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-1.0", "Licensed under the Apache License, Version 1.0."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an AS IS basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License."),
+)
+#: A parameter of the scan.
+TEMPLATES = (*NOTICES, *OTHER_VERSIONS, *gnu_headers(), *cc_notices(), *((x, resources.files(__package__).joinpath("license_texts", f"{x}.txt").read_text("utf-8")) for x in WHOLE))
+TEMPLATES = tuple(dict.fromkeys(TEMPLATES))
+
 
 def bigrams(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:]))
@@ -149,7 +194,7 @@ def least_shared(size: int, threshold: float) -> int:
 
 
 def scan(text: str, templates: tuple, threshold: float) -> list[tuple]:
-    """(licence, dice, first line, last line), the best span of each licence."""
+    """(licence, dice, first line, last line), the best span of each licence that has words of its own."""
     sets, known, index = indexed(templates)
     words = normalised_words(text)
     counts = Counter(chain.from_iterable(index[gram] for gram in known.intersection(zip(words, words[1:]))))
@@ -157,12 +202,39 @@ def scan(text: str, templates: tuple, threshold: float) -> list[tuple]:
     if not near:
         return []
     stream = Stream(words)
-    line = [k for k, x in enumerate(text.split("\n")) for _ in normalised_words(x)]
-    best: dict[str, tuple] = {}
+    heap: list[tuple] = []
+
+    def push(i: int, low: int, high: int) -> None:
+        for dice, shared, distinct, a, b in stream.spans(sets[i][1], threshold, low, high):
+            heapq.heappush(heap, (distinct - 2 * shared, -dice, b - a, a, i))
+
     for i in near:
-        for dice, shared, _, a, b in stream.spans(sets[i][1], threshold):
-            best[sets[i][0]] = max(best.get(sets[i][0], (0,)), (dice, shared, a - b, -a))
-    return [(name, d, line[-a], line[1 - a - n]) for name, (d, _, n, a) in sorted(best.items())]
+        push(i, 0, stream.size)
+    taken: list[tuple[int, int]] = []
+    ranks: dict[tuple[int, int], tuple] = {}
+    best: dict[str, tuple] = {}
+    while heap:
+        *rank, length, a, i = heapq.heappop(heap)
+        b = a + length
+        at = to = bisect_right(taken, (a, stream.size))
+        if at and taken[at - 1][1] + 1 >= a:
+            at -= 1
+        while to < len(taken) and taken[to][0] <= b + 1:
+            to += 1
+        if at == to:
+            taken.insert(at, (a, b))
+            ranks[a, b] = rank
+        elif taken[at:to] != [(a, b)] or ranks[a, b] != rank:
+            # What the taken spans leave of this one may still hold the template.
+            edges = [(a - 2, a - 2), *taken[at:to], (b + 2, b + 2)]
+            for (_, end), (start, _) in zip(edges, edges[1:]):
+                if start - 1 > end + 2:
+                    push(i, max(a, end + 2), min(b + 1, start - 1))
+            continue
+        name = sets[i][0]
+        best[name] = max(best.get(name, (0,)), (-rank[1], -rank[0], -length, -a))
+    line = [k for k, x in enumerate(text.split("\n")) for _ in normalised_words(x)]
+    return [(name, dice, line[-a], line[1 - a - n]) for name, (dice, _, n, a) in sorted(best.items())]
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())])
