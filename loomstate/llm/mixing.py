@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import read_table, stored
 from .sql import CRC_TABLE_SQL, crc32_sql, md5_bits_sql
 
-#: Production weights; the share of all tokens that the mix has; epochs that a leaf may give; the order's seed.
+#: Production weights (of sources none, so that those of a domain and language count alike); the share of all tokens that the mix has; epochs that a leaf may give; the order's seed.
 DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
 LANG_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+SOURCE_WEIGHTS: dict[str, float] = {}
 SHARE, EPOCHS, SEED = 0.8, 2, 7
 #: Hashed ranges of a leaf; leaves that are broadcast at most.
 RANGES, BROADCAST_LEAVES = 4096, 200_000
@@ -64,7 +65,7 @@ def ordering(epoch: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def plan(leaves: DataFrame, share: float, epochs: int, domain_weights: dict, lang_weights: dict) -> DataFrame:
+def plan(leaves: DataFrame, share: float, epochs: int, domain_weights: dict, lang_weights: dict, source_weights: dict = SOURCE_WEIGHTS) -> DataFrame:
     """A row for each leaf: full (epochs given whole) and rest (tokens of the next)."""
     caps = leaves.withColumn("cap", (F.col("held") * epochs).cast("double"))
     whole = leaves.agg(F.floor(F.sum("held") * share).cast("double").alias("budget"))
@@ -72,19 +73,19 @@ def plan(leaves: DataFrame, share: float, epochs: int, domain_weights: dict, lan
     d = share_out(d, [], "_domain").select("_domain", F.col("got").alias("budget"))
     n = caps.groupBy("_domain", "_lang").agg(F.sum("cap").alias("cap")).withColumn("w", weight("_lang", lang_weights)).join(d, "_domain")
     n = share_out(n, ["_domain"], "_lang").select("_domain", "_lang", F.col("got").alias("budget"))
-    s = share_out(caps.withColumn("w", F.lit(1.0)).join(n, ["_domain", "_lang"]), ["_domain", "_lang"], "_source")
+    s = share_out(caps.withColumn("w", weight("_source", source_weights)).join(n, ["_domain", "_lang"]), ["_domain", "_lang"], "_source")
     quota = s.withColumn("quota", F.floor(F.col("got") + 1e-6).cast("long"))
     full = quota.withColumn("full", F.least(F.expr("quota div held"), F.lit(epochs)))
     return full.select(*LEAF, "held", "quota", "full", (F.col("quota") - F.col("full") * F.col("held")).alias("rest"))
 
 
-def mix(docs: DataFrame, columns: list, domain: Column, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, columns: list, domain: Column, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS, tokens: Column | None = None, source_weights=SOURCE_WEIGHTS) -> DataFrame:
     """The columns of each row that the mix has, once for each epoch, with epoch (from 0)."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     tokens = tokens_of() if tokens is None else tokens
     base = docs.select(F.struct(*columns).alias("_row"), name(domain).alias("_domain"), name(F.col("lang")).alias("_lang"), name(F.col("source")).alias("_source"), F.col("doc_id").alias("_id"), tokens.alias("_t"))
     slim = stored(base.select(*LEAF, "_id", "_t"), "slim")
-    leaves = stored(plan(slim.groupBy(*LEAF).agg(F.sum("_t").alias("held")), share, epochs, domain_weights, lang_weights), "leaves")
+    leaves = stored(plan(slim.groupBy(*LEAF).agg(F.sum("_t").alias("held")), share, epochs, domain_weights, lang_weights, source_weights), "leaves")
     few = leaves.count() <= BROADCAST_LEAVES
     small = F.broadcast if few else lambda x: x
     hashed = slim.join(small(leaves), LEAF).where("rest > 0").withColumn("_h", ordering(F.col("full"), seed)).withColumn("_range", F.shiftright("_h", 48))
@@ -102,10 +103,10 @@ def mix(docs: DataFrame, columns: list, domain: Column, share: float = SHARE, ep
     return copies.select("_row", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("epoch")).select("_row.*", "epoch")
 
 
-def keep_mix(docs: DataFrame, share: float = 0.9) -> DataFrame:
+def keep_mix(docs: DataFrame, share: float = 0.9, source_weights: dict = SOURCE_WEIGHTS) -> DataFrame:
     """The rows of docs that a mix of one epoch has."""
     wrapped = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_all"))
-    return mix(wrapped, ["_all"], domain_of(), share=share, epochs=1).select("_all.*")
+    return mix(wrapped, ["_all"], domain_of(), share=share, epochs=1, source_weights=source_weights).select("_all.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
