@@ -39,7 +39,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixture), ("packing", packed)]
-#: SQL can express neither the classifier nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the packing; tests hold the stages against plain Python
+#: (quality against the classifier's own scores, packing against the documents it is given).
 ORACLE_SQL = None
 
 
