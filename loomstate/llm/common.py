@@ -57,6 +57,11 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by their own names, whatever stands in these (a dot names no field)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string or binary column as bytes; null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -5,10 +5,15 @@ texts into a compressed radix trie of its own and passes on one row for each dis
 copies that holds a third of all rows leaves a task as one row. Those rows are dealt by length and content hash;
 the task that owns a (length, hash) part inserts the full byte strings into its trie, where a terminal node holds
 the smallest identifier, how many rows bear it, and the group's size. If a trie outgrows its memory, its heaviest
-subtree moves to an unnamed temporary file and is finished on its own afterwards.
+subtree moves to an unnamed temporary file of the task, and is finished on its own afterwards; a task that is run again
+begins with its rows, so nothing is lost with the file.
+
+Rows meet their groups by the text's hash. A group that has a HEAVY-th of all rows or more would fill a task; there are
+HEAVY of them at most, so they are broadcast, and their rows are dealt by their identifiers.
 
 Defined results: a null text is an empty text; a null identifier is larger than any other, and stays only if the whole group
-has none; of repeated rows with the same identifier and text exactly one stays; an empty table gives no rows.
+has none; of repeated rows with the same identifier and text exactly one stays; texts of any length are compared whole; other
+columns, whatever their names, stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, column_of, read_table, text_column, texts_of
+from .common import SPACES, column_of, columns_of, read_table, stored, text_column, texts_of
 
 #: Bytes of labels that an input task's trie gathers before it passes them on, and that an owner's holds before it spills.
 LOCAL_BYTES, OWNER_BYTES = 24 << 20, 96 << 20
+#: Groups with a HEAVY-th of all rows; rows to drop that may be broadcast (16 MB of numbers), beyond which a shuffle joins.
+HEAVY, BROADCAST_GONE = 10_000, 1_000_000
 
 
 class Node:
@@ -85,14 +92,16 @@ class PatriciaTrie:
         while len(live := [k for k in node.kids.values() if not k.spill]) == 1 and not node.count:
             node, prefix = live[0], prefix + live[0].label
         size, kid = max(((self._size(k), k) for k in live), key=lambda x: x[0], default=(0, None))
-        if kid is None or not kid.kids and len(live) == 1:
-            self.limit = None  # one text alone; nothing can be parted
-            return
+        if kid is None:
+            return  # one text alone, which can't be parted; the next that differs can
         file = Spill()
         for key, (ident, same, count) in self._walk(kid, prefix):
             file.add(key, ident, same, count)
-        kid.kids, kid.count, kid.spill = {}, 0, file
-        self.held -= size
+        for below in self._files(kid):
+            for row in below.rows():
+                file.add(*row)
+        kid.label, kid.kids, kid.count, kid.spill = kid.label[:1], {}, 0, file
+        self.held -= size - 201
 
     @staticmethod
     def _size(node: Node) -> int:
@@ -103,6 +112,15 @@ class PatriciaTrie:
             rest.extend(n.kids.values())
         return total
 
+    @staticmethod
+    def _files(node: Node) -> list["Spill"]:
+        found, rest = [], [node]
+        while rest:
+            n = rest.pop()
+            found += [n.spill] if n.spill else []
+            rest.extend(n.kids.values())
+        return found
+
     @staticmethod
     def _walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, tuple]]:
         rest = [(node, prefix)]
@@ -116,11 +134,7 @@ class PatriciaTrie:
     def items(self) -> Iterator[tuple[bytes, tuple]]:
         """All texts; those in memory first, then the spilled subtrees one after the other."""
         limit, root = self.limit, self.root
-        files, rest = [], [root]
-        while rest:
-            n = rest.pop()
-            files += [n.spill] if n.spill else []
-            rest.extend(n.kids.values())
+        files = self._files(root)
         yield from self._walk(root, b"")
         self.root, self.held, root = Node(b""), 0, None
         for file in files:
@@ -201,22 +215,51 @@ def sha(text_col: str = "text"):
     return F.sha2(normalised(text_col).cast("binary"), 256)
 
 
+def with_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (doc_id, text_sha256 and others) with keep_id, same, group_size of their groups (stored), and part, equal for equal texts of one identifier."""
+    total = found.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n"))
+    sized = found.join(F.broadcast(total)).withColumn("heavy", F.col("group_size") * HEAVY >= F.col("n"))
+    of = lambda name: F.struct("keep_id", "same", "group_size").alias(name)
+    heavy = sized.where("heavy").select("text_sha256", of("_heavy"))
+    light = sized.where("not heavy").select(F.col("text_sha256").alias("part"), of("_light"))
+    part = F.when(F.col("_heavy").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("id "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    marked = rows.join(F.broadcast(heavy), "text_sha256", "left").withColumn("part", part)
+    return marked.join(light.hint("merge"), "part", "left").withColumn("g", F.coalesce("_heavy", "_light")).select("part", *rows.columns, "g.*")
+
+
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sha(text_col).alias("text_sha256"))
-    found = rows.join(groups(docs, id_col, text_col), "text_sha256")
-    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id"))
+    found = with_groups(rows, stored(groups(docs, id_col, text_col), "groups"))
+    first = F.row_number().over(Window.partitionBy("part", "text_sha256", "doc_id").orderBy("doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (first == 1)
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns. Joined by text and identifier, so no group of copies meets in a task."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), sha(text_col).alias("_sha"))
-    keep = groups(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    found = row.join(keep, (row["_sha"] == keep["_sha"]) & row["_id"].eqNullSafe(keep["_keep"])).select(row["_sha"], "_id", "_row")
-    first = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy("_id"))
-    return found.withColumn("_first", first).where("_first = 1").select("_row.*")
+    """The rows of docs that stay, with their columns. Rows are told by identifier and a hash of their text as it is; the
+    list of those that go is small or is joined by a shuffle. Rows equal in both are numbered, if there are any, and one stays."""
+    ident, raw = F.col(id_col).cast("long"), F.xxhash64(text_column(text_col))
+    rows = docs.select(ident.alias("doc_id"), sha(text_col).alias("text_sha256"), raw.alias("h"))
+    found = with_groups(rows, stored(groups(docs, id_col, text_col), "groups")).withColumn("first", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    odd = stored(found.where("not first or same > 1").select("part", "text_sha256", "doc_id", "h", "first"), "odd")
+    lowest = odd.where("first").groupBy("part", "text_sha256", "doc_id").agg(F.min("h").alias("h"))
+    again = stored(lowest.select("doc_id", "h"), "again")
+    others = odd.where("first").select("doc_id", "h").distinct()
+    others = others.join(again, others["doc_id"].eqNullSafe(again["doc_id"]) & (others["h"] == again["h"]), "left_anti")
+    gone = stored(odd.where("not first").select("doc_id", "h").union(others), "gone")
+    row = docs.select(F.struct(*columns_of(docs)).alias("_row"), ident.alias("_id"), raw.alias("_h"))
+
+    def joined(left: DataFrame, right: DataFrame, n: int, how: str) -> DataFrame:
+        small = F.broadcast(right) if n <= BROADCAST_GONE else right.hint("merge")
+        return left.join(small, left["_id"].eqNullSafe(right["doc_id"]) & (left["_h"] == right["h"]), how)
+
+    rest = joined(row, gone, gone.count(), "left_anti")
+    if n := again.count():
+        first = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))
+        numbered = joined(rest, again, n, "left_semi").withColumn("_first", first).where("_first = 1")
+        rest = joined(rest, again, n, "left_anti").select("_row").union(numbered.select("_row"))
+    return rest.select("_row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,45 @@ def test_trie_spills_and_stays_right():
         assert {k: (v[0], v[2]) for k, v in trie.items()} == {k: (min(v), len(v)) for k, v in told.items()}
 
 
+def test_trie_keeps_its_limit_behind_a_text_that_exceeds_it():
+    trie = exact_dedup.PatriciaTrie(10_000)
+    keys = [b"a" * 20_000, *(hashlib.md5(str(i).encode()).digest() * 25 for i in range(500)), b"a" * 19_999 + b"b", b"a"]
+    for i, key in enumerate(keys):
+        trie.insert(key, i)
+    assert trie.limit == 10_000 and trie.held < 10_000 + 257 * 201  # what has moved leaves a node each
+    in_memory = sum(len(n.label) for n in nodes_of(trie))
+    assert in_memory < 12_000
+    assert {k: v for k, v in trie.items()} == {k: (i, 1, 1) for i, k in enumerate(keys)}
+
+
+def nodes_of(trie):
+    rest, found = [trie.root], []
+    while rest:
+        found.append(rest.pop())
+        rest += found[-1].kids.values()
+    return found
+
+
+@pytest.mark.parametrize("heavy, few", [(10_000, 1_000_000), (1, 1_000_000), (10_000, 0)])
+def test_exact_dedup_by_every_way(spark, monkeypatch, heavy, few):
+    """Heavy groups or none, and lists that are broadcast or not, give the same rows."""
+    monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GONE", few)
+    rows = [*ODD, *ODD, *((100 + i, "hot\ttext") for i in range(40)), (100, "hot  text"), (None, None), (None, "alone"), (None, "alone")]
+    plain = collections.defaultdict(list)
+    for i, t in rows:
+        plain[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    lowest = lambda ids: min((i for i in ids if i is not None), default=None)
+    found = exact_dedup.mark_copies(odd(spark, rows)).collect()
+    want = sorted(str((i, lowest(ids), len(ids), hashlib.sha256(t.encode()).hexdigest())) for t, ids in plain.items() for i in ids)
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"])) for r in found) == want
+    kept = collections.Counter((r["text_sha256"], r["doc_id"]) for r in found if r["kept"])
+    assert kept == {(hashlib.sha256(t.encode()).hexdigest(), lowest(ids)): 1 for t, ids in plain.items()}
+    rest = exact_dedup.drop_copies(odd(spark, rows).withColumnRenamed("rep", "a.b")).collect()
+    told = sorted((str(r["doc_id"]), re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in rest)
+    assert told == sorted((str(lowest(ids)), t) for t, ids in plain.items()) and "a.b" in rest[0].asDict()
+
+
 def test_exact_dedup_odd_rows(spark):
     found = exact_dedup.mark_copies(odd(spark)).collect()
     assert len(found) == len(ODD)
