@@ -5,15 +5,20 @@
    XOR estimates a high similarity. Documents with equal sets form a class; from here on one of them stands for it.
 2. Classes that share a band are candidates. First each is held against the smallest of its bucket. A bucket in which
    all then belong to one component is done; the members of any other are compared with each other in blocks of
-   bounded size, where pairs between different components, each in its first common band, are confirmed at once,
+   bounded size. Sketches are sent to the blocks first; full sets follow only for members that have a near enough
+   partner in another component there. Each pair is taken in its first common band and is confirmed in its block,
    so that only links leave a block. No bucket is capped.
 3. Pairs that pass the bound on sizes and the sketch, whose margin is many standard deviations, are confirmed on
    their full sets of 64-bit shingle hashes. Components are found by spreading the smallest label, with jumps.
 
 Bands are chosen so that a pair at the threshold is missed with a probability of `miss` at most.
 
+A class's node is its smallest identifier and its key, since rows with the same identifier may have different texts.
+
 Defined results: null text or no words: an empty set, linked with nothing; a null identifier is linked with nothing
-and kept, its component null; rows with the same identifier share a component; an empty table gives no rows.
+and kept, its component null; rows with the same identifier are taken each by its own text, and each belongs to that
+text's component; rows equal in identifier and text stay or go together; texts count whole, however long; other columns,
+whatever their names, stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, read_table, stored, text_column, texts_of
+from .common import column_of, columns_of, read_table, stored, text_column, texts_of
 
-#: MinHash samples and bits of a sketch; members of a block; identifiers that may be broadcast (16 MB), beyond which a shuffle joins.
-SAMPLES, BITS, BLOCK, BROADCAST_IDS = 384, 1024, 1024, 2_000_000
+#: MinHash samples and bits of a sketch; members of a block, and shingles of all of them if these are shared out evenly.
+SAMPLES, BITS, BLOCK, BLOCK_SHINGLES = 384, 1024, 1024, 8_000_000
+#: Rows of two numbers that may be broadcast (32 MB), beyond which a shuffle joins.
+BROADCAST_IDS = 2_000_000
 #: Samples beside a band's rows, so that a pair just at the threshold is missed this often at most.
 MISS = 1e-7
 #: A word cache's entries in each worker.
@@ -103,19 +110,24 @@ def most_differing(threshold: float, samples: int, bits: int, sigmas: float = 4.
     return math.ceil(mean + 3 * math.sqrt(bits) / 4)
 
 
-FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
+FEATURES = "doc_id long, raw long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
+NODE = "struct<id:bigint,key:bigint>"
+
+
+def set_key(items: np.ndarray) -> int:
+    return int(mix(items ^ M1).sum().view(np.int64))
 
 
 def feature_rows(parts: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     seen: dict[tuple, tuple] = {}
     for batch in parts:
         out = []
-        for doc_id, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
+        for doc_id, raw, text in zip(column_of(batch, "doc_id").to_pylist(), column_of(batch, "raw").to_pylist(), texts_of(batch, "text"), strict=True):
             items = shingles(text, width)
             if not len(items):
-                out.append((doc_id, 0, 0, 0, [], []))
+                out.append((doc_id, raw, 0, 0, 0, [], []))
                 continue
-            key = (len(items), int(mix(items ^ M1).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(items + M2)).view(np.int64)))
+            key = (len(items), set_key(items), int(np.bitwise_xor.reduce(mix(items + M2)).view(np.int64)))
             if key not in seen:
                 if len(seen) >= 2000:
                     seen.clear()
@@ -125,16 +137,25 @@ def feature_rows(parts: Iterator[pa.RecordBatch], width: int, bands: int, rows:
                 for i in range(rows):
                     acc = mix(acc * M1 + banded[:, i])
                 seen[key] = (acc.view(np.int64).tolist(), odd_sketch(sig, BITS).tolist())
-            out.append((doc_id, *key, *seen[key]))
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-        columns = list(zip(*out, strict=True)) or [[]] * 6
+            out.append((doc_id, raw, *key, *seen[key]))
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+        columns = list(zip(*out, strict=True)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
 
 def set_rows(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The full sets by node, each once from a task."""
+    told: set[tuple] = set()
     for batch in parts:
-        sets = [shingles(t, width).tobytes() for t in texts_of(batch, "text")]
-        yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(sets, pa.binary())], names=["id", "items"])
+        nodes, sets = [], []
+        for doc_id, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
+            items = shingles(text, width)
+            if len(items) and (node := (doc_id, set_key(items))) not in told:
+                told.add(node)
+                nodes.append(node)
+                sets.append(items.tobytes())
+        found = [pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(found, ["id", "key"]), pa.array(sets, pa.binary())], names=["rep", "items"])
 
 
 def confirm_rows(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -150,6 +171,39 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+class Block:
+    """The members of a block, or of two blocks, of a bucket, and which of them are candidates."""
+
+    def __init__(self, table: pa.Table, percent: int, most: int):
+        number = lambda c: table.column(c).to_numpy()
+        grid = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        self.side, self.size, self.at = (number(c) for c in ("side", "n_shingles", "at"))
+        self.comp = np.unique(np.stack([number("comp_id"), number("comp_key")], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        self.sketch, self.bands = grid("sketch").view(np.uint64), grid("bands")
+        self.percent, self.most = percent, most
+        self.left, self.right = np.flatnonzero(self.side != 1), np.flatnonzero(self.side != 0)  # side 2: both are the same block
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Members of other components, near enough to the i-th in size and by sketch, whose first common band is here; the nearest first."""
+        js = self.right[(self.comp[self.right] != self.comp[i]) & ((self.right > i) if self.side[i] == 2 else True)]
+        js = js[100 * np.minimum(self.size[js], self.size[i]) >= self.percent * np.maximum(self.size[js], self.size[i])]
+        differ = np.bitwise_count(self.sketch[js] ^ self.sketch[i]).sum(axis=1)
+        js, differ = js[differ <= self.most], differ[differ <= self.most]
+        mine = (self.bands[js] == self.bands[i]).argmax(axis=1) == self.at[i]
+        return js[mine][np.argsort(differ[mine], kind="stable")]
+
+
+def with_candidates(percent: int, most: int):
+    def members(table: pa.Table) -> pa.Table:
+        block, some = Block(table, percent, most), np.zeros(table.num_rows, bool)
+        for i in block.left.tolist():
+            if len(js := block.candidates(i)):
+                some[i] = some[js] = True
+        return table.filter(pa.array(some))
+
+    return members
+
+
 def block_links(percent: int, most: int):
     def links(table: pa.Table) -> pa.Table:
         return linked_in_block(table, percent, most)
@@ -158,14 +212,8 @@ def block_links(percent: int, most: int):
 
 
 def linked_in_block(table: pa.Table, percent: int, most: int) -> pa.Table:
-    """Confirmed links between different components of a block, or of two blocks, of a bucket.
-
-    Every pair that is near enough in size and by sketch, and has its first common band here, is held against its
-    full sets, the best estimates first, unless links found before have joined its components.
-    """
-    ids, comp, side, size, at = (table.column(c).to_numpy() for c in ("rep", "comp", "side", "n_shingles", "at"))
-    grid = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    sketch, bands, items, parent = grid("sketch").view(np.uint64), grid("bands"), table.column("items"), {}
+    """Confirmed links between different components: candidates are held against their full sets unless links found before have joined them."""
+    block, items, parent = Block(table, percent, most), table.column("items"), {}
     sets: dict[int, np.ndarray] = {}
 
     def root(x: int) -> int:
@@ -178,20 +226,15 @@ def linked_in_block(table: pa.Table, percent: int, most: int) -> pa.Table:
             sets[i] = np.frombuffer(items[i].as_py(), np.uint64)
         return sets[i]
 
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both are the same block
     found = []
-    for i in left.tolist():
-        js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if side[i] == 2 else True)]
-        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-        differ = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1)
-        js, differ = js[differ <= most], differ[differ <= most]
-        mine = (bands[js] == bands[i]).argmax(axis=1) == at[i]
-        for j in js[mine][np.argsort(differ[mine], kind="stable")].tolist():
-            a, b = root(int(comp[i])), root(int(comp[j]))
+    for i in block.left.tolist():
+        for j in block.candidates(i).tolist():
+            a, b = root(int(block.comp[i])), root(int(block.comp[j]))
             if a != b and alike(whole(i), whole(j), percent):
                 parent[max(a, b)] = min(a, b)
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+                found.append((i, j))
+    of = lambda k: pa.StructArray.from_arrays([table.column(c).take(pa.array([x[k] for x in found], pa.int64())).combine_chunks() for c in ("rep_id", "rep_key")], ["id", "key"])
+    return pa.table({"a": of(0), "b": of(1)})
 
 
 def components(edges: DataFrame, most: int) -> DataFrame:
@@ -211,25 +254,26 @@ def components(edges: DataFrame, most: int) -> DataFrame:
 
 class Linker:
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_key().alias("raw"), text_column().alias("text"))
         self.width, self.percent = width, percent
         self.bands, self.rows = bands_for(percent / 100)
         self.labels: DataFrame | None = None
         self.most = 0  # nodes of labels at most
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """id, items: the full shingle sets of those documents."""
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """rep, items: the full shingle sets of those nodes (rep), and of other texts of their identifiers."""
+        ids = stored(nodes.select(F.col("rep.id").alias("doc_id")).distinct(), "ids")
         small = ids.count() <= BROADCAST_IDS
         rows = self.docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_semi")
-        return stored(rows.mapInArrow(partial(set_rows, width=self.width), "id long, items binary"), "sets")
+        return stored(rows.mapInArrow(partial(set_rows, width=self.width), f"rep {NODE}, items binary"), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are as similar as asked."""
-        pairs = stored(pairs.distinct(), "pairs")
-        sets = self.sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        of = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
+        """Of the pairs (a, b), each there once, those whose full sets are as similar as asked."""
+        pairs = stored(pairs, "pairs")
+        sets = self.sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
+        of = lambda c: sets.select(F.col("rep").alias(c), F.col("items").alias(f"items_{c}"))
         held = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "items_a", "items_b")
-        return held.mapInArrow(partial(confirm_rows, percent=self.percent), "a long, b long")
+        return held.mapInArrow(partial(confirm_rows, percent=self.percent), f"a {NODE}, b {NODE}")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """rows with comp, the component of their rep so far."""
@@ -240,7 +284,7 @@ class Linker:
 
     def merge(self, links: DataFrame) -> None:
         """Merges the components that confirmed links (a, b) join."""
-        links = stored(links.distinct(), "links")
+        links = stored(links, "links")
         if n := links.count():
             edges = n + self.most
             if self.labels is not None:  # each node stays with its component
@@ -248,14 +292,16 @@ class Linker:
             self.labels, self.most = components(links, edges), 2 * edges
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of each row."""
+        """doc_id, raw (the text's hash), n_shingles, component_id of each row."""
         features = stored(self.docs.mapInArrow(partial(feature_rows, width=self.width, bands=self.bands, rows=self.rows), FEATURES), "features")
         key = ["k1", "k2", "n_shingles"]
         full = features.where("n_shingles > 0 and doc_id is not null")
-        classes = stored(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-        members = classes.select("rep", F.explode("bands").alias("band"))
+        node = F.struct(F.col("id"), F.col("k1").alias("key")).alias("rep")
+        classes = full.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        classes = stored(classes.select(*key, node, "bands", "sketch"), "classes")
+        members = classes.select("rep", "n_shingles", F.explode("bands").alias("band"))
         buckets = members.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
-        members = stored(members.join(buckets, "band").select("band", "rep", "hub", "m"), "members")
+        members = stored(members.join(buckets, "band").select("band", "rep", "hub", "m", "n_shingles"), "members")
         info = classes.select("rep", "n_shingles", "sketch")
         of = lambda c: info.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
         near = members.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(of("b"), "b").join(of("a"), "a")
@@ -263,35 +309,48 @@ class Linker:
         fits = F.expr(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         last = most_differing(self.percent / 100, max(SAMPLES, self.bands * self.rows), BITS)
         self.merge(self.confirmed(near.where(fits & (differ <= last)).select("a", "b")))
-        here = stored(self.labelled(members.where("m > 2").select("band", "rep", "m")), "here")
-        alive = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        alive = stored(here.join(alive, "band"), "alive")
-        full = classes.select("rep", "n_shingles", "bands", "sketch").join(self.sets(alive.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("id", "rep"), "rep")
-        block, blocks = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = alive.join(full, "rep").withColumn("blocks", blocks).withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select(
-            "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n_shingles", "sketch", "bands", "items",
+        here = stored(self.labelled(members.where("m > 2").select("band", "rep", "m", "n_shingles")), "here")
+        blocks = F.ceil(F.greatest(F.max("m") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+        alive = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("band", "blocks")
+        alive = stored(here.join(alive, "band").select("band", "rep", "comp", "blocks"), "alive")
+        dealt = alive.join(classes.select("rep", "n_shingles", "bands", "sketch"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"),
+            F.col("comp.id").alias("comp_id"), F.col("comp.key").alias("comp_key"), "n_shingles", "sketch", "bands",
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), (F.array_position("bands", F.col("band")) - 1).alias("at"),
         )
-        self.merge(dealt.groupBy("band", "i", "j").applyInArrow(block_links(self.percent, last), "a long, b long"))
-        found = self.labelled(classes.select(*key, "rep")).select(*key, "comp")
-        linked = features.where("n_shingles > 0").select("doc_id", *key).join(found, key, "left")
-        bare = features.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        near = stored(dealt.groupBy("band", "i", "j").applyInArrow(with_candidates(self.percent, last), dealt.schema), "near")
+        rep = F.struct(F.col("rep_id").alias("id"), F.col("rep_key").alias("key")).alias("rep")
+        near = near.join(self.sets(near.select(rep)), rep == F.col("rep")).drop("rep")
+        self.merge(near.groupBy("band", "i", "j").applyInArrow(block_links(self.percent, last), f"a {NODE}, b {NODE}").distinct())
+        found = self.labelled(classes.select(*key, "rep")).select(*key, F.col("comp.id").alias("comp"))
+        linked = features.where("n_shingles > 0").select("doc_id", "raw", *key).join(found, key, "left")
+        bare = features.where("n_shingles = 0").select("doc_id", "raw", "n_shingles", F.col("doc_id").alias("component_id"))
         component = F.when(F.col("doc_id").isNotNull(), F.col("comp"))
-        return linked.select("doc_id", "n_shingles", component.alias("component_id")).union(bare)
+        return linked.select("doc_id", "raw", "n_shingles", component.alias("component_id")).union(bare)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+def raw_key():
+    """With the identifier, this tells a row from others of another text."""
+    return F.xxhash64(text_column())
+
+
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = Linker(docs, width, percent).run()
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+    return linked(docs, width, percent).drop("raw")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component the smallest doc_id."""
-    gone = stored(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct(), "gone")
+    """The rows of docs that stay: of each component the smallest doc_id. A row goes by its identifier and its text."""
+    gone = stored(linked(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), raw_key().alias("_raw"))
+    return rows.join(F.broadcast(gone) if small else gone.hint("merge"), ["_id", "_raw"], "left_anti").select("_row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

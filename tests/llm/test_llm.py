@@ -126,6 +126,21 @@ def test_near_dedup_chains_in_a_large_bucket(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_links(texts, 3, 85)
 
 
+TWICE = [(1, "a b c d e f"), (2, "a  b c d e f"), (2, "other words that are no copy"), (2, "p q r s t u v"), (3, "p q r s t u v"), (4, "other words  that are no copy"), (4, "x"), (5, None), (5, None), (None, "p q r s t u v"), (6, "X"), (6, "X")]
+
+
+@pytest.mark.parametrize("ids", [2_000_000, 0])
+def test_near_dedup_takes_rows_of_one_identifier_by_their_texts(spark, monkeypatch, ids):
+    """Links of one text of an identifier say nothing of another: no text is lost, and lists are joined in both ways."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", ids)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(odd(spark, TWICE)).collect())
+    want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 2, True), (2, 3, 2, True), (3, 3, 2, False), (4, 2, 2, False), (4, 1, 4, True), (5, 0, 5, True), (5, 0, 5, True), (None, 3, None, True), (6, 1, 4, False), (6, 1, 4, False)]
+    assert found == sorted((str(a), b, str(c), d) for a, b, c, d in want)
+    rest = near_dedup.drop_near_duplicates(odd(spark, TWICE).withColumnRenamed("rep", "a.b"))
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in rest.collect())
+    assert kept == sorted((str(i), str(t)) for (i, t), (*_, k) in zip(TWICE, want) if k) and "a.b" in rest.columns
+
+
 def test_near_dedup_odd_rows(spark):
     found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd(spark)).collect()}
     assert {(1, 1, True), (3, 3, True), (6, 6, True), (7, 6, False), (None, None, True)} <= found
