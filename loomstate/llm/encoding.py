@@ -6,6 +6,9 @@ word vocabulary drops white space altogether. So each distinct part goes through
 and is then a look-up; a text that has anything else around its spaces goes to the library in larger parts. A new
 part whose characters are all below U+0250, where no normal form changes anything, is split here by the same pattern
 and its pieces go straight to the library's merges. Both caches are bounded by their number of entries.
+
+The library finds the vocabulary's added tokens in a text before it splits it, wherever they stand; a text with the marks
+that these begin with goes to the library whole. `added=False` takes their strings for ordinary text.
 """
 
 from __future__ import annotations
@@ -74,15 +77,21 @@ class Pieces(dict):
         return found
 
 
+def begins(token: str) -> str:
+    """The marks that an added token begins with; empty if it begins with a letter, a number or white space."""
+    return token[: next((k for k, c in enumerate(token) if c.isalnum() or c.isspace() or c > "~"), len(token))]
+
+
 class Encoder:
-    """Ids of a text as bytes. spaces: whether the vocabulary sees white space."""
+    """Ids of a text as bytes. spaces: whether the vocabulary sees white space. added: whether added tokens count as the library has them."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, added: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.spaces = Tokenizer.from_file(path), spaces
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        self.marks = {begins(t.content) for t in self.library.get_added_tokens_decoder().values()} if added else set()
         self.merged, self.split = Merged(self.library), (BYTE_SPLIT if spaces else WORD_SPLIT).findall
         self.first, self.later, self.parts = Pieces(self.part), Pieces(self.part, " "), Pieces(self.whole, whole=True)
 
@@ -98,6 +107,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(mark in text for mark in self.marks):
+            return self.whole(text)
         if not self.spaces:
             if ODD.search(text):
                 return self.whole(text)

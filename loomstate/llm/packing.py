@@ -4,10 +4,11 @@ A document's ids are cut into pieces of at most `room` ids. The histogram of pie
 packed on the driver: lengths from the longest to the shortest, each into the pack that is shortest so far if it
 fits, splitting a packing pattern's count where only a part of its copies takes one. The patterns become segments
 of ranks for each length; a piece finds its segment by its rank among the pieces of its length. Ranks are counted
-in salted parts of each length, so that a length that a third of all pieces have is spread over many tasks.
+in parts of each length, as many as its count asks for, so that the commonest length is spread over tasks of PART_ROWS pieces.
 
-Defined results: a null or empty text has only its end id; repeated rows are packed each for itself; an empty table
-gives no rows.
+Defined results: a null or empty text has only its end id; repeated rows, and rows with null or equal identifiers, are packed
+each for itself (those equal in identifier, text and place may change places); long texts have many pieces; other columns aren't
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import column_of, read_table, stored, text_column, texts_of
 from .encoding import encoder, vocabulary
 
-ROOM, END_ID, SALTS = 1024, 0, 64
+ROOM, END_ID = 1024, 0
+#: Pieces of one length that are ranked together, about.
+PART_ROWS = 100_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -56,8 +59,11 @@ def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[tupl
         left = histogram[length]
         while left:
             free = max((g for g in packs if packs[g]), default=0)
-            if free < length:
-                packs.setdefault(room - length, []).append([(length,), left])
+            if free < length:  # new packs, each of which is the shortest until it is full
+                each = room // length
+                for copies, count in ((each, left // each), (left % each, 1)):
+                    if copies and count:
+                        packs.setdefault(room - copies * length, []).append([(length,) * copies, count])
                 break
             lengths, count = packs[free].pop()
             used = min(count, left)
@@ -83,37 +89,55 @@ def segments(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, n
     return tuple(np.array(c, np.int64) for c in zip(*sorted(rows), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def assign_rows(parts: Iterator[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]:
-    base, (keys, lows, firsts, offsets) = plan.value
+def assign_rows(parts: Iterator[pa.RecordBatch], plan, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    first, before, (keys, lows, firsts, offsets) = plan.value
     for batch in parts:
-        length, salt, rank = (column_of(batch, c).to_numpy().astype(np.int64) for c in ("length", "_salt", "_rank"))
-        rank = rank + base[length, salt]
+        length, part, rank = (column_of(batch, c).to_numpy().astype(np.int64) for c in ("length", "_part", "_rank"))
+        rank = rank + before[first[length] + part]
         at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
         columns = [column_of(batch, "doc_id"), column_of(batch, "start"), pa.array(length), *(column_of(batch, c) for c in ("ids_crc32", "doc_tokens"))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts[at] + rank - lows[at]), pa.array(offsets[at])], names=[c.split()[0] for c in PACKED.split(", ")])
-
-
-def assign(cut: DataFrame, room: int = ROOM, salts: int = SALTS) -> DataFrame:
-    """Each piece's sequence and offset. cut is read twice, so it should be stored. To the driver come room * salts counts at most."""
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    counts = np.zeros((room + 1, salts), np.int64)
-    for length, salt, n in salted.groupBy("length", "_salt").count().collect():
-        counts[length, salt] = n
-    patterns = shortest_pack_first({k: int(n) for k, n in enumerate(counts.sum(axis=1))}, room)
-    plan = cut.sparkSession.sparkContext.broadcast((np.cumsum(counts, axis=1) - counts, segments(patterns)))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")) - 1
-    return salted.withColumn("_rank", rank).mapInArrow(partial(assign_rows, plan=plan), PACKED)
+        columns += [pa.array(firsts[at] + rank - lows[at]), pa.array(offsets[at])] + [column_of(batch, "ids")] * with_ids
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED.split(", ")] + ["ids"] * with_ids)
+
+
+def parts_of(histogram: np.ndarray, rows: int) -> np.ndarray:
+    """In how many parts the pieces of each length are ranked."""
+    return np.maximum(1, -(-histogram // rows))
+
+
+def assign(cut: DataFrame, room: int = ROOM, part_rows: int = PART_ROWS) -> DataFrame:
+    """Each piece's sequence and offset, and its ids if cut has them. cut is read three times, so it should be stored.
+
+    To the driver come room counts, then a count for each part: one for every length and every part_rows pieces, at most.
+    """
+    with_ids = "ids" in cut.columns
+    histogram = np.zeros(room + 1, np.int64)
+    for length, n in cut.groupBy("length").count().collect():
+        histogram[length] = n
+    many = parts_of(histogram, part_rows)
+    first = np.cumsum(many) - many
+    key = ["doc_id", "start", "ids_crc32"]
+    dealt = cut.withColumn("_part", F.pmod(F.xxhash64(*key), F.element_at(F.lit(many.tolist()), F.col("length") + 1)).cast("int"))
+    counts = np.zeros(int(many.sum()), np.int64)
+    for length, part, n in dealt.groupBy("length", "_part").count().collect():
+        counts[first[length] + part] = n
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[first], many)
+    patterns = shortest_pack_first({k: int(n) for k, n in enumerate(histogram)}, room)
+    plan = cut.sparkSession.sparkContext.broadcast((first, before, segments(patterns)))
+    rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*key)) - 1
+    return dealt.withColumn("_rank", rank).mapInArrow(partial(assign_rows, plan=plan, with_ids=with_ids), PACKED + (", ids binary" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
     return assign(stored(pieces(docs, tokenizer, room, end_id), "pieces"), room)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (binary, at most room of them), doc_ids, starts."""
-    cut = pieces(docs, tokenizer, room, end_id, with_ids=True).select("doc_id", "start", "ids")
-    part = F.struct("offset", "doc_id", "start", "ids")
-    inside = packed.join(cut, ["doc_id", "start"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+def sequences(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids (binary, at most room of them), doc_ids, starts. Pieces carry their ids
+    with them, so that rows with null or equal identifiers lose and gain nothing."""
+    packed = assign(stored(pieces(docs, tokenizer, room, end_id, with_ids=True), "pieces"), room)
+    inside = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "ids"))).alias("p"))
     return inside.select("sequence_id", F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"))
 
 

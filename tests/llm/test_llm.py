@@ -147,18 +147,27 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+ADDED = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<|endoftext|", "< |endoftext|>"]
+
+
 def test_encoding_equals_the_library():
+    """Against a library as it loads, also where its added tokens stand at an end of a text or inside a word."""
     rng = np.random.default_rng(3)
-    parts = [*"abcXYZ  \n\t.,'!0129éÉßİſΣσ中\u0085́\x1c|$½²ªǅ", "'s", "'ll", " 's", "<|endoftext|>", "  ", "\r\n"]
+    parts = [*"abcXYZ  \n\t.,'!0129éÉßİſΣσ中\u0085́\x1c|$½²ªǅ", "'s", "'ll", " 's", *ADDED, "  ", "\r\n"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(1500)]
+    texts += [a + x + b for x in ADDED for a in ("", "hi", "hi ", "\n") for b in ("", "there", " there", "\n")] + [x + y for x in ADDED for y in ADDED]
+    plain = [t for t in texts if not any(x in t for x in ADDED)]
+    assert len(plain) > 200
     for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
-        e = Encoder(vocabulary(name), spaces)
-        assert all(e(t) == e.whole(t) for t in texts)
+        e, library = Encoder(vocabulary(name), spaces), Tokenizer.from_file(vocabulary(name))
+        assert not library.encode_special_tokens and {"<|"} == e.marks
+        assert all(e(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts)
+        ordinary = Encoder(vocabulary(name), spaces, added=False)
+        assert ordinary("a<|endoftext|>b") != e("a<|endoftext|>b") and all(ordinary(t) == e(t) for t in plain)
 
 
 def test_token_orc(spark, docs, tmp_path):
     library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     start, told = 0, []
     for i in sorted(docs):
         ids = [*library.encode(docs[i], add_special_tokens=False).ids, 2]
@@ -166,27 +175,104 @@ def test_token_orc(spark, docs, tmp_path):
         start += len(ids)
     assert [tuple(r) for r in entry.queries()["op2_token_orc"](spark, SF).orderBy("doc_id").collect()] == told
     path = str(tmp_path / "orc")
-    token_orc.write_token_orc(odd(spark), path, vocabulary("word_bpe_49k.json"))
-    assert token_orc.read_token_orc(spark, path).count() == len(ODD)
+    token_orc.write_token_orc(odd(spark, [*ODD, (9, "a <|endoftext|> b")]), path, vocabulary("word_bpe_49k.json"))
+    back = token_orc.read_token_orc(spark, path).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in back) == sorted((i is not None, i or 0, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in [*ODD, (9, "a <|endoftext|> b")])
     assert [r["n_tokens"] for r in token_orc.look_up(spark, path, [3]).collect()] == [1]
 
 
-def test_packing(spark, docs):
+def test_token_orc_prunes_by_metadata(spark, tmp_path, monkeypatch):
+    """Files have many stripes, with statistics, row indexes and Bloom filters, and a look-up reads few rows of few of them."""
+    from pyarrow import orc
+
+    monkeypatch.setattr(token_orc, "STRIPE_BYTES", 1 << 18)
+    path, rows = str(tmp_path / "orc"), 40_000
+    docs = spark.range(rows).selectExpr("id * 3 as doc_id", "concat_ws(' ', transform(sequence(1, 40), k -> hex(hash(id, k)))) as text")
+    token_orc.write_token_orc(docs, path, vocabulary("word_bpe_49k.json"), files=3)
+    files = sorted(p for p in (tmp_path / "orc").iterdir() if p.suffix == ".orc")
+    held = [orc.ORCFile(p) for p in files]
+    assert len(held) == 3 and sum(f.nrows for f in held) == rows
+    assert [f.row_index_stride for f in held] == [token_orc.INDEX_ROWS] * 3 and all(f.nstripes > 1 for f in held)
+    first = [f.read(columns=["doc_id"])["doc_id"] for f in held]
+    ranges = sorted((c[0].as_py(), c[-1].as_py()) for c in first)
+    assert all(a <= b for a, b in ranges) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
+
+    def rows_scanned(ids):
+        df = token_orc.look_up(spark, path, ids)
+        found = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return found, sum(leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.size()))
+
+    found, scanned = rows_scanned([30_000])
+    assert [r["doc_id"] for r in found] == [30_000] and 0 < scanned <= 2 * 1024 + token_orc.INDEX_ROWS
+    found, scanned = rows_scanned([30_001])  # within the statistics' ranges; only a Bloom filter tells
+    assert not found and scanned == 0
+
+
+def naive_patterns(lengths, room):
+    """Shortest pack first, a piece at a time: the longest pieces first, each into the pack with most room left."""
+    packs = []
+    for length in sorted(lengths, reverse=True):
+        best = max(range(len(packs)), key=lambda k: packs[k][0], default=None)
+        if best is None or packs[best][0] < length:
+            packs.append([room, []])
+            best = len(packs) - 1
+        packs[best][0] -= length
+        packs[best][1].append(length)
+    return packs
+
+
+def test_packing_is_shortest_pack_first():
+    rng = np.random.default_rng(5)
+    for room, n in ((16, 200), (64, 500), (1024, 300)):
+        lengths = rng.integers(1, room + 1, n).tolist() + [room // 3] * 40
+        found = packing.shortest_pack_first(collections.Counter(lengths), room)
+        packs = naive_patterns(lengths, room)
+        assert sum(k for _, k in found) == len(packs)
+        assert sorted(x for p, k in found for _ in range(k) for x in p) == sorted(lengths)
+        assert sorted(room - sum(p) for p, k in found for _ in range(k)) == sorted(free for free, _ in packs)
+
+
+def packed_ids(rows):
     library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
+    return [(i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
+
+
+def test_packing(spark, docs):
+    told = dict(packed_ids(docs.items()))
     found = entry.queries()["op7_packing"](spark, SF).collect()
     at = collections.defaultdict(list)
     for r in found:
-        ids = [*library.encode(docs[r["doc_id"]], add_special_tokens=False).ids, 0]
+        ids = told[r["doc_id"]]
         piece = ids[r["start"] : r["start"] + r["length"]]
         assert (len(piece), len(ids), zlib.crc32(np.array(piece, "<u4").tobytes())) == (r["length"], r["doc_tokens"], r["ids_crc32"])
         at[r["sequence_id"]].append((r["offset"], r["length"]))
-    assert sorted(at) == list(range(len(at)))
+    assert sorted(at) == list(range(len(at))) and len(at) == len(naive_patterns([r["length"] for r in found], 1024))
+    assert sum(r["length"] for r in found) == sum(map(len, told.values()))
     for places in at.values():
         places.sort()
         assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
-    packed = packing.pack(odd(spark, [(1, "x y"), (2, None), (3, "z")]), vocabulary("byte_bpe_50k.json"))
-    assert packing.sequences(odd(spark, [(1, "x y"), (2, None), (3, "z")]), packed, vocabulary("byte_bpe_50k.json")).count() == 1
+
+
+@pytest.mark.parametrize("part_rows", [100_000, 3])
+def test_packing_odd_rows(spark, part_rows):
+    """Nulls, repeated rows, equal identifiers, long texts: every id is in just one place, whatever the number of parts."""
+    rows = [*ODD, *ODD[4:7], (5, "two words"), (9, "a<|endoftext|>b"), *((None, None) for _ in range(5))]
+    docs = odd(spark, rows).withColumnsRenamed({"rep": "length", "comp": "_part"})
+    cut = packing.pieces(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
+    found = packing.assign(cut.cache(), part_rows=part_rows).collect()
+    at = collections.defaultdict(dict)
+    for r in found:
+        for k in range(r["length"]):
+            assert r["offset"] + k not in at[r["sequence_id"]]
+            at[r["sequence_id"]][r["offset"] + k] = int.from_bytes(r["ids"][4 * k : 4 * k + 4], "little")
+    assert all(sorted(x) == list(range(len(x))) and len(x) <= 1024 for x in at.values()) and sorted(at) == list(range(len(at)))
+    pieces = [(str(i), k, tuple(ids[k : k + 1024])) for i, ids in packed_ids(rows) for k in range(0, len(ids), 1024)]
+    assert sorted((str(r["doc_id"]), r["start"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in found) == sorted(pieces)
+    whole = packing.sequences(docs, vocabulary("byte_bpe_50k.json")).collect()
+    assert sorted(x for r in whole for x in zip(map(str, r["doc_ids"]), r["starts"])) == sorted(p[:2] for p in pieces)
+    assert sorted(np.frombuffer(b"".join(r["ids"] for r in whole), "<u4").tolist()) == sorted(x for *_, p in pieces for x in p)
     assert packing.pack(odd(spark).limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
