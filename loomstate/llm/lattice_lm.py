@@ -7,13 +7,14 @@ training documents by expectation maximisation over the lattice (forward and bac
 ends a document. Characters that no piece has go by byte pieces, so every text has a probability. A text's score is
 the sum of its words' and its end's.
 
-Words are counted over all training documents. Documents are dealt into blocks by their hashed ids; a block's
-distinct words meet their corpus-wide counts and lattice scores by a join on the word, and come back to the block as
+Words are counted over all training documents. Documents are dealt by their hashed ids and texts into blocks of about
+BLOCK_BYTES, so that there are more blocks, not larger ones, in a larger corpus; a block's distinct words meet their corpus-wide counts and lattice scores by a join on the word, and come back to the block as
 a look-up table, so no table of all words is ever broadcast or collected. The driver sees a weight for each piece only.
 
-Defined results: a null or empty text is its end alone; a null identifier is dealt as empty text; repeated rows are
-scored, and counted, each for itself; without training documents N and V are 0, the base score is -infinity per
-token's log10(0.5 / 0.5) = 0, and pieces keep their first weights; an empty table gives no rows.
+Defined results: a null or empty text is its end alone; a null identifier counts as empty text in the fold; repeated rows are
+scored, and counted, each for itself (rows equal in identifier and text share a block); without training documents N and V are 0,
+each token's base is log10(0.5 / 0.5) = 0, and pieces keep their first weights; texts count whole, a long word by as many steps
+as it has characters; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .encoding import vocabulary
 
 #: Rounds of re-estimation; the count that each piece has besides; entries of a counting table before it is passed on.
 ROUNDS, PSEUDO, COUNTED = 2, 0.1, 1_000_000
-#: Bytes of words that go through the lattice side by side (a longer word goes alone).
-PART_BYTES = 100_000
+#: Bytes of words that go through the lattice side by side (a longer word goes alone); bytes of a block's texts, about.
+PART_BYTES, BLOCK_BYTES = 100_000, 16 << 20
 SPACE = "▁"
 
 
@@ -249,12 +250,12 @@ def block_scorer(total: int, distinct: int, ends: int, log_end: float):
 def lm_scores(docs: DataFrame, train, pieces_path: str, blocks: int | None = None) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score (both log10), train_tokens of each row of docs (doc_id, text); train: a boolean column."""
     spark = docs.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), train.alias("train")).withColumn("block", block)
-    counts = stored(rows.select("block", "train", "text").repartition(blocks, "block").mapInArrow(count_rows, "block int, word binary, n long"), "counts")
+    ends, size = docs.agg(F.count_if(train), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), train.alias("train"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    counts = stored(rows.select("block", "train", "text").mapInArrow(count_rows, "block int, word binary, n long"), "counts")
     words = stored(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    ends = docs.where(train).count()
     total, distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     logs = first_weights(pieces_path)
@@ -268,7 +269,7 @@ def lm_scores(docs: DataFrame, train, pieces_path: str, blocks: int | None = Non
         logs = np.log(weight / weight.sum())
     held = spark.sparkContext.broadcast(logs)
     scored = words.mapInArrow(partial(lattice_rows, path=pieces_path, logs=held), "word binary, n long, logp double")
-    table = counts.select("block", "word").distinct().join(scored, "word")
+    table = counts.select("block", "word").distinct().join(scored, "word").repartition(blocks, "block")
     scorer = block_scorer(total, distinct, ends, float(logs[-1]))
     out = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"
     return rows.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(scorer, out)

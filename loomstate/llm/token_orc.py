@@ -2,10 +2,12 @@
 
 Documents are dealt by ranges of doc_id and sorted, so that files, stripes and row groups hold ascending ids and
 their statistics prune a look-up; `start` counts within a file, and a reader adds what the files before it hold,
-which it learns from the n_tokens column alone. Stripes are small enough that several tasks read one file.
+which it learns from the n_tokens column alone. Stripes are small enough that several tasks read one file. There are as
+many files as shuffle partitions, or more if the table's size, as Spark estimates it, asks for them.
 
 Defined results: a null text is empty and has only the end id; null ids come first; rows with the same id keep no
-certain order among themselves; an empty table gives no rows.
+certain order among themselves, but lie together; a text of any length is one row; other columns aren't read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .encoding import encoder, vocabulary
 
 END_ID = 2
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 8 << 20, 1000, 0.01
+#: Bytes of the table for a file, about, and files at most.
+FILE_BYTES, MOST_FILES = 128 << 20, 100_000
 FILE_SCHEMA = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 
 
@@ -42,7 +46,8 @@ def encode_rows(parts: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, files: int | None = None) -> None:
     """Writes documents (doc_id, text) as ORC files under path, in ascending doc_id order."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // FILE_BYTES, MOST_FILES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     encoded = dealt.mapInArrow(partial(encode_rows, path=tokenizer, end_id=end_id), FILE_SCHEMA)

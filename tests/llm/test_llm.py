@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -328,6 +329,68 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(sum(n * len(p) for n, p in zip(counts, pieces)), sum(len(w) + 1 for w in ("the", "nation", "ando")))
 
 
+class PlainLattice:
+    """The same model with a dictionary of pieces and one word at a time."""
+
+    def __init__(self, path):
+        names, _, table, self.bytes = lattice_lm.load_pieces(path)
+        self.ids = {t: i for t, i in table.items() if i is not None}
+        self.longest = max(map(len, self.ids))
+
+    def edges(self, word):
+        """(from, to, pieces) of a word; a character without a piece goes by its bytes."""
+        text = lattice_lm.SPACE + word
+        for a in range(len(text)):
+            for b in range(a + 1, min(len(text), a + self.longest) + 1):
+                if text[a:b] in self.ids:
+                    yield a, b, [self.ids[text[a:b]]]
+            if text[a] not in self.ids:
+                yield a, a + 1, [self.bytes[x] for x in text[a].encode()]
+
+    def forward(self, word, p):
+        """Probabilities of all beginnings, and the edges with theirs."""
+        edges = [(a, b, ids, float(np.prod([p[i] for i in ids]))) for a, b, ids in self.edges(word)]
+        alpha = [1.0] + [0.0] * (len(word) + 1)
+        for a, b, _, w in sorted(edges, key=lambda x: x[:2]):
+            alpha[b] += alpha[a] * w
+        return alpha, edges
+
+    def expect(self, word, p, times, into):
+        alpha, edges = self.forward(word, p)
+        beta = [0.0] * (len(word) + 1) + [1.0]
+        for a, b, _, w in sorted(edges, key=lambda x: -x[0]):
+            beta[a] += w * beta[b]
+        for a, b, ids, w in edges:
+            for i in ids:
+                into[i] += times * alpha[a] * w * beta[b] / alpha[-1]
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_lm_scores_against_a_plain_model(spark, blocks):
+    rows = [(1, "The cat sat on the mat"), (2, "the Cat, the cat!"), (3, "unseen 😀x zqx"), (4, None), (5, "mat sat 中 mat"), (5, "mat sat 中 mat"), (None, "dogs"), (8, "a\x0bb\tc  unseen")]
+    train = {1, 2, 5}
+    path = vocabulary("piece_bpe_32k.model")
+    plain, p = PlainLattice(path), np.exp(lattice_lm.first_weights(path))
+    split = lambda t: words("".join(c.lower() if c.isascii() else c for c in t or ""))
+    counts = collections.Counter(w for i, t in rows if i in train for w in split(t))
+    ends = sum(i in train for i, _ in rows)
+    for _ in range(lattice_lm.ROUNDS):
+        weight = np.full(len(p), lattice_lm.PSEUDO)
+        for word, n in counts.items():
+            plain.expect(word, p, n, weight)
+        weight[-1] += ends
+        p = weight / weight.sum()
+    want = sorted((str(i), len(split(t)) + 1, round(sum(np.log10(plain.forward(w, p)[0][-1]) for w in split(t)) + np.log10(p[-1]), 6)) for i, t in rows)
+    found = lattice_lm.lm_scores(odd(spark, rows), F.coalesce(F.col("doc_id").isin(*train), F.lit(False)), path, blocks).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in found) == want
+
+
+def test_lm_without_training_documents(spark):
+    found = lattice_lm.lm_scores(odd(spark), F.lit(False), vocabulary("piece_bpe_32k.model")).collect()
+    assert len(found) == len(ODD) and all(r["base_score"] == 0 and r["score"] < 0 and r["train_tokens"] == r["n_known"] == 0 for r in found)
+    assert lattice_lm.lm_scores(odd(spark).limit(0), F.lit(True), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
 def test_lm_counts(spark, docs):
     train = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i in docs}
     split = {i: words("".join(c.lower() if c.isascii() else c for c in t)) for i, t in docs.items()}
