@@ -9,7 +9,8 @@ Defined results: null and empty texts have no licence; of spans with the same co
 these the shortest, of these the first is given, by the lines of its first and last word; a text can have several licences.
 Words speak for one licence: of spans of different templates with words in common, the one that explains most is kept (shared
 less other bigrams, then the higher coefficient; equal ones of the same words are all kept), and the others are looked for in
-what it leaves. The coefficient alone would prefer the two clauses inside a BSD-3-Clause text that names its holder; repeated rows give repeated results; null identifiers are kept as null.
+what it leaves. The coefficient alone would prefer the two clauses inside a BSD-3-Clause text that names its holder; repeated rows give repeated results; null identifiers are kept as null;
+texts of any length are scanned whole; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations

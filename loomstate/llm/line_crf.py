@@ -3,13 +3,15 @@
 Every line is labelled good or bad. Its features are shares of byte classes, word and repetition measures of the
 line and of both its neighbours; transition weights tie neighbouring labels. Training lines bear their document's
 label. Forward and backward recursions give each line's marginal, and a document's score is the mean of its lines'
-marginals for good, weighted by their bytes.
+marginals for good, weighted by their bytes; a line is bad if its marginal for good is below one half.
 
 The model is fitted on a bounded sample of labelled documents (SAMPLE_DOCS of at most SAMPLE_BYTES each, those whose
 hashed ids are smallest); everything else covers all documents and whole texts.
 
 Defined results: a null or empty text is one empty line and gets a score; null identifiers are scored and are never
-labelled; contradicting labels of a document both count; without labels every score is 0.5.
+labelled; contradicting labels of a document both count; repeated rows are scored each for itself, and equal texts alike;
+a line ties at one half for good; without labels every score is 0.5; texts of any length count whole, and other columns,
+whatever their names, stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import column_of, fold, read_table, text_column, texts_of
+from .common import column_of, columns_of, fold, read_table, text_column, texts_of
 
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 65536
 STEPS, RATE, RIDGE = 250, 0.15, 1e-4
@@ -94,6 +97,21 @@ class Chains:
         return both[:, 1] / both.sum(axis=1), pairs
 
 
+def seen_moves(y: np.ndarray, share: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each label follows each, by weight; lines of a document bear the same."""
+    later, seen = np.ones(len(y), bool), np.zeros((2, 2))
+    later[np.cumsum(lengths) - lengths] = False
+    for k in (0, 1):
+        seen[k, k] = share[later & (y == k)].sum()
+    return seen
+
+
+def gradient(chains: Chains, x: np.ndarray, y: np.ndarray, share: np.ndarray, seen: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Of the conditional log-likelihood, ridged, by weights and then moves."""
+    good, pairs = chains.marginals(x @ weights, moves)
+    return np.concatenate([x.T @ ((y - good) * share) - RIDGE * weights, (seen - (pairs * share[:, None, None]).sum(axis=0) - RIDGE * moves).ravel()])
+
+
 def fit(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transition scores, by gradient steps on the conditional likelihood; each document weighs the same."""
     weights, moves = np.zeros(WIDTH), np.zeros((2, 2))
@@ -103,15 +121,10 @@ def fit(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in found])
     x, y = np.vstack(found).astype(np.float64), np.repeat(np.array(labels, np.float64), lengths)
     share = np.repeat(1 / lengths / len(lengths), lengths)
-    chains, later = Chains(lengths), np.ones(len(y), bool)
-    later[np.cumsum(lengths) - lengths] = False
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = share[later & (y == k)].sum()
+    chains, seen = Chains(lengths), seen_moves(y, share, lengths)
     state = [np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)]
     for k in range(1, STEPS + 1):
-        good, pairs = chains.marginals(x @ weights, moves)
-        slope = np.concatenate([x.T @ ((y - good) * share) - RIDGE * weights, (seen - (pairs * share[:, None, None]).sum(axis=0) - RIDGE * moves).ravel()])
+        slope = gradient(chains, x, y, share, seen, weights, moves)
         state[0] = 0.9 * state[0] + 0.1 * slope
         state[1] = 0.99 * state[1] + 0.01 * slope**2
         move = RATE * state[0] / (1 - 0.9**k) / (np.sqrt(state[1] / (1 - 0.99**k)) + 1e-9)
@@ -119,14 +132,20 @@ def fit(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return weights, moves
 
 
-def score_texts(texts: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def line_marginals(texts: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's marginal for good and its weight, line after line, and the lines of each text."""
     found = [line_features(x) for x in texts]
     lengths = np.array([len(w) for _, w in found])
-    odds = np.concatenate([x @ model[0] for x, _ in found])
-    good, _ = Chains(lengths).marginals(odds, model[1])
-    weight = np.concatenate([w for _, w in found]).astype(np.float64)
+    good, _ = Chains(lengths).marginals(np.concatenate([x @ model[0] for x, _ in found]), model[1])
+    return good, np.concatenate([w for _, w in found]).astype(np.float64), lengths
+
+
+def score_texts(texts: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, lines, and bad lines."""
+    good, weight, lengths = line_marginals(texts, model)
     first = np.cumsum(lengths) - lengths
-    return np.clip(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), 0, 1)
+    scores = np.clip(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), 0, 1)
+    return scores, lengths, np.add.reduceat((good < 0.5).astype(np.int64), first)
 
 
 def score_rows(parts: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -134,7 +153,18 @@ def score_rows(parts: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         texts = texts_of(batch, "_text")
         for at in range(0, len(texts), 256):
             part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([column_of(part, "_row"), pa.array(score_texts(texts[at : at + 256], model), pa.float64())], names=["_row", "score"])
+            found = score_texts(texts[at : at + 256], model)
+            yield pa.RecordBatch.from_arrays([column_of(part, "_row"), *map(pa.array, found)], names=["_row", "score", "n_lines", "bad_lines"])
+
+
+def line_rows(parts: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        texts = texts_of(batch, "_text")
+        for at in range(0, len(texts), 256):
+            good, _, lengths = line_marginals(texts[at : at + 256], model)
+            rows = column_of(batch, "_row").take(pa.array(at + np.repeat(np.arange(len(lengths)), lengths)))
+            line = np.arange(len(good)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([rows, pa.array(line, pa.int32()), pa.array(good), pa.array(good >= 0.5)], names=["_row", "line", "marginal", "good"])
 
 
 def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +176,20 @@ def trained(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np
     return fit([r["text"].encode() for r in rows], [int(r["quality"] > 0) for r in rows])
 
 
-def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """Those columns of docs, and score."""
+def mapped(docs: DataFrame, labels: DataFrame, columns: list, rows_of, more: list[StructField]) -> DataFrame:
     model = trained(docs.sparkSession, docs, labels)
     rows = docs.select(F.struct(*columns).alias("_row"), text_column().alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(partial(score_rows, model=model), f"_row {kind}, score double").select("_row.*", "score")
+    return rows.mapInArrow(partial(rows_of, model=model), StructType([rows.schema["_row"], *more])).select("_row.*", *(f.name for f in more))
+
+
+def scored(docs: DataFrame, labels: DataFrame, columns: list) -> DataFrame:
+    """Those columns of docs, score, n_lines and bad_lines."""
+    return mapped(docs, labels, columns, score_rows, [StructField("score", DoubleType()), StructField("n_lines", LongType()), StructField("bad_lines", LongType())])
+
+
+def line_labels(docs: DataFrame, labels: DataFrame, columns: list) -> DataFrame:
+    """A row for each line: those columns of docs, line (from 0), its marginal for good, and whether it is good."""
+    return mapped(docs, labels, columns, line_rows, [StructField("line", IntegerType()), StructField("marginal", DoubleType()), StructField("good", BooleanType())])
 
 
 THRESHOLD = 0.3
@@ -159,10 +197,10 @@ THRESHOLD = 0.3
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't rejected, with their columns."""
-    wrapped = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
+    wrapped = docs.select("doc_id", "text", F.struct(*columns_of(docs)).alias("_all"))
     return scored(wrapped, labels, ["_all"]).where(F.col("score") >= threshold).select("_all.*")
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"])
-    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_lines", "bad_lines")

@@ -10,8 +10,8 @@ The prefix is found by hashed ranges: tokens are summed by leaf and range, a bou
 a leaf's budget ends is ordered by row, and gives the leaf's threshold; the rows themselves are only filtered.
 
 Defined results: null domain, language or source count as empty text; null or empty texts have one token; a null
-identifier is hashed as empty text; rows that tie in hash and identifier go in or stay out together; an empty table
-gives no rows. Unnamed children have weight 1; weights must be above 0.
+identifier is hashed as empty text; rows that tie in hash and identifier go in or stay out together; a text counts by its
+whole length; other columns, whatever their names, stay as they are; an empty table gives no rows. Unnamed children have weight 1; weights must be above 0.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import columns_of, read_table, stored
 from .sql import CRC_TABLE_SQL, crc32_sql, md5_bits_sql
 
 #: Production weights (of sources none, so that those of a domain and language count alike); the share of all tokens that the mix has; epochs that a leaf may give; the order's seed.
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, columns: list, domain: Column, share: float = SHARE, ep
 
 def keep_mix(docs: DataFrame, share: float = 0.9, source_weights: dict = SOURCE_WEIGHTS) -> DataFrame:
     """The rows of docs that a mix of one epoch has."""
-    wrapped = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_all"))
+    wrapped = docs.select("doc_id", "text", "lang", "source", F.struct(*columns_of(docs)).alias("_all"))
     return mix(wrapped, ["_all"], domain_of(), share=share, epochs=1, source_weights=source_weights).select("_all.*")
 
 

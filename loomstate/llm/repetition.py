@@ -6,7 +6,9 @@ neighbours in the suffix array. A position's longest repeat is the larger of its
 innermost LCP interval that holds it; the spans of all repeats of MIN_WORDS words or more are united. A text fails if
 these cover too much of it or one of them is too long.
 
-Defined results: a null or empty text has no words and fails the base rule; rows are judged each for itself.
+Defined results: a null or empty text has no words and fails the base rule; rows are judged each for itself, null and
+repeated identifiers too; repeats of equal length all count, and what they cover is united; a text of any length is judged
+whole, its rank arrays taking eight bytes a word and doubling round; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ shard's bound leaves its home, the fewest that any balance allows.
 
 All decisions follow from the counts of the virtual nodes, a table bounded by shards * virtual nodes; rows shuffle
 once, by virtual node. Defined results: a null text has no bytes, crc32 0; a null id hashes as empty text;
-repeated rows each take a slot of their own; an empty table gives no rows.
+repeated rows each take a slot of their own, and equal texts aren't kept together; keys that hash alike go by their
+identifiers; texts of any length only count; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
