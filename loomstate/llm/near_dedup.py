@@ -311,8 +311,10 @@ class Linker:
         self.merge(self.confirmed(near.where(fits & (differ <= last)).select("a", "b")))
         here = stored(self.labelled(members.where("m > 2").select("band", "rep", "m", "n_shingles")), "here")
         blocks = F.ceil(F.greatest(F.max("m") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-        alive = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("band", "blocks")
-        alive = stored(here.join(alive, "band").select("band", "rep", "comp", "blocks"), "alive")
+        bands = here.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("band", "blocks")
+        bands = stored(bands, "bands")
+        few = bands.count() <= BROADCAST_IDS
+        alive = stored(here.join(F.broadcast(bands) if few else bands.hint("merge"), "band").select("band", "rep", "comp", "blocks"), "alive")
         dealt = alive.join(classes.select("rep", "n_shingles", "bands", "sketch"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"),
