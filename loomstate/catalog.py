@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .operators import contracts, effects, folding, lineage, logs, merging, rebuild, selecting
 from .plans import Plan, Run, strategies
 from .sources import frames as binary
-from .sources.ledger import OPS_SQL, operations, table
+from .sources.ledger import MAPS_SQL, OPS_SQL, operations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,62 +32,91 @@ def query(name: str, sql: str | None = None):
 
 KEY = ["execution_id", "key"]
 named = lambda c: F.array_join(F.col(c).cast("array<string>"), ".").alias(c)
-AFFINE_SQL = f"""WITH {OPS_SQL}, a AS (
-  SELECT *, CASE kind WHEN 'set' THEN 0 WHEN 'compute' THEN -1 ELSE 1 END AS scale FROM ops WHERE kind <> 'sleep')"""
+LIST_SQL = "list({s: CAST(scale AS HUGEINT), c: CAST(addend AS HUGEINT)} ORDER BY seq)"
+#: Final states of all keys: maps of every scale, one after the other from 0.
+STATES_SQL = f"""WITH {MAPS_SQL}, states AS (
+  SELECT execution_id, key, CAST(list_reduce(list_concat([{{s: CAST(0 AS HUGEINT), c: CAST(0 AS HUGEINT)}}], {LIST_SQL}), lambda m, o: {{s: m.s * o.s, c: m.c * o.s + o.c}}).c AS BIGINT) AS value
+  FROM a GROUP BY execution_id, key)"""
 
 
 # Folds
 
 
-@query("state_fold_affine", AFFINE_SQL + """, n AS (
-  SELECT *, max(CASE WHEN scale = 0 THEN seq END) OVER (PARTITION BY execution_id, key) AS last_set,
-         count(CASE WHEN scale = -1 THEN 1 END) OVER (PARTITION BY execution_id, key ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS turns FROM a)
-SELECT execution_id, key, CAST(sum(CASE WHEN last_set IS NULL OR seq >= last_set THEN amount * (CASE WHEN turns % 2 = 1 THEN -1 ELSE 1 END) ELSE 0 END) AS BIGINT) AS value
-FROM n GROUP BY ALL""")
+@query("state_fold_affine", STATES_SQL + " SELECT * FROM states")
 def state_fold_affine(spark, d):
     return folding.fold_affine(operations(spark, d), KEY)
 
 
-CLOSED_SQL = f"""WITH {OPS_SQL}, a AS (SELECT * FROM ops WHERE kind IN ('set', 'add')),
-l AS (SELECT execution_id, key, max(seq) AS f FROM a WHERE kind = 'set' GROUP BY ALL)"""
+SUMS_SQL = f"""WITH {OPS_SQL}, b AS (SELECT execution_id, seq, CASE kind WHEN 'compute' THEN 'add' ELSE kind END AS kind, CASE kind WHEN 'emit' THEN '__emit__' ELSE key END AS key, CASE kind WHEN 'emit' THEN 1 ELSE amount END AS amount FROM ops WHERE kind <> 'sleep')"""
 
 
-@query("state_fold_closed", CLOSED_SQL + " SELECT execution_id, key, CAST(sum(amount) AS BIGINT) AS value FROM a LEFT JOIN l USING (execution_id, key) WHERE f IS NULL OR seq >= f GROUP BY ALL")
+@query("state_fold_closed", SUMS_SQL + """, l AS (SELECT execution_id, key, max(seq) AS f FROM b WHERE kind = 'set' GROUP BY ALL)
+SELECT execution_id, key, CAST(sum(amount) AS BIGINT) AS value FROM b LEFT JOIN l USING (execution_id, key) WHERE f IS NULL OR seq >= f GROUP BY ALL""")
 def state_fold_closed(spark, d):
-    return folding.fold_closed(operations(spark, d), KEY)
+    return folding.fold_closed(operations(spark, d, computes=False), KEY)
 
 
-@query("state_prefix_versions", f"""WITH {OPS_SQL}, a AS (SELECT *, CAST(sum(CASE WHEN kind = 'set' THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id, key ORDER BY seq) AS BIGINT) AS segment FROM ops WHERE kind IN ('set', 'add'))
-SELECT execution_id, key, seq, segment, CAST(sum(amount) OVER (PARTITION BY execution_id, key, segment ORDER BY seq) AS BIGINT) AS value FROM a""")
+@query("state_prefix_sums", SUMS_SQL + """, g AS (SELECT *, CAST(sum(CASE WHEN kind = 'set' THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id, key ORDER BY seq) AS BIGINT) AS segment FROM b)
+SELECT execution_id, key, seq, segment, CAST(sum(amount) OVER (PARTITION BY execution_id, key, segment ORDER BY seq) AS BIGINT) AS value FROM g""")
+def state_prefix_sums(spark, d):
+    return folding.prefix_sums(operations(spark, d, computes=False), KEY).select(*KEY, "seq", "segment", "value")
+
+
+@query("state_prefix_versions", f"""WITH {MAPS_SQL}, h AS (SELECT execution_id, key, list({{q: seq, s: CAST(scale AS HUGEINT), v: CAST(addend AS HUGEINT), past: CAST([] AS STRUCT(q BIGINT, v HUGEINT)[])}} ORDER BY seq) AS ms FROM a GROUP BY execution_id, key),
+r AS (SELECT execution_id, key, list_reduce(list_concat([{{q: CAST(-1 AS BIGINT), s: CAST(0 AS HUGEINT), v: CAST(0 AS HUGEINT), past: CAST([] AS STRUCT(q BIGINT, v HUGEINT)[])}}], ms),
+  lambda m, o: {{q: o.q, s: o.s, v: m.v * o.s + o.v, past: list_append(m.past, {{q: o.q, v: m.v * o.s + o.v}})}}).past AS past FROM h), u AS (SELECT execution_id, key, unnest(past) AS p FROM r)
+SELECT execution_id, key, p.q AS seq, CAST(p.v AS BIGINT) AS value FROM u""")
 def state_prefix_versions(spark, d):
-    return folding.prefix_states(operations(spark, d), KEY).select(*KEY, "seq", "segment", "value")
+    return folding.prefix_states(operations(spark, d), KEY).select(*KEY, "seq", "value")
 
 
-@query("affine_maps", AFFINE_SQL + " SELECT execution_id, seq, kind, CAST(scale AS BIGINT) AS scale, amount AS addend FROM a")
+@query("affine_maps", f"WITH {MAPS_SQL} SELECT execution_id, seq, kind, key, scale, addend FROM a")
 def affine_maps(spark, d):
-    return folding.affine(operations(spark, d)).select("execution_id", "seq", "kind", "scale", "addend")
+    return folding.affine(operations(spark, d)).select("execution_id", "seq", "kind", "key", "scale", "addend")
 
 
-RUNS_SQL = f"""WITH {OPS_SQL}, m AS (SELECT *, kind = 'sleep' AS barrier, lag(key) OVER w AS k0, lag(kind = 'sleep', 1, true) OVER w AS b0 FROM ops WINDOW w AS (PARTITION BY execution_id ORDER BY seq)),
-r AS (SELECT *, CAST(sum(CASE WHEN barrier OR b0 OR k0 <> key THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id ORDER BY seq) AS BIGINT) AS run FROM m)"""
+def _runs_sql(ops: str) -> str:
+    return ops + """, m AS (SELECT *, kind IN ('sleep', 'emit') AS barrier, lag(key) OVER w AS k0, lag(kind IN ('sleep', 'emit'), 1, true) OVER w AS b0 FROM ops WINDOW w AS (PARTITION BY execution_id ORDER BY seq)),
+r AS (SELECT *, sum(CASE WHEN barrier OR b0 OR k0 <> key THEN 1 ELSE 0 END) OVER (PARTITION BY execution_id ORDER BY seq) AS run FROM m)"""
 
 
-@query("delta_runs", RUNS_SQL + " SELECT execution_id, run, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS ops FROM r GROUP BY ALL")
+@query("delta_runs", _runs_sql(f"WITH {OPS_SQL}") + " SELECT execution_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS ops FROM r GROUP BY execution_id, run")
 def delta_runs(spark, d):
-    return folding.runs(operations(spark, d)).groupBy("execution_id", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("ops"))
-
-
-@query("delta_coalesce", RUNS_SQL + """, s AS (SELECT *, CASE kind WHEN 'set' THEN 0 WHEN 'compute' THEN -1 ELSE 1 END AS scale, CASE WHEN barrier THEN 0 ELSE amount END AS addend FROM r),
-t AS (SELECT *, count(CASE WHEN scale = -1 THEN 1 END) OVER w AS turns, count(CASE WHEN scale = 0 THEN 1 END) OVER w AS sets FROM s
-      WINDOW w AS (PARTITION BY execution_id, run ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-g AS (SELECT execution_id, run, max(seq) AS seq, arg_max(kind, seq) AS k, arg_max(key, seq) AS key, count(*) AS folded, bool_or(barrier) AS barrier,
-        CAST(CASE WHEN bool_or(scale = 0) THEN 0 WHEN count(CASE WHEN scale = -1 THEN 1 END) % 2 = 1 THEN -1 ELSE 1 END AS BIGINT) AS scale,
-        CAST(sum(CASE WHEN sets > 0 THEN 0 WHEN turns % 2 = 1 THEN -addend ELSE addend END) AS BIGINT) AS addend FROM t GROUP BY execution_id, run)
-SELECT execution_id, seq, CASE WHEN folded > 1 THEN 'compute' ELSE k END AS kind, key, scale, addend, folded FROM g WHERE barrier OR NOT (scale = 1 AND addend = 0)""")
+    return folding.runs(operations(spark, d)).groupBy("execution_id", "run").agg(F.max("seq").alias("last_seq"), F.count("*").alias("ops")).withColumnRenamed("run", "first_seq")
+
+
+def _coalesce_sql(ops: str) -> str:
+    """A run's operations one after the other: done has what has gone out, the rest is the run so far; open tells whether there is one."""
+    row = "STRUCT(seq BIGINT, kind VARCHAR, scale HUGEINT, amount HUGEINT, folded BIGINT)[]"
+    out = lambda m: f"CASE WHEN {m}.s = 1 AND {m}.c = 0 THEN [] ELSE [{{seq: {m}.seq, kind: {m}.kind, scale: {m}.s, amount: {m}.c, folded: {m}.n}}] END"
+    fits = "o.s * m.s BETWEEN -9223372036854775808 AND 9223372036854775807 AND o.s * m.c + o.c BETWEEN -9223372036854775808 AND 9223372036854775807"
+    raw = "[{seq: o.seq, kind: o.kind, scale: o.s, amount: o.c, folded: CAST(1 AS BIGINT)}]"
+    return _runs_sql(ops) + f""", c AS (SELECT *, CAST(CASE kind WHEN 'set' THEN 0 WHEN 'compute' THEN scale ELSE 1 END AS HUGEINT) AS s FROM r),
+g AS (SELECT execution_id, run, any_value(key) AS key, list({{s: s, c: CAST(amount AS HUGEINT), n: CAST(1 AS BIGINT), seq: seq, kind: kind, open: true, done: CAST([] AS {row})}} ORDER BY seq) AS os FROM c WHERE NOT barrier GROUP BY execution_id, run),
+f AS (SELECT execution_id, key, list_reduce(os, lambda m, o: CASE WHEN NOT m.open THEN {{s: o.s, c: o.c, n: o.n, seq: o.seq, kind: o.kind, open: true, done: m.done}}
+  WHEN {fits} THEN {{s: o.s * m.s, c: o.s * m.c + o.c, n: m.n + 1, seq: o.seq, kind: 'compute', open: true, done: m.done}}
+  ELSE {{s: o.s, c: o.c, n: o.n, seq: o.seq, kind: o.kind, open: false, done: CAST(list_concat(list_concat(m.done, {out("m")}), {raw}) AS {row})}} END) AS m FROM g),
+u AS (SELECT execution_id, key, unnest(CASE WHEN m.open THEN list_concat(m.done, {out("m")}) ELSE m.done END) AS x FROM f)
+SELECT execution_id, x.seq, x.kind, key, CAST(x.scale AS BIGINT) AS scale, CAST(x.amount AS BIGINT) AS amount, x.folded FROM u
+UNION ALL SELECT execution_id, seq, kind, key, CAST(1 AS BIGINT), amount, CAST(1 AS BIGINT) FROM r WHERE barrier"""
+
+
+@query("delta_coalesce", _coalesce_sql(f"WITH {OPS_SQL}"))
 def delta_coalesce(spark, d):
     return folding.coalesce_runs(operations(spark, d))
 
 
+LARGE_SQL = OPS_SQL.replace("ops AS", "small AS") + """, ops AS (SELECT execution_id, seq, kind, 'k' || CAST(seq // 40 % 2 AS VARCHAR) AS key, CASE kind WHEN 'set' THEN amount ELSE amount % 7 * 1000000000000000000 END AS amount, scale FROM small)"""
+
+
+@query("delta_coalesce_overflow", _coalesce_sql(f"WITH {LARGE_SQL}"))
+def delta_coalesce_overflow(spark, d):
+    """Long runs of large amounts: many leave 64 bits and are parted there."""
+    amount = F.when(F.col("kind") == "set", F.col("amount")).otherwise(F.col("amount") % 7 * 10**18)
+    key = F.concat(F.lit("k"), (F.floor(F.col("seq") / 40) % 2).cast("string"))
+    return folding.coalesce_runs(operations(spark, d).withColumns({"amount": amount, "key": key}))
+
+
 # States and merges
 
 SIDES = {"base": (0, 1, 2), "ours": (0, 1, 2, 3, 4), "theirs": (0, 1, 2, 5, 6)}
@@ -123,15 +152,20 @@ def state_logical_eq(spark, d):
     return merging.logically_equal(s["ours"], s["theirs"])
 
 
-@query("state_address", SIDES_SQL + " SELECT execution_id, sha256(string_agg(key || '=' || CAST(value AS VARCHAR), ',' ORDER BY key || '=' || CAST(value AS VARCHAR))) AS node FROM ours GROUP BY ALL")
+ADDRESS_SQL = "sha256(string_agg(key || '=' || CAST(value AS VARCHAR), ',' ORDER BY key || '=' || CAST(value AS VARCHAR)))"
+
+
+@query("state_address", STATES_SQL + f" SELECT execution_id, {ADDRESS_SQL} AS node FROM states GROUP BY ALL")
 def state_address(spark, d):
-    return merging.address(sides(spark, d)["ours"])
+    return merging.address(state_fold_affine(spark, d))
 
 
-@query("state_store_dedup", SIDES_SQL + """, a AS (SELECT execution_id, sha256(string_agg(key || '=' || CAST(value AS VARCHAR), ',' ORDER BY key || '=' || CAST(value AS VARCHAR))) AS node FROM ours GROUP BY ALL)
-SELECT count(DISTINCT node) AS distinct_states, count(*) - count(DISTINCT node) AS deduped FROM a""")
+@query("state_store_dedup", STATES_SQL + f""", v AS (SELECT execution_id, key, value % 2 AS value FROM states), n AS (SELECT execution_id, {ADDRESS_SQL} AS node FROM v GROUP BY ALL)
+SELECT count(DISTINCT node) AS distinct_states, count(*) - count(DISTINCT node) AS deduped FROM n""")
 def state_store_dedup(spark, d):
-    nodes = merging.address(sides(spark, d)["ours"])
+    """Whole states, by the last bit of each value so that some are equal."""
+    bits = state_fold_affine(spark, d).withColumn("value", F.col("value") % 2)
+    nodes = merging.address(bits)
     return nodes.agg(F.count_distinct("node").alias("distinct_states"), (F.count("*") - F.count_distinct("node")).alias("deduped"))
 
 
@@ -153,11 +187,11 @@ SELECT execution_id, key, CASE WHEN conflicted THEN {_side} WHEN ours = base THE
         return merging.commit(merged(spark, d), policy)
 
 
-@query("fork_state", SIDES_SQL + ", arms AS (SELECT * FROM (VALUES (0, 10), (1, 20), (2, 15)) t(arm, gain)) SELECT execution_id, arm, key, value + gain * (CASE key WHEN 'k0' THEN 1 ELSE 0 END) AS value FROM base, arms")
+@query("fork_state", STATES_SQL + ", arms AS (SELECT * FROM (VALUES (0, 10), (1, 20), (2, 15)) t(arm, gain)) SELECT execution_id, arm, key, value + gain * (CASE key WHEN 'k0' THEN 1 ELSE 0 END) AS value FROM states, arms")
 def fork_state(spark, d):
     """Every state handed to each arm of a plan's fork; the arms' own step adds to one key. The arms are part of the plan: three rows."""
     arms = F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(g).alias("gain")) for a, g in ((0, 10), (1, 20), (2, 15))))
-    forked = sides(spark, d)["base"].withColumn("a", F.explode(arms))
+    forked = state_fold_affine(spark, d).withColumn("a", F.explode(arms))
     return forked.select("execution_id", F.col("a.arm").alias("arm"), "key", (F.col("value") + F.when(F.col("key") == "k0", F.col("a.gain")).otherwise(0)).alias("value"))
 
 
@@ -332,30 +366,21 @@ def log_chain_check(spark, d):
     return logs.chain_breaks(steps(spark, d), ["execution_id"])
 
 
-@query("ledger_metrics", f"WITH {OPS_SQL} SELECT execution_id, count(*) AS records, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {k}_records" for k in ("set", "add", "compute", "sleep")) + ", min(seq) AS first_seq, max(seq) AS last_seq FROM ops GROUP BY ALL")
+@query("ledger_metrics", f"WITH {OPS_SQL} SELECT execution_id, count(*) AS records, " + ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {k}_records" for k in ("set", "add", "compute", "sleep", "emit", "fail")) + ", min(seq) AS first_seq, max(seq) AS last_seq FROM ops GROUP BY ALL")
 def ledger_metrics(spark, d):
     return logs.metrics(operations(spark, d), ["execution_id"])
 
 
-@query("strategy_agreement", CLOSED_SQL + " SELECT execution_id, key, CAST(0 AS BIGINT) AS value, '' AS side FROM a WHERE false")
-def strategy_agreement(spark, d):
-    """Two ways to the same states, the ordered fold and the last of the prefix states: no row may differ."""
-    own = operations(spark, d).where(F.col("kind").isin("set", "add"))
-    last = folding.prefix_states(own, KEY).groupBy(*KEY).agg(F.max_by("value", "seq").alias("value"))
-    return logs.agreement(folding.fold_affine(own, KEY).select(*KEY, "value"), last)
-
-
-@query("replay_prefixes", f"""WITH {OPS_SQL}, a AS (SELECT * FROM ops WHERE kind IN ('set', 'add')), n AS (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS part), m AS (SELECT max(seq) + 1 AS top FROM ops),
-c AS (SELECT part, CAST(floor(part * top) AS BIGINT) AS upto FROM n, m), q AS (SELECT upto, a.* FROM c JOIN a ON a.seq < c.upto),
-l AS (SELECT upto, execution_id, key, max(seq) AS f FROM q WHERE kind = 'set' GROUP BY ALL)
-SELECT upto, execution_id, key, CAST(sum(amount) AS BIGINT) AS value FROM q LEFT JOIN l USING (upto, execution_id, key) WHERE f IS NULL OR seq >= f GROUP BY ALL""")
+@query("replay_prefixes", f"""WITH {MAPS_SQL}, n AS (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS part), m AS (SELECT max(seq) + 1 AS top FROM ops),
+c AS (SELECT CAST(floor(part * top) AS BIGINT) AS upto FROM n, m), q AS (SELECT upto, a.* FROM c JOIN a ON a.seq < c.upto)
+SELECT upto, execution_id, key, CAST(list_reduce(list_concat([{{s: CAST(0 AS HUGEINT), c: CAST(0 AS HUGEINT)}}], {LIST_SQL}), lambda m, o: {{s: m.s * o.s, c: m.c * o.s + o.c}}).c AS BIGINT) AS value FROM q GROUP BY upto, execution_id, key""")
 def replay_prefixes(spark, d):
     """States rebuilt from four prefixes of the log; none is ahead of its prefix. The bounds are one row from one aggregate."""
     ops = operations(spark, d)
     top = ops.agg((F.max("seq") + 1).alias("top"))
     bounds = top.select(F.explode(F.array(*(F.floor(F.lit(p) * F.col("top")) for p in (0.25, 0.5, 0.75, 1.0)))).alias("upto"))
     inside = ops.join(F.broadcast(bounds), ops["seq"] < bounds["upto"])
-    return folding.fold_closed(inside, ["upto", *KEY])
+    return folding.fold_affine(inside, ["upto", *KEY])
 
 
 # Binary logs: the properties of a user's events are the payloads of one log
@@ -390,11 +415,11 @@ def frame_torn_bytes(spark, d):
     return binary.torn_bytes(logs, binary.read_logs(logs, "user_id"), "user_id")
 
 
-@query("delta_encoded_len", f"""WITH {OPS_SQL}, z AS (SELECT *, CASE WHEN amount >= 0 THEN 2 * amount ELSE -2 * amount - 1 END AS zig FROM ops)
-SELECT execution_id, CAST(sum(CASE kind WHEN 'sleep' THEN 9 WHEN 'compute' THEN 5 + strlen(key) + 16 ELSE 5 + strlen(key) + 8 END) AS BIGINT) AS raw_bytes,
-  CAST(sum(CASE kind WHEN 'sleep' THEN 1 + greatest(1, ceil(len(bin(amount)) / 7)) ELSE 2 + strlen(key) + greatest(1, ceil(len(bin(zig)) / 7)) + CASE kind WHEN 'compute' THEN 1 ELSE 0 END END) AS BIGINT) AS compact_bytes FROM z GROUP BY ALL""")
+@query("delta_encoded_len", f"""WITH {OPS_SQL}, z AS (SELECT *, CASE WHEN amount >= 0 THEN 2 * amount ELSE -2 * amount - 1 END AS zig, CASE WHEN scale >= 0 THEN 2 * scale ELSE -2 * scale - 1 END AS zag FROM ops)
+SELECT execution_id, CAST(sum(CASE kind WHEN 'sleep' THEN 9 WHEN 'emit' THEN 5 + strlen(key) WHEN 'compute' THEN 5 + strlen(key) + 16 ELSE 5 + strlen(key) + 8 END) AS BIGINT) AS raw_bytes,
+  CAST(sum(CASE kind WHEN 'sleep' THEN 1 + greatest(1, ceil(len(bin(amount)) / 7)) WHEN 'emit' THEN 2 + strlen(key) ELSE 2 + strlen(key) + greatest(1, ceil(len(bin(zig)) / 7)) + CASE kind WHEN 'compute' THEN greatest(1, ceil(len(bin(zag)) / 7)) ELSE 0 END END) AS BIGINT) AS compact_bytes FROM z GROUP BY ALL""")
 def delta_encoded_len(spark, d):
-    sized = binary.delta_sizes(operations(spark, d).withColumn("scale", F.lit(-1).cast("long")))
+    sized = binary.delta_sizes(operations(spark, d))
     return sized.groupBy("execution_id").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("compact_bytes").alias("compact_bytes"))
 
 
@@ -472,10 +497,10 @@ def nested_run(spark: SparkSession, d: str) -> Run:
     """The states of executions folded from events go through a fork whose first arm forks again."""
     h = F.col("held")
     inner = Plan().fork(Plan().add("k0", h), Plan().compute("k0", -1, 9)).select("lowest_score", "k0").commit().add("k1", 2)
-    return Run(Plan().fork(inner, Plan().set("k1", h % 7)).select("highest_score", "k1").add("k2", 1).commit("take_future").compute("k2", 3, 1), None, sides(spark, d)["base"], values={"held": F.sum("value")})
+    return Run(Plan().fork(inner, Plan().set("k1", h % 7)).select("highest_score", "k1").add("k2", 1).commit("take_future").compute("k2", 3, 1), None, state_fold_affine(spark, d), values={"held": F.sum("value")})
 
 
-@query("plan_nested_states", SIDES_SQL + """, e AS (SELECT execution_id, CAST(sum(value) AS BIGINT) AS h, max(CASE key WHEN 'k0' THEN value END) AS k0, max(CASE key WHEN 'k1' THEN value END) AS k1, max(CASE key WHEN 'k2' THEN value END) AS k2 FROM base GROUP BY ALL),
+@query("plan_nested_states", STATES_SQL + """, e AS (SELECT execution_id, CAST(sum(value) AS BIGINT) AS h, max(CASE key WHEN 'k0' THEN value END) AS k0, max(CASE key WHEN 'k1' THEN value END) AS k1, max(CASE key WHEN 'k2' THEN value END) AS k2 FROM states GROUP BY ALL),
 n AS (SELECT *, least(coalesce(k0, 0) + h, 9 - coalesce(k0, 0)) AS i0, coalesce(k1, 0) + 2 AS i1 FROM e), w AS (SELECT *, i1 >= h % 7 AS first FROM n)
 SELECT execution_id, 'k0' AS key, CASE WHEN first THEN i0 ELSE k0 END AS value FROM w WHERE first OR k0 IS NOT NULL
 UNION ALL SELECT execution_id, 'k1', CASE WHEN first THEN i1 ELSE h % 7 END FROM w UNION ALL SELECT execution_id, 'k2', 3 * (coalesce(k2, 0) + 1) + 1 FROM w""")

@@ -61,7 +61,7 @@ def chain_breaks(steps: DataFrame, by: list[str]) -> DataFrame:
 
 def metrics(records: DataFrame, by: list[str]) -> DataFrame:
     """Counts of records by kind, in one aggregation."""
-    kinds = ("set", "add", "compute", "sleep")
+    kinds = ("set", "add", "compute", "sleep", "emit", "fail")
     return records.groupBy(*by).agg(F.count("*").alias("records"), *(F.count_if(F.col("kind") == k).alias(f"{k}_records") for k in kinds), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 

@@ -119,11 +119,12 @@ def delta_sizes(ops: DataFrame) -> DataFrame:
     """ops (kind, key, amount, and scale for compute) with raw_bytes and compact_bytes of the operation alone.
 
     Both have a byte for the kind. Raw: the key with four bytes of length, eight bytes for each number. Compact: a
-    varint of length, zigzag varints for signed numbers; a sleep has one unsigned number and no key.
+    varint of length, zigzag varints for signed numbers; a sleep has one unsigned number and no key, an emit or a fail its
+    text (key) and no number.
     """
-    key, sleeps = F.octet_length("key").cast("long"), F.col("kind") == "sleep"
-    numbers = F.when(F.col("kind") == "compute", 2).otherwise(1)
+    key, sleeps, told = F.octet_length("key").cast("long"), F.col("kind") == "sleep", F.col("kind").isin("emit", "fail")
+    numbers = F.when(F.col("kind") == "compute", 2).when(told, 0).otherwise(1)
     raw = F.when(sleeps, F.lit(9)).otherwise(1 + 4 + key + 8 * numbers)
     signed = varint_size(zigzag(F.col("amount"))) + F.when(F.col("kind") == "compute", varint_size(zigzag(F.col("scale")))).otherwise(0)
-    compact = F.when(sleeps, 1 + varint_size(F.col("amount"))).otherwise(1 + varint_size(key) + key + signed)
+    compact = F.when(sleeps, 1 + varint_size(F.col("amount"))).otherwise(1 + varint_size(key) + key + F.when(told, 0).otherwise(signed))
     return ops.withColumn("raw_bytes", raw.cast("long")).withColumn("compact_bytes", compact.cast("long"))

@@ -1,6 +1,7 @@
 """Literal fixtures of the operators, and every query against its SQL twin."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
@@ -16,28 +17,80 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def ops(spark, rows):
-    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "execution_id long, seq long, kind string, key string, amount long")
+    """rows: (kind, key, amount) or, for computes, (kind, key, amount, scale)."""
+    return spark.createDataFrame([(1, i, *r, *[None] * (4 - len(r))) for i, r in enumerate(rows)], "execution_id long, seq long, kind string, key string, amount long, scale long")
 
 
 def rows(df, *by):
     return [tuple(r) for r in (df.orderBy(*by) if by else df).collect()]
 
 
-def test_fold_is_ordered(spark):
-    log = ops(spark, [("add", "x", 1), ("add", "x", 1), ("compute", "x", -4), ("sleep", "x", 0), ("add", "x", 10)])
-    assert rows(folding.fold_affine(log, ["execution_id", "key"])) == [(1, "x", 4)]
+def plain_fold(log):
+    """(seq, key, value) after each operation that touches a key."""
+    state, told = {}, []
+    for i, (kind, key, amount, *scale) in enumerate(log):
+        if kind in ("sleep", "fail"):
+            continue
+        key, amount = ("__emit__", 1) if kind == "emit" else (key, amount)
+        state[key] = state.get(key, 0) * {"set": 0, "compute": (scale or [None])[0]}.get(kind, 1) + amount
+        assert -(2**63) <= state[key] < 2**63
+        told.append((i, key, state[key]))
+    return state, told
 
 
-def test_fold_overflow_is_an_error(spark):
-    with pytest.raises(Exception, match="OVERFLOW"):
-        folding.fold_affine(ops(spark, [("set", "x", 2**63 - 1), ("add", "x", 1)]), ["key"]).collect()
+def random_log(seed, n=120, kinds=("set", "add", "add", "compute", "sleep", "emit")):
+    rng = random.Random(seed)
+    log = []
+    while len(log) < n:
+        kind, key = rng.choice(kinds), rng.choice("xxxy")
+        run = rng.randint(1, 5)
+        log += [(kind, key, rng.randint(-9, 9), *([rng.choice((2, 3, -1, 0, 1, -2))] if kind == "compute" else [])) for _ in range(run)]
+    return log[:n]
 
 
-def test_parts_compose_like_one(spark, monkeypatch):
-    log = ops(spark, [("add" if i % 3 else "compute", "x", i) for i in range(50)])
-    whole = rows(folding.fold_affine(log, ["key"]))
-    monkeypatch.setattr(folding, "PART", 7)
-    assert rows(folding.fold_affine(log, ["key"])) == whole
+def test_fold_is_ordered(spark):
+    log = ops(spark, [("add", "x", 1), ("add", "x", 1), ("compute", "x", -4, 10), ("sleep", "x", 0), ("add", "x", 10)])
+    assert rows(folding.fold_affine(log, ["execution_id", "key"])) == [(1, "x", 26)]
+    assert rows(folding.fold_affine(ops(spark, [("set", "x", 5), ("compute", "x", 1, 3)]), ["key"])) == [("x", 16)]
+    log = ops(spark, [("emit", "shipped", None), ("sleep", None, 9), ("emit", "paid", None), ("add", "x", 2), ("fail", "why", None)])
+    assert sorted(rows(folding.fold_affine(log, ["key"]))) == [("__emit__", 2), ("x", 2)]
+
+
+@pytest.mark.parametrize("log", [[("set", "x", 2**63 - 1), ("add", "x", 1)], [("set", "x", 2**62), ("compute", "x", 0, 2)], [("set", "x", -(2**63)), ("compute", "x", 0, -1)]])
+def test_overflow_is_an_error(spark, log):
+    for fold in (folding.fold_affine, folding.prefix_states):
+        with pytest.raises(Exception, match="OVERFLOW|64 bits"):
+            fold(ops(spark, log), ["key"]).collect()
+
+
+def test_values_may_stay_where_their_maps_leave_64_bits(spark):
+    """A compute that keeps a value in place, seventy times: the composed map is 2^70 x - c(2^70 - 1)."""
+    log = [("set", "x", 7)] + [("add", "y", 0)] * folding.PART + [("compute", "x", -7, 2)] * 70 + [("add", "x", 1)]
+    assert sorted(rows(folding.fold_affine(ops(spark, log), ["key"]))) == [("x", 8), ("y", 0)]
+    found = folding.prefix_states(ops(spark, log), ["key"]).where("key = 'x'").select("value").distinct()
+    assert sorted(rows(found)) == [(7,), (8,)]
+
+
+@pytest.mark.parametrize("part", [4096, 7, 1])
+def test_parts_make_no_difference(spark, monkeypatch, part):
+    monkeypatch.setattr(folding, "PART", part)
+    for seed in range(4):
+        log = random_log(seed)
+        state, told = plain_fold(log)
+        assert dict(rows(folding.fold_affine(ops(spark, log), ["key"]))) == state
+        assert rows(folding.prefix_states(ops(spark, log), ["key"]).select("seq", "key", "value"), "seq") == told
+        sums = random_log(seed, kinds=("set", "add", "emit", "sleep"))
+        state, told = plain_fold(sums)
+        assert dict(rows(folding.fold_closed(ops(spark, sums), ["key"]))) == state
+        assert rows(folding.prefix_sums(ops(spark, sums), ["key"]).select("seq", "key", "value"), "seq") == told
+
+
+def test_closed_forms_refuse_computes(spark):
+    for fold in (folding.fold_closed, folding.prefix_sums):
+        with pytest.raises(Exception, match="no closed form"):
+            fold(ops(spark, [("add", "x", 1), ("compute", "x", 1, 2)]), ["key"]).collect()
+    with pytest.raises(Exception, match="without a scale"):
+        folding.fold_affine(ops(spark, [("compute", "x", 1)]), ["key"]).collect()
 
 
 @pytest.mark.parametrize(
@@ -50,13 +103,41 @@ def test_parts_compose_like_one(spark, monkeypatch):
         ([("set", "x", 10), ("add", "x", 5)], [("compute", 0, 15)]),
         ([("add", "x", 0)], []),
         ([("set", "x", 2**63 - 1), ("add", "x", 2**63 - 1)], [("set", 0, 2**63 - 1), ("add", 1, 2**63 - 1)]),
+        ([("compute", "x", 1, 3), ("compute", "x", 2, -2)], [("compute", -6, 0)]),
+        # the run so far goes out, then what breaks it as it is, and the next begins anew
+        ([("add", "x", a) for a in (2**62, 5, 2**62, 7, 8)], [("compute", 1, 2**62 + 5), ("add", 1, 2**62), ("compute", 1, 15)]),
+        ([("compute", "x", 0, 2**40)] * 4, [("compute", 2**40, 0)] * 4),
+        ([("set", "x", 2**63 - 1), ("add", "x", 1), ("add", "x", 0)], [("set", 0, 2**63 - 1), ("add", 1, 1)]),
     ],
 )
 def test_coalescing(spark, log, expected):
-    found = folding.coalesce_runs(ops(spark, log)).orderBy("seq").select("kind", "scale", "addend")
+    found = folding.coalesce_runs(ops(spark, log)).orderBy("seq").select("kind", "scale", "amount")
     assert rows(found) == expected
 
 
+@pytest.mark.parametrize("part", [4096, 3])
+def test_coalesced_ledgers_fold_to_the_same(spark, monkeypatch, part):
+    monkeypatch.setattr(folding, "PART", part)
+    for seed in range(6):
+        log = ops(spark, random_log(seed))
+        folded = folding.coalesce_runs(log)
+        same = lambda df: {k: v for k, v in rows(folding.fold_affine(df, ["key"])) if v}
+        assert same(folded) == same(log) and folded.count() < log.count()
+        assert rows(folding.coalesce_runs(folded), "seq") == rows(folded.withColumn("folded", F.lit(1).cast("long")), "seq")
+
+
+@pytest.mark.parametrize("part", [4096, 3])
+def test_runs_over_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(folding, "PART", part)
+    for seed in range(3):
+        log, told, start = random_log(seed), [], 0
+        for i, (kind, key, *_) in enumerate(log):
+            if i == 0 or kind in ("sleep", "emit") or log[i - 1][0] in ("sleep", "emit") or log[i - 1][1] != key:
+                start = i
+            told.append((i, start))
+        assert rows(folding.runs(ops(spark, log)).select("seq", "run"), "seq") == told
+
+
 def state(spark, **values):
     return spark.createDataFrame([(1, k, v) for k, v in values.items()], "execution_id long, key string, value long")
 
