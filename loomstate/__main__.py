@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.effects import CLASSES, READ
@@ -28,6 +28,15 @@ def session() -> SparkSession:
     return spark
 
 
+def listed(rows: DataFrame, what: str) -> None:
+    """Prints all rows, as they come."""
+    n = 0
+    print(*rows.columns, sep="\t")
+    for n, row in enumerate(rows.toLocalIterator(), 1):
+        print(*row, sep="\t")
+    print(f"{n} {what}")
+
+
 def number(args: list[str], what: str, default: int) -> int:
     if not args:
         return default
@@ -65,9 +74,11 @@ def main(argv: list[str]) -> int:
                 raise PlanError("inspect needs the path of a log")
             spark = session()
             logs = spark.read.format("binaryFile").load(args[0]).select(F.col("path").alias("file"), F.col("content").alias("log"))
-            found = frames.read_logs(logs, "file")
-            found.select("file", "ordinal", "offset", F.octet_length("payload").alias("bytes")).orderBy("file", "ordinal").show(20, False)
-            frames.torn_bytes(logs, found, "file").show(20, False)
+            read = frames.read_logs(logs, "file")
+            torn = frames.torn_bytes(logs, read, "file")
+            found = read.select("file", "ordinal", "offset", F.octet_length("payload").alias("bytes")).orderBy("file", "ordinal")
+            listed(found, "frames")
+            listed(torn.orderBy("file"), "logs")
             return 0
         plan = {
             "run": lambda: [p := Plan(), *(p.add("counter", 1) for _ in range(number(args, "STEPS", 20)))][0], "demo": lambda: forked(number(args, "ARMS", 3)),
@@ -77,11 +88,11 @@ def main(argv: list[str]) -> int:
     except PlanError as e:
         print(e, file=sys.stderr)
         return 1
-    run.states().orderBy("key").show(50, False)
+    listed(run.states().orderBy("key"), "values")
     if verb in ("demo", "explore"):
-        run.futures().orderBy("arm").select("path", "status", "score", "steps", "cost_ms").show(50, False)
+        listed(run.futures().orderBy("arm").select("path", "status", "score", "steps", "cost_ms"), "futures")
     if verb == "effects":
-        Strategy("deterministic").issued(run).orderBy("path", "ordinal").select("effect_key", "class", "disposition", "released", "sink").show(50, False)
+        listed(Strategy("deterministic").issued(run).orderBy("path", "ordinal").select("effect_key", "class", "disposition", "released", "sink"), "effects")
     return 0
 
 

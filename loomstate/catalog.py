@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import contracts, effects, folding, lineage, logs, merging, rebuild, selecting
@@ -346,8 +346,6 @@ def log_boundary(spark, d):
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("execution_id").orderBy("seq")
     s = operations(spark, d).select("execution_id", "seq", F.when(F.col("seq") % 53 == 5, F.col("seq") - 60).otherwise(F.col("seq")).alias("version"))
     return s.withColumn("parent", F.when(F.col("seq") % 41 == 7, -1).otherwise(F.lag("version", 1, 0).over(w)))
@@ -395,8 +393,10 @@ def frame_checksums(spark, d):
 def hurt_logs(spark: SparkSession, d: str) -> DataFrame:
     """A log for each user; a third lose their last three bytes, a third end in eleven bytes of a frame never finished."""
     logs = binary.write_logs(table(spark, d, "events"), "user_id", "event_id", "props")
+    last = F.col("block") == F.max("block").over(Window.partitionBy("user_id"))
     torn = F.concat("log", F.lit(bytes([64, 0, 0, 0, 1, 2, 3, 4, 7, 7, 7])))
-    return logs.withColumn("log", F.when(F.col("user_id") % 3 == 1, F.expr("substring(log, 1, octet_length(log) - 3)")).when(F.col("user_id") % 3 == 2, torn).otherwise(F.col("log")))
+    hurt = F.when(F.col("user_id") % 3 == 1, F.expr("substring(log, 1, octet_length(log) - 3)")).when(F.col("user_id") % 3 == 2, torn)
+    return logs.withColumn("log", F.when(last, F.coalesce(hurt, "log")).otherwise(F.col("log")))
 
 
 HURT_SQL = """WITH f AS (SELECT user_id, event_id, strlen(props) + 8 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r,

@@ -6,7 +6,7 @@ from loomstate.sources import frames
 
 def test_verbs(spark, capsys, tmp_path):
     assert cli.main([]) == 0 and "inspect PATH" in capsys.readouterr().out
-    assert cli.main(["run", "5"]) == 0 and "|counter|5    |" in capsys.readouterr().out
+    assert cli.main(["run", "5"]) == 0 and "1\tcounter\t5\n1 values" in capsys.readouterr().out
     assert cli.main(["demo"]) == 0
     out = capsys.readouterr().out
     assert "committed" in out and "rejected" in out
@@ -16,7 +16,7 @@ def test_verbs(spark, capsys, tmp_path):
     (tmp_path / "x.log").write_bytes(log + b"torn")
     assert cli.main(["inspect", str(tmp_path / "x.log")]) == 0
     out = capsys.readouterr().out
-    assert "|11        |4         |" in out
+    assert "1 frames" in out and "\t11\t4\n1 logs" in out
 
 
 def test_refusals(capsys):

@@ -1,7 +1,9 @@
 """Framed logs: round trip, damage at every byte, and sizes."""
 
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomstate.sources import frames
@@ -48,6 +50,23 @@ def test_every_damage_leaves_a_prefix(spark):
         assert how == "cut" or len(raw) == at
 
 
+@pytest.mark.parametrize("size, most", [(1, 1 << 20), (3, 1 << 20), (4096, 40), (4096, 1 << 20)])
+def test_blocks(spark, size, most):
+    """A log in blocks reads as one; damage in a block, or a lost block, ends it there and leaves other logs alone."""
+    rng = random.Random(size)
+    rows = [(log, i, bytes(rng.randrange(256) for _ in range(rng.randrange(30)))) for log in (1, 2) for i in range(20)]
+    logs = frames.write_logs(spark.createDataFrame(rows, "log_id long, seq long, payload binary"), "log_id", "seq", "payload", size, most).cache()
+    read = lambda df: [(r["log_id"], r["ordinal"], bytes(r["payload"])) for r in frames.read_logs(df, "log_id").orderBy("log_id", "ordinal").collect()]
+    assert read(logs) == rows
+    blocks = logs.where("log_id = 1").orderBy("block").collect()
+    assert sum(len(b["log"]) for b in blocks) == sum(8 + len(p) for i, _, p in rows if i == 1)
+    b = blocks[len(blocks) // 2]
+    broken = logs.withColumn("log", F.when((F.col("log_id") == 1) & (F.col("block") == b["block"]), F.expr("substring(log, 1, octet_length(log) - 1)")).otherwise(F.col("log")))
+    inside = len(list(frames.scan(bytes(b["log"]))))
+    assert read(broken) == rows[: b["first"] + inside - 1] + rows[20:]
+    assert read(logs.where(f"log_id = 2 or block <> {b['block']}")) == (rows[: b["first"]] + rows[20:])
+
+
 def test_torn_tail(spark):
     log = logs_of(spark, [(1, 0, b"kept")])
     torn = log.withColumn("log", F.concat("log", F.lit(bytes([64, 0, 0, 0, 1, 2, 3, 4, 7, 7, 7]))))
