@@ -26,8 +26,8 @@ from .common import column_of, read_table, stored, text_column, texts_of
 from .encoding import encoder, vocabulary
 
 ROOM, END_ID = 1024, 0
-#: Pieces of one length that are ranked together, about.
-PART_ROWS = 100_000
+#: Pieces of one length that are ranked together, about, and the share of all pieces that these are at most.
+PART_ROWS, PART_SHARE = 100_000, 1024
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -102,13 +102,14 @@ def assign_rows(parts: Iterator[pa.RecordBatch], plan, with_ids: bool) -> Iterat
 
 def parts_of(histogram: np.ndarray, rows: int) -> np.ndarray:
     """In how many parts the pieces of each length are ranked."""
+    rows = max(1, min(rows, int(histogram.sum()) // PART_SHARE))
     return np.maximum(1, -(-histogram // rows))
 
 
 def assign(cut: DataFrame, room: int = ROOM, part_rows: int = PART_ROWS) -> DataFrame:
     """Each piece's sequence and offset, and its ids if cut has them. cut is read three times, so it should be stored.
 
-    To the driver come room counts, then a count for each part: one for every length and every part_rows pieces, at most.
+    To the driver come room counts, then a count for each part: one for every length, every part_rows pieces, and PART_SHARE more, at most.
     """
     with_ids = "ids" in cut.columns
     histogram = np.zeros(room + 1, np.int64)
