@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import contracts, effects, folding, lineage, logs, merging, rebuild, selecting
+from .functions import codes
+from .operators import contract_table, contracts, effects, folding, lineage, logs, merging, rebuild, selecting, store
 from .plans import Plan, Run, strategies
 from .sources import frames as binary
+from .sources import records
 from .sources.ledger import MAPS_SQL, OPS_SQL, operations, table
+from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -221,13 +224,19 @@ for _name, _score in SCORES.items():
         return selecting.select_future(candidates(spark, d), name)
 
 
-@query("select_settle", _winners("head") + """ SELECT c.execution_id, c.future_id, CASE WHEN status = 'failed' THEN 'failed' WHEN w.future_id IS NULL THEN status WHEN w.future_id = c.future_id THEN 'committed' ELSE 'rejected' END AS status
+@query("select_settle", _winners("head") + """ SELECT c.execution_id, c.future_id, CASE WHEN w.future_id IS NULL THEN status WHEN w.future_id = c.future_id THEN 'committed' ELSE 'rejected' END AS status, status AS before
 FROM c LEFT JOIN w ON w.execution_id = c.execution_id AND w.r = 1""")
 def select_settle(spark, d):
     c = candidates(spark, d)
     return selecting.settle(c, selecting.select_future(c, "highest_score"))
 
 
+@query("select_next_runnable", "SELECT o_custkey AS execution_id, arg_min(o_orderkey, (o_orderkey % 97, o_orderkey)) AS future_id FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+def select_next_runnable(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "blocked").otherwise("failed")
+    return selecting.next_runnable(table(spark, d, "orders").select(F.col("o_custkey").alias("execution_id"), F.col("o_orderkey").alias("future_id"), status.alias("status"), (F.col("o_orderkey") % 97).alias("ready_at")))
+
+
 @query("select_ready", CANDIDATES_SQL + " SELECT execution_id, bool_and(status IN ('evaluable', 'failed', 'rejected', 'committed')) AS ready FROM c GROUP BY ALL")
 def select_ready(spark, d):
     return selecting.ready(candidates(spark, d))
@@ -299,6 +308,37 @@ def effect_reclaimable(spark, d):
     return effects.reclaimable(effects.disposition(recorded(spark, d)), futures).select(*EFFECT_COLUMNS)
 
 
+@query("effect_forget", EFFECTS_SQL + """, f AS (SELECT o_orderkey AS execution_id, k AS future_id FROM orders, (VALUES (0), (1), (2)) t(k) WHERE o_orderstatus = 'F')
+SELECT """ + ", ".join(EFFECT_COLUMNS) + " FROM x ANTI JOIN f ON x.execution_id = f.execution_id AND x.future_id = f.future_id AND disposition <> 'deferred'")
+def effect_forget(spark, d):
+    ended = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("running")
+    futures = table(spark, d, "orders").select(F.col("o_orderkey").alias("execution_id"), F.explode(F.expr("sequence(0L, 2L)")).alias("future_id"), ended.alias("status"))
+    return effects.forget(effects.disposition(recorded(spark, d)), futures).select(*EFFECT_COLUMNS)
+
+
+@query("effect_attempt_log", EFFECTS_SQL + """, t AS (SELECT *, row_number() OVER w AS r, row_number() OVER w = 1 AND args % 3 = 0 AS fails FROM e WINDOW w AS (PARTITION BY part ORDER BY seq, args)),
+n AS (SELECT *, count(CASE WHEN NOT fails THEN 1 END) OVER (PARTITION BY part ORDER BY r) AS n FROM t), f AS (SELECT part, max(CASE WHEN n = 1 AND NOT fails AND class = 'read' THEN args * 2 + 1 END) AS first FROM n GROUP BY part)
+SELECT 'p' || part AS effect_key, seq, class, args, CASE WHEN fails THEN 'failed' WHEN n = 1 THEN 'performed' ELSE 'repeated' END AS outcome, CASE WHEN NOT fails THEN first END AS result FROM n JOIN f USING (part)""")
+def effect_attempt_log(spark, d):
+    attempts = recorded(spark, d).select(F.concat(F.lit("p"), F.col("part").cast("string")).alias("effect_key"), "class", "args", F.struct("seq", "args").alias("seq"))
+    return effects.attempt_log(attempts, fails_once=F.col("args") % 3 == 0).withColumn("seq", F.col("seq.seq"))
+
+
+@query("effect_journal", EFFECTS_SQL + """, j AS (SELECT 'p' || part AS effect_key, seq, args, class, disposition = 'deferred' AS deferred FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY effect_key ORDER BY deferred, CASE WHEN deferred THEN seq ELSE -seq END, CASE WHEN deferred THEN args ELSE -args END) AS r FROM j)
+SELECT effect_key, seq, class, args, deferred AND NOT EXISTS (SELECT 1 FROM j i WHERE i.effect_key = k.effect_key AND i.args % 7 = 0) AS deferred FROM k WHERE r = 1""")
+def effect_journal(spark, d):
+    """What is known of each key: the last result, or the first intent where nothing was done; a seventh of the intents are issued later."""
+    e = effects.disposition(recorded(spark, d)).select(F.concat(F.lit("p"), F.col("part").cast("string")).alias("effect_key"), (F.col("seq") * 100 + F.col("args")).alias("seq"), "class", "args", (F.col("disposition") == "deferred").alias("deferred"))
+    return effects.journal(e, e.where("args % 7 = 0")).withColumn("seq", F.floor(F.col("seq") / 100))
+
+
+@query("effect_codes", EFFECTS_SQL + " SELECT execution_id, ordinal, class, CAST(part % 5 AS INTEGER) AS code, class AS name FROM e")
+def effect_codes(spark, d):
+    number = codes.code(F.col("class"), codes.CLASSES)
+    return recorded(spark, d).select("execution_id", "ordinal", "class", number.alias("code"), codes.name_of(number, codes.CLASSES).alias("name"))
+
+
 @query("effect_classes", EFFECTS_SQL + " SELECT execution_id, class, min(seq) AS first_seq FROM e GROUP BY ALL")
 def effect_classes(spark, d):
     return effects.classes_in_order(recorded(spark, d))
@@ -345,6 +385,77 @@ def log_boundary(spark, d):
     return logs.boundary(logs.offsets(frames(spark, d)), F.lit(FRONTIER))
 
 
+# Stores: four fifths of each user's events are durable, the others are appended
+
+STORE_SQL = """WITH f AS (SELECT user_id AS execution_id, event_id AS seq, strlen(coalesce(props, '')) + 8 AS size, event_id % 5 <> 0 AS old FROM events),
+s AS (SELECT *, CAST(sum(size) OVER (PARTITION BY execution_id ORDER BY old DESC, seq) AS BIGINT) AS end_pos FROM f), g AS (SELECT *, end_pos - size AS "offset" FROM s),
+l AS (SELECT execution_id, coalesce(max(CASE WHEN old THEN end_pos END), 0) AS sync, max(end_pos) AS written, min(CASE WHEN NOT old THEN end_pos END) AS next, max(CASE WHEN old THEN "offset" END) AS last FROM g GROUP BY ALL)"""
+
+
+def appended(spark: SparkSession, d: str) -> DataFrame:
+    sized = frames(spark, d).select("execution_id", "seq", "size")
+    old = logs.offsets(sized.where("seq % 5 <> 0")).withColumn("durable", F.lit(True))
+    return store.append(old.select(*store.FRAME), sized.where("seq % 5 = 0"))
+
+
+@query("store_append", STORE_SQL + ' SELECT execution_id, seq, size, "offset", end_pos, old AS durable FROM g')
+def store_append(spark, d):
+    return appended(spark, d)
+
+
+@query("store_ends", STORE_SQL + " SELECT execution_id, written AS written_end, sync AS sync_position FROM l")
+def store_ends(spark, d):
+    return store.ends(appended(spark, d))
+
+
+@query("store_commit_prefix", STORE_SQL + ' SELECT execution_id, seq, size, "offset", end_pos, old OR coalesce(end_pos <= next, false) AS durable FROM g JOIN l USING (execution_id)')
+def store_commit_prefix(spark, d):
+    """One frame more is committed of each log that has one waiting."""
+    f = appended(spark, d)
+    return store.commit_prefix(f, f.where("not durable").groupBy("execution_id").agg(F.min("end_pos").alias("position")))
+
+
+@query("store_commit_all", STORE_SQL + " SELECT execution_id, written AS written_end, written AS sync_position FROM l")
+def store_commit_all(spark, d):
+    return store.ends(store.commit_all(appended(spark, d)))
+
+
+@query("store_truncate", STORE_SQL + ' SELECT execution_id, seq, size, "offset", end_pos, true AS durable FROM g JOIN l USING (execution_id) WHERE old AND end_pos <= last')
+def store_truncate(spark, d):
+    """The last durable frame of each log goes, and with it all that is waiting."""
+    f = appended(spark, d)
+    return store.truncate_to(f, f.where("durable").groupBy("execution_id").agg(F.max("offset").alias("position")))
+
+
+@query("store_read_from", STORE_SQL + ' SELECT execution_id, seq, size, "offset", end_pos, true AS durable FROM g JOIN l USING (execution_id) WHERE old AND "offset" = last')
+def store_read_from(spark, d):
+    f = appended(spark, d)
+    return store.read_from(f, f.where("durable").groupBy("execution_id").agg(F.max("offset").alias("position")))
+
+
+@query("store_refused", STORE_SQL + """, p AS (SELECT *, sync + 3 AS position FROM l)
+SELECT 'commit' AS action, execution_id, position, CASE WHEN position > written THEN 'beyond the written end' ELSE 'inside a frame' END AS problem FROM p
+UNION ALL SELECT 'read', execution_id, position, 'beyond the durable end' FROM p UNION ALL SELECT 'truncate', execution_id, position - 6, 'inside a frame' FROM p WHERE sync > 0""")
+def store_refused(spark, d):
+    f = appended(spark, d)
+    p = store.ends(f).select("execution_id", (F.col("sync_position") + 3).alias("position"), "sync_position")
+    back = p.where("sync_position > 0").withColumn("position", F.col("position") - 6)
+    told = lambda rows, action: store.refused(f, rows.drop("sync_position"), action).withColumn("action", F.lit(action))
+    return told(p, "commit").unionByName(told(p, "read")).unionByName(told(back, "truncate"))
+
+
+@query("ledger_cost_ms", "SELECT user_id AS execution_id, CASE WHEN max(event_id) * 100 // 1000 > 0 THEN max(event_id) * 100 // 1000 ELSE count(*) END AS cost_ms FROM events GROUP BY ALL")
+def ledger_cost_ms(spark, d):
+    told = table(spark, d, "events").select(F.col("user_id").alias("execution_id"), F.col("event_id").alias("sequence"), F.lit("step").alias("kind"), (F.col("event_id") * 100).alias("at_us"))
+    return logs.cost_ms(told, ["execution_id"])
+
+
+@query("log_group_commit", FRAMES_SQL + """, w AS (SELECT *, (row_number() OVER (PARTITION BY execution_id ORDER BY seq) - 1) // 8 AS gr FROM f), bt AS (SELECT execution_id, gr, sum(size) AS bytes, count(*) AS n FROM w GROUP BY ALL)
+SELECT execution_id, count(*) AS flushes, CAST(sum(bytes) AS BIGINT) AS durable_bytes, CAST(sum(10050 + 20 * ((bytes + 1023) // 1024)) AS BIGINT) AS wait_us, max(n) AS most_waiting FROM bt GROUP BY execution_id""")
+def log_group_commit(spark, d):
+    return logs.group_commit(frames(spark, d).withColumnRenamed("seq", "sequence"), ["execution_id"], 8)
+
+
 def steps(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("execution_id").orderBy("seq")
     s = operations(spark, d).select("execution_id", "seq", F.when(F.col("seq") % 53 == 5, F.col("seq") - 60).otherwise(F.col("seq")).alias("version"))
@@ -423,10 +534,32 @@ def delta_encoded_len(spark, d):
     return sized.groupBy("execution_id").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("compact_bytes").alias("compact_bytes"))
 
 
+_bytes = lambda x: f"greatest(1, ceil(len(bin({x})) / 7))"
+
+
+@query("record_round_trip", f"""WITH {OPS_SQL}, z AS (SELECT *, CASE WHEN amount >= 0 THEN 2 * amount ELSE -2 * amount - 1 END AS zig, CASE WHEN scale >= 0 THEN 2 * scale ELSE -2 * scale - 1 END AS zag FROM ops)
+SELECT execution_id, seq AS sequence, kind, CASE kind WHEN 'sleep' THEN NULL ELSE key END AS key, CASE kind WHEN 'emit' THEN NULL ELSE amount END AS amount, scale, CAST(NULL AS VARCHAR) AS error,
+  CAST(2 + 1 + 1 + {_bytes("execution_id")} + 4 * {_bytes("seq")} + {_bytes("seq * 1000")} + {_bytes("seq % 1000")} + {_bytes("seq - 1")} + 1 + CASE kind WHEN 'sleep' THEN {_bytes("amount")} ELSE 1 + strlen(key) + CASE kind WHEN 'emit' THEN 0 ELSE {_bytes("zig")} END + CASE kind WHEN 'compute' THEN {_bytes("zag")} ELSE 0 END END AS BIGINT) AS bytes FROM z""")
+def record_round_trip(spark, d):
+    """Each operation as a step's record, written as bytes and read back."""
+    o = operations(spark, d).withColumn("key", F.when(F.col("kind") != "sleep", F.col("key")))
+    seq, text = F.col("seq"), F.when(F.col("kind") == "sleep", F.lit(None)).otherwise(F.col("key"))
+    transition = F.struct(
+        "kind", (F.col("execution_id") % 4).alias("future"), seq.alias("step"), F.lit(1).alias("attempt"), (seq - 1).alias("parent"), seq.alias("version"),
+        text.alias("key"), "amount", "scale", F.col("amount").alias("ms"),
+    )
+    rows = o.select("execution_id", seq.alias("version"), seq.alias("sequence"), F.lit(1).alias("attempt"), (seq * 1000).alias("at_us"), F.lit("step").alias("kind"), (seq % 1000).alias("cursor"), transition.alias("transition"))
+    back = records.decode(records.encode(rows).select("payload", F.octet_length("payload").cast("long").alias("bytes")))
+    sized = records.encode(rows).select("execution_id", "sequence", F.octet_length("payload").cast("long").alias("bytes"))
+    t = F.col("transition")
+    found = back.select("execution_id", "sequence", t["kind"].alias("kind"), t["key"].alias("key"), F.coalesce(t["amount"], t["ms"]).alias("amount"), t["scale"].alias("scale"), "error")
+    return found.join(sized, ["execution_id", "sequence"])
+
+
 # Plans: every order is an execution, its customer's region of keys and its price are the values that the plan names
 
 
-def orders_run(spark: SparkSession, d: str) -> Run:
+def orders_run(spark: SparkSession, d: str, **of) -> Run:
     """Three arms for each order: two of them charge, one reads; the best score is committed to the order's state."""
     price, cust = F.floor("o_totalprice").cast("long"), F.col("o_custkey")
     executions = table(spark, d, "orders").select(F.col("o_orderkey").alias("execution_id"), price.alias("price"), cust.alias("cust"))
@@ -436,7 +569,7 @@ def orders_run(spark: SparkSession, d: str) -> Run:
         Plan().set("total", p).fork(arm(p * 2, p % 11), arm(c, c % 11), Plan().effect("read", "quote", c, reads_into="quoted").compute("total", -1, c).set("score", 7))
         .select("highest_score").commit().add("committed", 1)
     )
-    return Run(plan, executions)
+    return Run(plan, executions, **of)
 
 
 PLAN_SQL = """WITH o AS (SELECT o_orderkey AS execution_id, CAST(floor(o_totalprice) AS BIGINT) AS price, o_custkey AS cust FROM orders),
@@ -450,7 +583,7 @@ def plan_run_states(spark, d):
 
 
 @query("plan_run_futures", PLAN_SQL + """, f AS (SELECT w.*, unnest([0, 1, 2]) AS arm FROM w)
-SELECT execution_id, CAST(arm AS VARCHAR) AS path, arm, CASE WHEN arm = won THEN 'committed' ELSE 'rejected' END AS status, CASE arm WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS score, CAST(3 AS BIGINT) AS steps, CAST(3 AS BIGINT) AS cost_ms,
+SELECT execution_id, CAST(arm AS VARCHAR) AS path, arm, CASE WHEN arm = won THEN 'committed' ELSE 'rejected' END AS status, false AS failed, CASE arm WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS score, CAST(3 AS BIGINT) AS steps, CAST(3 AS BIGINT) AS cost_ms,
   CAST(CASE WHEN arm < 2 THEN 1 ELSE 0 END AS BIGINT) AS deferred, CAST(CASE WHEN arm = 2 THEN 1 ELSE 0 END AS BIGINT) AS performed, CAST(CASE WHEN arm < 2 THEN 1 ELSE 0 END AS BIGINT) AS irreversible_deferred FROM f""")
 def plan_run_futures(spark, d):
     return orders_run(spark, d).futures()
@@ -471,18 +604,57 @@ SELECT execution_id, 'e' || execution_id || '/' || arm || '.e0' AS effect_key, C
         return strategies.Strategy(name, arms).issued(orders_run(spark, d)).select("execution_id", "effect_key", "sink", "result")
 
 
+@query("strategy_agreement", PLAN_SQL + """, v AS (SELECT execution_id, 'effect e' || execution_id || '/' || won || '.e0 irreversible deferred ' AS event FROM w WHERE won < 2)
+SELECT 'observe' AS other, execution_id, event || 'performed' AS event, 'a' AS side FROM v UNION ALL SELECT 'observe', execution_id, event || 'suppressed', 'b' FROM v
+UNION ALL SELECT 'replay', execution_id, event || 'performed', 'a' FROM v UNION ALL SELECT 'replay', execution_id, event || 'suppressed', 'b' FROM v
+UNION ALL SELECT 'replay', execution_id, 'effect e' || execution_id || '/2.e0 read performed ' || (cust * 2) || ' read', 'a' FROM w UNION ALL SELECT 'replay', execution_id, 'effect e' || execution_id || '/2.e0 read performed ' || (cust * 2) || ' suppressed', 'b' FROM w""")
+def strategy_agreement(spark, d):
+    """What the events of three strategies' runs have unlike the deterministic one: nothing if arms run ahead, released writes if the
+    world is only observed, reads besides if a past run is replayed."""
+    run, own = orders_run(spark, d), strategies.Strategy("deterministic")
+    journal = own.issued(run).select("effect_key", "result")
+    others = {"speculative": strategies.Strategy("speculative", 3), "observe": strategies.Strategy("observe"), "replay": strategies.Strategy("replay")}
+    found = [strategies.compare(run, own, s, journal).select(F.lit(n).alias("other"), "execution_id", "event", "side") for n, s in others.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("run_metrics", PLAN_SQL + """ SELECT execution_id, CAST(11 AS BIGINT) AS steps_executed, CAST(1 AS BIGINT) AS effects_performed, CAST(2 AS BIGINT) AS effects_deferred, CAST(CASE WHEN won < 2 THEN 1 ELSE 0 END AS BIGINT) AS effects_released,
+  CAST(3 AS BIGINT) AS futures_forked, CAST(2 AS BIGINT) AS futures_rejected, CAST(0 AS BIGINT) AS futures_failed, CAST(1 AS BIGINT) AS commits, CAST(0 AS BIGINT) AS commits_with_conflicts, CAST(15 AS BIGINT) AS records FROM w""")
+def run_metrics(spark, d):
+    return orders_run(spark, d).metrics()
+
+
+def broken_off(spark: SparkSession, d: str) -> tuple[DataFrame, Run]:
+    """Ledgers of which an execution has as many records as its number modulo 16, and the run resumed in a world whose answers are 100 higher."""
+    past = stored(rebuild.rollback(orders_run(spark, d).records(), table(spark, d, "orders").select(F.col("o_orderkey").alias("execution_id"), (F.col("o_orderkey") % 16).alias("length"))), "records")
+    return past, orders_run(spark, d, bias=100, journal=past)
+
+
+@query("resume_states", PLAN_SQL + """ SELECT execution_id, 'total' AS key, CASE won WHEN 0 THEN price * 3 WHEN 1 THEN price + cust ELSE cust - price END AS value FROM w
+UNION ALL SELECT execution_id, 'score', CASE won WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END FROM w UNION ALL SELECT execution_id, 'committed', 1 FROM w UNION ALL SELECT execution_id, 'quoted', cust * 2 + CASE WHEN execution_id % 16 > 9 THEN 0 ELSE 100 END FROM w WHERE won = 2""")
+def resume_states(spark, d):
+    """What was read before the break stays as it was read."""
+    return broken_off(spark, d)[1].states()
+
+
+@query("resume_remaining", "SELECT o_orderkey AS execution_id, 15 - o_orderkey % 16 AS records, o_orderkey % 16 AS first FROM orders WHERE o_orderkey % 16 < 15")
+def resume_remaining(spark, d):
+    past, run = broken_off(spark, d)
+    return rebuild.remaining(run.records(), past).groupBy("execution_id").agg(F.count("*").alias("records"), F.min("sequence").alias("first"))
+
+
 @query("rebuild_states", PLAN_SQL + """, f AS (SELECT w.*, unnest([0, 1, 2]) AS arm FROM w), t AS (SELECT execution_id, arm, won, cust, CASE arm WHEN 0 THEN price * 3 WHEN 1 THEN price + cust ELSE cust - price END AS total, CASE arm WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS score FROM f),
 y AS (SELECT *, CAST(arm AS VARCHAR) AS path FROM t UNION ALL SELECT *, '' FROM t WHERE arm = won)
 SELECT execution_id, path, 'total' AS key, total AS value FROM y UNION ALL SELECT execution_id, path, 'score', score FROM y UNION ALL SELECT execution_id, path, 'quoted', cust * 2 FROM y WHERE arm = 2 UNION ALL SELECT execution_id, '', 'committed', 1 FROM w""")
 def rebuild_states(spark, d):
-    return rebuild.states(orders_run(spark, d).records()).select("execution_id", named("path"), "key", "value")
+    return rebuild.states(stored(orders_run(spark, d).records(), "records")).select("execution_id", named("path"), "key", "value")
 
 
 @query("rebuild_commit_check", PLAN_SQL + " SELECT execution_id, CAST(13 AS BIGINT) AS sequence, 'score' AS key, CASE won WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END + 1 AS recorded, CASE won WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS recomputed FROM w WHERE execution_id % 10 = 3")
 def rebuild_commit_check(spark, d):
     """A tenth of the commits have a wrong score recorded; just these must be told."""
     wrong = F.expr("transform(changes, c -> named_struct('key', c.key, 'value', c.value + if(c.key = 'score' and execution_id % 10 = 3, 1L, 0L)))")
-    records = orders_run(spark, d).records().withColumn("changes", wrong)
+    records = stored(orders_run(spark, d).records().withColumn("changes", wrong), "records")
     return rebuild.commit_mismatches(records)
 
 
@@ -490,7 +662,7 @@ def rebuild_commit_check(spark, d):
 def rebuild_violations(spark, d):
     """In a tenth of the ledgers the fork comes behind the first arm's three records; just these must be told."""
     moved = F.when((F.col("execution_id") % 10 == 7) & F.col("sequence").between(2, 5), F.when(F.col("sequence") == 2, 5).otherwise(F.col("sequence") - 1)).otherwise(F.col("sequence"))
-    return rebuild.violations(orders_run(spark, d).records().withColumn("sequence", moved.cast("long")))
+    return rebuild.violations(stored(orders_run(spark, d).records().withColumn("sequence", moved.cast("long")), "records"))
 
 
 def nested_run(spark: SparkSession, d: str) -> Run:
@@ -537,6 +709,24 @@ def lineage_live(spark, d):
     return lineage.live(tree(spark, d)).select("execution_id", named("path"), "status")
 
 
+@query("lineage_remove", TREE_SQL + " SELECT execution_id, array_to_string(path, '.') AS path, status FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.execution_id = f.execution_id AND g.status = 'rejected' AND len(g.path) <= len(f.path) AND len(g.path) > 0 AND g.path = list_slice(f.path, 1, len(g.path)))")
+def lineage_remove(spark, d):
+    t = tree(spark, d)
+    return lineage.remove(t, t.where("status = 'rejected' and size(path) > 0").select("execution_id", "path")).select("execution_id", named("path"), "status")
+
+
+@query("lineage_alternatives", TREE_SQL + " SELECT execution_id, array_to_string(list_slice(path, 1, len(path) - 1), '.') AS parent, count(*) AS arms, bool_and(status IN ('committed', 'rejected')) AS settled FROM f WHERE len(path) > 0 GROUP BY ALL")
+def lineage_alternatives(spark, d):
+    return lineage.alternatives(tree(spark, d)).select("execution_id", named("parent"), "arms", "settled")
+
+
+@query("lineage_retain", "SELECT DISTINCT n.c_nationkey AS execution_id, n.c_custkey % 50 AS node FROM customer n JOIN customer f ON n.c_nationkey = f.c_nationkey AND (n.c_custkey % 50 = f.c_custkey % 7 OR n.c_custkey % 50 = f.c_custkey % 11)")
+def lineage_retain(spark, d):
+    c = F.col("c_custkey")
+    own = table(spark, d, "customer").withColumnRenamed("c_nationkey", "execution_id")
+    return lineage.retain(own.select("execution_id", (c % 50).alias("node")).distinct(), own.select("execution_id", (c % 7).alias("base"), (c % 11).alias("head")))
+
+
 @query("lineage_depth", TREE_SQL + " SELECT execution_id, CAST(max(len(path)) AS INTEGER) AS depth FROM f GROUP BY ALL")
 def lineage_depth(spark, d):
     return lineage.depth(tree(spark, d))
@@ -617,3 +807,70 @@ def contract_dedupe(spark, d):
     return contracts.dedupe(keyed, "user_id", "dedupe_key", "event_id").select("user_id", "dedupe_key", "event_id")
 
 
+# Contracts as a table: users are dealt to three tenants, each with contracts of its own; two follow another's breaches
+
+HOUR = 3_600_000
+#: tenant, contract, trigger, where, expects, forbids, deadline, the contract whose breach opens it
+CONTRACTS = (
+    ("t0", "onboarding", "signup", {"parity": "0"}, [("purchase", 12 * HOUR, True), ("view", 6 * HOUR, False), ("click", 30 * HOUR, False)], [("error", 2)], 24 * HOUR, None),
+    ("t1", "onboarding", "signup", None, [("purchase", 20 * HOUR, True)], [("error", 9), ("purchase", 3)], None, None),
+    ("t0", "care", "error", {"kind": "error", "parity": "1"}, [("click", 8 * HOUR, True)], [], None, None),
+    ("t0", "recovery", None, None, [("purchase", 48 * HOUR, True), ("purchase", 5 * HOUR, False)], [("signup", 4)], None, "onboarding"),
+    ("t0", "alarm", None, None, [("view", 3 * HOUR, True)], [], None, "recovery"),
+    ("t2", "audit", "purchase", None, [], [("error", 4)], None, None),
+)
+
+
+def contract_rows(spark: SparkSession, rows=CONTRACTS) -> DataFrame:
+    schema = "tenant string, contract string, trigger string, where map<string,string>, expects array<struct<event:string,within_ms:bigint,critical:boolean>>, forbids array<struct<event:string,more_than:bigint>>, deadline_ms long, after_breach_of string"
+    return spark.createDataFrame(list(rows), schema)
+
+
+def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events")
+    last = e.agg(F.max("ts") - F.expr("interval 1 day")).first()[0]
+    payload = F.create_map(F.lit("parity"), (F.col("event_id") % 2).cast("string"), F.lit("kind"), F.col("event_type"))
+    own = e.select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant"), "event_id", "event_type", "ts", F.col("user_id").alias("correlation"), payload.alias("payload"))
+    return contract_table.judge(own, contract_rows(spark), F.expr(f"timestamp_ntz'{last}'"))
+
+
+def _values(rows, columns: str) -> str:
+    put = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(put, r)) + ')' for r in rows)}) v({columns}))"
+
+
+def _level_sql(n: int) -> str:
+    """The instances, expectations, prohibitions, breaches and outcomes of a level."""
+    first = """SELECT e.tenant, c.contract, e.correlation, min(ts) AS opened_at, arg_min(event_id, (ts, event_id)) AS opened_by FROM e JOIN c ON c.tenant = e.tenant AND c.trigger = e.event_type
+  WHERE NOT EXISTS (SELECT 1 FROM wh WHERE wh.tenant = c.tenant AND wh.contract = c.contract AND wh.v <> CASE wh.k WHEN 'parity' THEN CAST(e.event_id % 2 AS VARCHAR) ELSE e.event_type END) GROUP BY ALL"""
+    later = f"SELECT b.tenant, c.contract, b.correlation, min(b.observed_at) AS opened_at, CAST(NULL AS BIGINT) AS opened_by FROM b{n - 1} b JOIN c ON c.tenant = b.tenant AND c.after = b.contract GROUP BY ALL"
+    return f"""i{n} AS ({later if n else first}),
+x{n} AS (SELECT i.*, t.n, t.event, t.critical, i.opened_at + to_milliseconds(least(within_ms, coalesce(c.deadline, within_ms))) AS due_at FROM i{n} i JOIN ex t USING (tenant, contract) JOIN c USING (tenant, contract)),
+s{n} AS (SELECT x.tenant, x.contract, x.correlation, x.n, x.event, x.critical, x.opened_at, x.due_at, min(CASE WHEN e.ts > opened_at AND e.ts <= due_at THEN e.ts END) AS seen_at FROM x{n} x LEFT JOIN e ON e.tenant = x.tenant AND e.correlation = x.correlation AND e.event_type = x.event GROUP BY ALL),
+h{n} AS (SELECT i.tenant, i.contract, i.correlation, t.n, t.event, t.more_than, e.ts, row_number() OVER (PARTITION BY i.tenant, i.contract, i.correlation, t.n ORDER BY e.ts, e.event_id) AS r FROM i{n} i JOIN fo t USING (tenant, contract) JOIN e ON e.tenant = i.tenant AND e.correlation = i.correlation AND e.event_type = t.event AND e.ts > i.opened_at),
+v{n} AS (SELECT tenant, contract, correlation, n, event, min(ts) AS violated_at FROM h{n} WHERE r > more_than GROUP BY ALL),
+b{n} AS (SELECT tenant, contract, correlation, 'missing' AS kind, n, event, due_at AS observed_at FROM s{n}, t WHERE seen_at IS NULL AND due_at <= as_of UNION ALL SELECT tenant, contract, correlation, 'forbidden', n, event, violated_at FROM v{n}),
+a{n} AS (SELECT tenant, contract, correlation, count(CASE WHEN seen_at IS NULL THEN 1 END) AS unseen, max(seen_at) AS last, min(CASE WHEN seen_at IS NULL THEN due_at END) AS missed FROM s{n} GROUP BY ALL),
+w{n} AS (SELECT tenant, contract, correlation, min(violated_at) AS violated FROM v{n} GROUP BY ALL),
+o{n} AS (SELECT i.*, CASE WHEN violated IS NOT NULL THEN 'violated' WHEN coalesce(unseen, 0) = 0 THEN 'satisfied' WHEN missed <= as_of THEN 'breached' ELSE 'open' END AS status,
+  CASE WHEN violated IS NOT NULL THEN violated WHEN coalesce(unseen, 0) = 0 THEN coalesce(last, opened_at) WHEN missed <= as_of THEN missed END AS closed_at FROM i{n} i LEFT JOIN a{n} USING (tenant, contract, correlation) LEFT JOIN w{n} USING (tenant, contract, correlation), t)"""
+
+
+JUDGED_SQL = f"""WITH t AS (SELECT max(ts) - INTERVAL 1 DAY AS as_of FROM events), e AS (SELECT 't' || user_id % 3 AS tenant, event_id, event_type, ts, user_id AS correlation FROM events, t WHERE ts <= as_of),
+c AS {_values([(r[0], r[1], r[2], r[6], r[7]) for r in CONTRACTS], "tenant, contract, trigger, deadline, after")},
+wh AS {_values([(r[0], r[1], k, v) for r in CONTRACTS for k, v in (r[3] or {}).items()], "tenant, contract, k, v")},
+ex AS {_values([(r[0], r[1], n, *x) for r in CONTRACTS for n, x in enumerate(r[4])], "tenant, contract, n, event, within_ms, critical")},
+fo AS {_values([(r[0], r[1], n, *x) for r in CONTRACTS for n, x in enumerate(r[5])], "tenant, contract, n, event, more_than")},
+{", ".join(map(_level_sql, range(3)))}"""
+
+
+@query("contract_multi", JUDGED_SQL + " SELECT * FROM o0 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2")
+def contract_multi(spark, d):
+    """The outcome of every instance of every contract, those that breaches open included."""
+    return judged(spark, d)[0]
+
+
+@query("contract_escalation_chain", JUDGED_SQL + " SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2")
+def contract_escalation_chain(spark, d):
+    """Every breach, of the contracts that follow others too."""
+    return judged(spark, d)[1]

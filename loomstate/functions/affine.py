@@ -20,18 +20,8 @@ def is_barrier(kind: str = "kind") -> Column:
     return F.col(kind).isin(*BARRIERS)
 
 
-def unit() -> Column:
-    return F.struct(F.lit(1).cast("long").alias("scale"), F.lit(0).cast("long").alias("addend"))
-
-
-def compose(pairs: Column) -> Column:
-    """An array of structs with scale and addend, in order, as one map {scale, addend}; BIGINT overflow is an error."""
-    step = lambda m, o: F.struct((m["scale"] * o["scale"]).alias("scale"), (m["addend"] * o["scale"] + o["addend"]).alias("addend"))
-    return F.aggregate(pairs, unit(), step)
-
-
 def compose_if_fits(pairs: Column) -> Column:
-    """The same as {scale, addend, fits}; fits is false where a coefficient leaves 64 bits and no set comes behind it."""
+    """An array of structs with scale and addend, in order, as one map {scale, addend, fits}; fits is false where a coefficient leaves 64 bits and no set comes behind it."""
     zero = F.lit(0).cast("long")
 
     def step(m: Column, o: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.affine import EMITTED, apply_all, apply_wide, compose, compose_if_fits, is_barrier, scale_of
+from ..functions.affine import EMITTED, apply_all, apply_wide, compose_if_fits, is_barrier, scale_of
 
 #: Sequence numbers of a part that is folded by itself; no array grows beyond them, however long a log is.
 PART = 4096
@@ -38,7 +38,7 @@ def _part(order: str = "seq"):
     return F.floor(F.col(order) / PART)
 
 
-def _parts(maps: DataFrame, by: list[str]) -> DataFrame:
+def part_maps(maps: DataFrame, by: list[str]) -> DataFrame:
     """by, part, m (the part's map) and, only where that leaves 64 bits, ops (its maps in order)."""
     one = F.array_sort(F.collect_list(F.struct("seq", "scale", "addend")))
     held = maps.groupBy(*by, _part().alias("part")).agg(one.alias("ops")).withColumn("m", compose_if_fits(F.col("ops")))
@@ -47,18 +47,14 @@ def _parts(maps: DataFrame, by: list[str]) -> DataFrame:
 
 def fold_affine(ops: DataFrame, by: list[str]) -> DataFrame:
     """The final value of each key from 0. Maps compose in parts of the sequence first, then part after part, so a long log spreads over tasks."""
-    parts = F.array_sort(F.collect_list(F.struct("part", "m", "ops")))
-    step = lambda v, p: F.when(p["ops"].isNull(), apply_wide(p["m"], v)).otherwise(apply_all(p["ops"], v))
-    whole = _parts(affine(ops), by).groupBy(*by).agg(parts.alias("ps"))
-    return whole.select(*by, F.aggregate("ps", F.lit(0).cast("long"), step).alias("value"))
+    return fold_parts(part_maps(affine(ops), by), by, ["part"])
 
 
-def compose_maps(maps: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
-    """by, scale, addend: the one map that the maps of each group make, in their order; a map that leaves 64 bits is an error."""
-    parted = maps.groupBy(*by, _part(order).alias("part")).agg(F.array_sort(F.collect_list(F.struct(order, "scale", "addend"))).alias("ops"))
-    parts = parted.select(*by, "part", compose(F.col("ops")).alias("m")).select(*by, F.struct("part", "m.scale", "m.addend").alias("p"))
-    whole = parts.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("ps")).select(*by, compose(F.col("ps")).alias("m"))
-    return whole.select(*by, "m.scale", "m.addend")
+def fold_parts(parts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The value of each group from 0, its parts (as part_maps has them) taken in that order."""
+    step = lambda v, p: F.when(p["ops"].isNull(), apply_wide(p["m"], v)).otherwise(apply_all(p["ops"], v))
+    whole = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "m", "ops"))).alias("ps"))
+    return whole.select(*by, F.aggregate("ps", F.lit(0).cast("long"), step).alias("value"))
 
 
 def sums_only(ops: DataFrame) -> DataFrame:
@@ -131,7 +127,7 @@ def prefix_states(ops: DataFrame, by: list[str]) -> DataFrame:
     """The value after every operation, of any scale. Parts are walked each by itself from the value that is carried into it."""
     number = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     own = affine(ops)
-    carried = _mapped(_parts(own, by).withColumn("_n", number(by, "part")), _carry, "carry").select(*by, "part", "carry")
+    carried = _mapped(part_maps(own, by).withColumn("_n", number(by, "part")), _carry, "carry").select(*by, "part", "carry")
     rows = own.withColumn("part", _part()).join(carried, [*by, "part"]).withColumn("_n", number([*by, "part"], "seq"))
     return _mapped(rows, _walk, "value").drop("_n", "carry", "part")
 

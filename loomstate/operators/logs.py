@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,26 @@ def metrics(records: DataFrame, by: list[str]) -> DataFrame:
     return records.groupBy(*by).agg(F.count("*").alias("records"), *(F.count_if(F.col("kind") == k).alias(f"{k}_records") for k in kinds), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def cost_ms(records: DataFrame, by: list[str]) -> DataFrame:
+    """by, cost_ms: the last record's time (at_us) in milliseconds, or the number of steps if that is 0. It isn't a sum."""
+    told = records.groupBy(*by).agg(F.max_by("at_us", "sequence").alias("_us"), F.count_if(F.col("kind").isin("step", "effect")).alias("_steps"))
+    last = F.expr("_us div 1000")
+    return told.select(*by, F.when(last > 0, last).otherwise(F.col("_steps")).cast("long").alias("cost_ms"))
+
+
+def write_cost_us(size: Column, per_record_us: int = 50, per_kib_us: int = 20, flush_us: int = 10_000) -> Column:
+    """Microseconds to write so many bytes at once and flush them, by a model of costs."""
+    return (F.lit(per_record_us) + F.lit(per_kib_us) * F.ceil(size / 1024) + F.lit(flush_us)).cast("long")
+
+
+def group_commit(records: DataFrame, by: list[str], window: int, **costs: int) -> DataFrame:
+    """by, flushes, durable_bytes, wait_us, most_waiting: what it costs to make records (sequence, size) durable in groups of `window`, the
+    writer waiting for each group; window 1 is the synchronous way."""
+    order = Window.partitionBy(*by).orderBy("sequence")
+    groups = records.withColumn("_g", F.floor((F.row_number().over(order) - 1) / window)).groupBy(*by, "_g").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n"))
+    return groups.groupBy(*by).agg(F.count("*").alias("flushes"), F.sum("_bytes").alias("durable_bytes"), F.sum(write_cost_us(F.col("_bytes"), **costs)).alias("wait_us"), F.max("_n").alias("most_waiting"))
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one side has, with the side; empty just when both agree as multisets."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).union(b.exceptAll(a).withColumn("side", F.lit("b")))

@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.affine import compose
 from . import merging
-from .folding import compose_maps
+from .folding import fold_parts, part_maps
 
 ID = "execution_id"
 
@@ -25,19 +24,20 @@ def prefix(records: DataFrame, length: int) -> DataFrame:
 
 
 def segmented(records: DataFrame) -> DataFrame:
-    """records with segment: how many forks and commits the same future has before."""
+    """records with segment: how many forks and commits the same future has before. They are dealt by execution, which all that
+    follows within a future or a segment keeps to."""
     before = Window.partitionBy(ID, "path").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     cut = F.when(F.col("kind").isin("fork", "committed"), 1).otherwise(0)
-    return records.withColumn("segment", F.coalesce(F.sum(cut).over(before), F.lit(0)))
+    return records.repartition(ID).withColumn("segment", F.coalesce(F.sum(cut).over(before), F.lit(0)))
 
 
 def segment_maps(segments: DataFrame) -> DataFrame:
-    """execution_id, path, segment, key, scale, addend. A commit's changes stand at the head of the segment behind it."""
+    """execution_id, path, segment, key, part, m, ops: maps of parts of segments. A commit's changes stand at the head of the segment behind it."""
     as_map = lambda segment, key, scale, addend: F.struct(segment.alias("segment"), key.alias("key"), scale.cast("long").alias("scale"), addend.alias("addend"))
     own = F.when(F.col("key").isNotNull(), F.array(as_map(F.col("segment"), F.col("key"), F.col("scale"), F.col("addend"))))
     sets = F.when(F.col("kind") == "committed", F.transform("changes", lambda c: as_map(F.col("segment") + 1, c["key"], F.lit(0), c["value"])))
     maps = segments.select(ID, "path", F.col("sequence").alias("seq"), F.explode(F.coalesce(own, sets)).alias("m")).select(ID, "path", "seq", "m.*")
-    return compose_maps(maps, [ID, "path", "segment", "key"])
+    return part_maps(maps, [ID, "path", "segment", "key"])
 
 
 def futures(records: DataFrame) -> DataFrame:
@@ -55,8 +55,7 @@ def states_at(records: DataFrame, views: DataFrame) -> DataFrame:
     parts = parts.withColumn("_child", F.when(F.col("_n") < F.size("path"), F.expr("slice(path, 1, _n + 1)"))).withColumn("_at", F.expr("slice(path, 1, _n)"))
     seen = parts.join(forks, [ID, "_child"], "left").select(ID, "view", F.col("_at").alias("path"), "_n", F.when(F.col("_child").isNull(), F.col("upto")).otherwise(F.col("forked_in")).alias("_upto"))
     maps = seen.join(segment_maps(segmented(records)), [ID, "path"]).where("_upto is null or segment <= _upto")
-    ordered = F.array_sort(F.collect_list(F.struct("_n", "segment", "scale", "addend")))
-    return maps.groupBy(ID, "view", "key").agg(ordered.alias("ms")).select(ID, "view", "key", compose(F.col("ms"))["addend"].alias("value"))
+    return fold_parts(maps, [ID, "view", "key"], ["_n", "segment", "part"])
 
 
 def states(records: DataFrame) -> DataFrame:
@@ -88,6 +87,28 @@ def commit_mismatches(records: DataFrame) -> DataFrame:
     return told.where(wrong).select(f"{ID}.execution_id", f"{ID}.sequence", "key", "recorded", "recomputed")
 
 
+def rollback(records: DataFrame, durable: DataFrame) -> DataFrame:
+    """records that are durable. durable: execution_id, length, the number of records that are; what came behind them, with all
+    futures that were forked there, is gone, as are all records of executions that aren't listed."""
+    return records.join(durable.select(ID, F.col("length").alias("_length")), ID).where("sequence < _length").drop("_length")
+
+
+def remaining(whole: DataFrame, records: DataFrame) -> DataFrame:
+    """Of a resumed run's records those that its ledger hasn't yet: what is left to do, in the order of sequence."""
+    return whole.join(records.select(ID, "sequence"), [ID, "sequence"], "left_anti")
+
+
+def strangers(whole: DataFrame, records: DataFrame) -> DataFrame:
+    """execution_id, sequence of a ledger's records that aren't the run's: the ledger is another plan's, or is damaged."""
+    same = [ID, "sequence", "path", "kind", "key", "scale", "addend", "arms", "arm", "policy"]
+    known = whole.select(*(F.col(c).alias(f"_{c}") for c in same))
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same[2:]]
+    alike = (F.col(ID) == F.col(f"_{ID}")) & (F.col("sequence") == F.col("_sequence"))
+    for e in equal:
+        alike = alike & e
+    return records.join(known, alike, "left_anti").select(ID, "sequence")
+
+
 def violations(records: DataFrame) -> DataFrame:
     """execution_id, sequence, problem: what can't be in a ledger that was written in order. Empty for every prefix of a good one."""
     order = Window.partitionBy(ID).orderBy("sequence")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .effects import TERMINAL
+
 LOWEST = -(2**63)
 #: Evaluators by name, over candidate columns head (the scored key's value), cost_ms, irreversible_deferred. Null refuses.
 EVALUATORS: dict[str, Column | None] = {}
@@ -30,10 +32,10 @@ def select_future(candidates: DataFrame, score: Column | str) -> DataFrame:
 
 
 def settle(candidates: DataFrame, winners: DataFrame) -> DataFrame:
-    """Each candidate's status after the selection; failed ones stay failed."""
+    """Each candidate's status after the selection: all but the winner are rejected, those that had failed too; before has what each was."""
     won = winners.select("execution_id", F.col("future_id").alias("_won"))
-    status = F.when(F.col("status") == "failed", "failed").when(F.col("_won").isNull(), F.col("status")).when(F.col("future_id") == F.col("_won"), "committed").otherwise("rejected")
-    return candidates.join(won, "execution_id", "left").select("execution_id", "future_id", status.alias("status"))
+    status = F.when(F.col("_won").isNull(), F.col("status")).when(F.col("future_id") == F.col("_won"), "committed").otherwise("rejected")
+    return candidates.join(won, "execution_id", "left").select("execution_id", "future_id", status.alias("status"), F.col("status").alias("before"))
 
 
 def ready(candidates: DataFrame) -> DataFrame:
@@ -41,6 +43,12 @@ def ready(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("execution_id").agg(F.bool_and(F.col("status").isin("evaluable", "failed", "rejected", "committed")).alias("ready"))
 
 
+def next_runnable(futures: DataFrame) -> DataFrame:
+    """execution_id, future_id: of the futures (status, ready_at) that can run, the one that is ready first; ties by the lower id."""
+    free = futures.where(~F.col("status").isin("blocked", "evaluable", *TERMINAL))
+    return free.groupBy("execution_id").agg(F.min(F.struct("ready_at", "future_id")).alias("f")).select("execution_id", "f.future_id")
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """The value of rank ceil(q * n), not interpolated."""
     w = Window.partitionBy(*by)

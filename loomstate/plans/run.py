@@ -7,7 +7,7 @@ forks, is codegen over one row at a time without another shuffle. Keys that the
 
 Where the semantics leave a choice: arms are numbered on from fork to fork of the same future, so that a path names one
 future only; the trunk is authoritative throughout; a nested commit merges into the future that
-runs it, and its effects are released once all futures above are committed; failed futures stay failed; an
+runs it, and its effects are released once all futures above are committed; a selection rejects failed futures too; an
 execution whose commit meets a conflict under "abort" keeps its own state, and says so in `conflicted`.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.effects import READ, effect_key, speculatable_class
+from ..operators.effects import READ, effect_key, is_write_class, speculatable_class
 from ..operators.selecting import LOWEST
 from .plan import Plan, PlanError, Step
 
@@ -45,9 +45,12 @@ class Run:
     Repeated executions aren't allowed: execution_id is unique. Executions without states start empty; states of
     unknown executions are left out; a null value counts as an absent key. With executions None they are those of
     states, and `values` are aggregates over an execution's states for the plan to name: one aggregation, no join.
+
+    journal: records of an earlier run of the plan that broke off (any prefix of each ledger). The run is resumed: what was read
+    then is taken from the journal, only reads that it hasn't are asked of the world; operators.rebuild tells what is left to do.
     """
 
-    def __init__(self, plan: Plan, executions: DataFrame | None, states: DataFrame | None = None, bias: int = 0, values: dict[str, Column] | None = None):
+    def __init__(self, plan: Plan, executions: DataFrame | None, states: DataFrame | None = None, bias: int = 0, values: dict[str, Column] | None = None, journal: DataFrame | None = None):
         if not plan.steps:
             raise PlanError("an empty plan")
         if plan.fails():
@@ -69,6 +72,12 @@ class Run:
         elif self.keys:
             own = states.where(F.col("key").isin(self.keys)).groupBy("execution_id").agg(*(c.alias(n) for n, c in pivot().items()))
             self.df = executions.join(own, "execution_id", "left")
+        self._journal = None
+        if journal is not None:
+            self._journal = self._fresh()
+            reads = journal.where("kind = 'effect' and key is not null").select("execution_id", "sequence", "addend").distinct()
+            past = reads.groupBy("execution_id").agg(F.map_from_entries(F.collect_list(F.struct("sequence", "addend"))).alias(self._journal))
+            self.df = self.df.join(past, "execution_id", "left")
         self._final = self._block(plan, env, ())
         self._futures.insert(0, ((), None, None, None))
 
@@ -114,12 +123,15 @@ class Run:
                 self._log.append((path, "step", {}))
             elif s.kind == "effect":
                 done = not path or speculatable_class(s.cls)
-                self._effects.append((path, ordinal, s, done))
-                ordinal += 1
+                result = _plus(_times(s.addend, 2), self.bias) if s.cls == READ else None
                 read = {}
                 if s.reads_into:
-                    read = {"key": s.reads_into, "scale": 0, "addend": _plus(_times(s.addend, 2), self.bias)}
-                    step(s.reads_into, 0, read["addend"])
+                    if self._journal:
+                        result = F.coalesce(F.try_element_at(F.col(self._journal), F.lit(len(self._log)).cast("long")), _long(result))
+                    read = {"key": s.reads_into, "scale": 0, "addend": result}
+                    step(s.reads_into, 0, result)
+                self._effects.append((path, ordinal, s, done, result))
+                ordinal += 1
                 self._log.append((path, "effect", read))
             elif s.kind == "fork":
                 self._flush(env, maps)
@@ -221,20 +233,20 @@ class Run:
         return self.df.select("execution_id", F.explode(pairs).alias("p")).select("execution_id", "p.key", "p.value").where("value is not null")
 
     def futures(self) -> DataFrame:
-        """execution_id, path, arm, status, score, steps, cost_ms, deferred, performed, irreversible_deferred of each future but the trunk."""
+        """execution_id, path, arm, status, failed, score, steps, cost_ms, deferred, performed, irreversible_deferred of each future but the trunk.
+
+        A selection rejects all but its winner, those that failed too; failed keeps that they had."""
         rows = []
         for path, arm, score, of in self._futures[1:]:
-            if arm.fails():
-                status = F.lit("failed")
-            elif of is None:
-                status = F.lit("evaluable")
+            if of is None:
+                status = F.lit("failed" if arm.fails() else "evaluable")
             else:
                 after = F.when(self._committed(of, path[-1]), "committed").otherwise("evaluable") if of[1] else F.lit("evaluable")
                 status = F.when(F.col(of[0]) == path[-1], after).otherwise("rejected")
             own = [e for e in self._effects if e[0] == path]
             n = [len(arm.until_failure()), arm.cost_ms(), sum(not e[3] for e in own), sum(e[3] for e in own), arm.irreversible_deferred(False)]
             rows.append(F.struct(
-                F.lit(".".join(map(str, path))).alias("path"), F.lit(path[-1]).alias("arm"), status.alias("status"), (F.col(score) if score else F.lit(None).cast("long")).alias("score"),
+                F.lit(".".join(map(str, path))).alias("path"), F.lit(path[-1]).alias("arm"), status.alias("status"), F.lit(arm.fails()).alias("failed"), (F.col(score) if score else F.lit(None).cast("long")).alias("score"),
                 *(_long(x).alias(c) for x, c in zip(n, ("steps", "cost_ms", "deferred", "performed", "irreversible_deferred"), strict=True)),
             ))
         if not rows:
@@ -247,9 +259,8 @@ class Run:
         released: a deferred effect of a future that was committed, with all above it; each is released once.
         """
         rows = []
-        for path, ordinal, s, done in self._effects:
+        for path, ordinal, s, done, result in self._effects:
             at = F.array(*map(F.lit, path)).cast("array<int>")
-            result = _plus(_times(s.addend, 2), self.bias) if s.cls == READ else None
             rows.append(F.struct(
                 effect_key(F.col("execution_id"), at, F.lit(ordinal)).alias("effect_key"), F.lit(".".join(map(str, path))).alias("path"), _long(ordinal).alias("ordinal"),
                 F.lit(s.cls).alias("class"), F.lit(s.name).alias("op_name"), _long(s.addend).alias("args"), F.lit("performed" if done else "deferred").alias("disposition"),
@@ -272,6 +283,22 @@ class Run:
             ))
         return self.df.select("execution_id", F.explode(F.array(*rows)).alias("r")).select("execution_id", "r.*")
 
+    def metrics(self) -> DataFrame:
+        """execution_id and the counters that a run determines: what a plan's structure gives is the same for all executions, and what
+        selections, commits and releases depend on is counted for each."""
+        flag = lambda c: c.cast("long")
+        total = lambda cs: sum(cs, F.lit(0).cast("long"))
+        kinds = [k for _, k, _ in self._log]
+        deferred = [(path, s) for path, _, s, done, _ in self._effects if not done]
+        chosen = [(p, of) for p, _, _, of in self._futures[1:] if of]
+        counts = {
+            "steps_executed": sum(k in ("step", "effect") for k in kinds), "effects_performed": sum(done for *_, done, _ in self._effects), "effects_deferred": len(deferred),
+            "effects_released": total(flag(self._won(path)) for path, s in deferred if is_write_class(s.cls)), "futures_forked": len(self._futures) - 1,
+            "futures_rejected": total(flag(F.col(of[0]) != p[-1]) for p, of in chosen), "futures_failed": sum(a.fails() for _, a, _, _ in self._futures[1:]),
+            "commits": kinds.count("committed"), "commits_with_conflicts": total(flag(F.col(c)) for c in self._conflicts), "records": len(kinds),
+        }
+        return self.df.select("execution_id", *((F.lit(x) if isinstance(x, int) else x).cast("long").alias(n) for n, x in counts.items()))
+
     def conflicted(self) -> DataFrame:
         """execution_id, conflicted: whether any commit met a conflict."""
         flags = [F.col(c) for c in self._conflicts]

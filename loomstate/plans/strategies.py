@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.effects import READ, is_write
+from ..operators.logs import agreement
 from .plan import Plan, PlanError
 from .run import Run
 
-NAMES = ("deterministic", "speculative", "replay", "observe")
+#: What the sink does with a read and with a write that reaches it.
+SINKS = {"deterministic": ("read", "performed"), "speculative": ("read", "performed"), "replay": ("suppressed", "suppressed"), "observe": ("read", "suppressed")}
 
 
 @dataclass(frozen=True)
@@ -27,20 +29,14 @@ class Strategy:
     window: int = 0
 
     def __post_init__(self):
-        if self.name not in NAMES:
-            raise PlanError(f"no such strategy: {self.name}; there are {', '.join(NAMES)}")
-
-    @property
-    def suppresses_writes(self) -> bool:
-        return self.name in ("replay", "observe")
-
-    @property
-    def contacts_the_world(self) -> bool:
-        return self.name != "replay"
+        if self.name not in SINKS:
+            raise PlanError(f"no such strategy: {self.name}; there are {', '.join(SINKS)}")
 
     def check(self, plan: Plan) -> None:
-        if self.name == "speculative" and plan.widest_fork() != self.arms:
-            raise PlanError(f"speculative: a fork with {self.arms} arms is asked for, the plan's widest has {plan.widest_fork()}")
+        """Arms are asked for by a strategy that runs them ahead; a plan with another number can't be meant."""
+        widest = plan.widest_fork()
+        if self.name == "speculative" and widest != self.arms:
+            raise PlanError(f"{self.arms} arms were to run ahead, but the widest fork of the plan has {widest}")
 
     def issued(self, run: Run, journal: DataFrame | None = None) -> DataFrame:
         """The run's effects with sink: what the sink does with each (performed, read, suppressed, waiting), and its result.
@@ -57,20 +53,29 @@ class Strategy:
             past = journal.select("effect_key", F.col("result").alias("_past"))
             known = F.when(F.col("class") == READ, F.coalesce("_past", F.raise_error(F.concat(F.lit("the journal has no "), "effect_key")).cast("long")))
             return effects.join(past, "effect_key", "left").withColumn("result", known).drop("_past").withColumn("sink", F.when(goes, "suppressed").otherwise("waiting"))
-        done = F.when(F.col("class") == READ, "read").otherwise("performed")
-        sink = F.when(is_write(F.col("class")), "suppressed").otherwise(done) if self.suppresses_writes else done
+        read, write = SINKS[self.name]
+        pure = "suppressed" if write == "suppressed" and read == "suppressed" else "performed"
+        sink = F.when(F.col("class") == READ, read).when(is_write(F.col("class")), write).otherwise(pure)
         return effects.withColumn("sink", F.when(goes, sink).otherwise("waiting"))
 
 
-def contract_events(run: Run) -> DataFrame:
-    """execution_id, sequence, event: what happened, in the plan's order and without times, so that strategies compare."""
+def contract_events(run: Run, issued: DataFrame | None = None) -> DataFrame:
+    """execution_id, sequence, event: what happened, in the plan's order and without times, so that strategies compare. With what a
+    strategy issued, an effect's event ends in what the sink did."""
     futures = run.futures().select("execution_id", F.lit(1).alias("_at"), "path", F.lit(0).cast("long").alias("_n"), F.concat_ws(" ", F.lit("future"), "path", "status", F.col("score").cast("string")).alias("event"))
-    effects = run.effects().select("execution_id", F.lit(0).alias("_at"), "path", F.col("ordinal").alias("_n"), F.concat_ws(" ", F.lit("effect"), "effect_key", "class", "disposition", F.col("result").cast("string")).alias("event"))
+    sink = [] if issued is None else ["sink"]
+    effects = (run.effects() if issued is None else issued).select("execution_id", F.lit(0).alias("_at"), "path", F.col("ordinal").alias("_n"), F.concat_ws(" ", F.lit("effect"), "effect_key", "class", "disposition", F.col("result").cast("string"), *sink).alias("event"))
     states = run.states().select("execution_id", F.lit(2).alias("_at"), F.col("key").alias("path"), F.lit(0).cast("long").alias("_n"), F.concat(F.lit("state "), "key", F.lit("="), F.col("value").cast("string")).alias("event"))
     together = effects.unionByName(futures).unionByName(states).groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct("_at", "path", "_n", "event"))).alias("es"))
     return together.select("execution_id", F.posexplode("es").alias("sequence", "e")).select("execution_id", F.col("sequence").cast("long").alias("sequence"), "e.event")
 
 
+def compare(run: Run, a: Strategy, b: Strategy, journal: DataFrame | None = None) -> DataFrame:
+    """execution_id, sequence, event, side: events of two strategies' runs that only one of them has. Empty if they agree."""
+    told = lambda s: contract_events(run, s.issued(run, journal) if s.name == "replay" else s.issued(run))
+    return agreement(told(a), told(b))
+
+
 def outbox(issued: DataFrame, sent: DataFrame | None = None) -> DataFrame:
     """Writes to send now: performed or released, and not sent under the same key before; run again, none is sent twice."""
     due = issued.where((F.col("sink") == "performed") & is_write(F.col("class")))
