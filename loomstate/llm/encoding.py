@@ -18,7 +18,7 @@ import re
 from array import array
 from functools import lru_cache
 
-KEPT_PIECES, KEPT_LENGTH = 250_000, 80
+KEPT_PIECES, KEPT_LENGTH = 100_000, 80
 #: Python takes these for white space, Unicode doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 #: A cut where a single space, with a character before and after it, begins a piece.

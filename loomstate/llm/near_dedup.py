@@ -41,7 +41,7 @@ BROADCAST_IDS = 2_000_000
 #: Samples beside a band's rows, so that a pair just at the threshold is missed this often at most.
 MISS = 1e-7
 #: A word cache's entries in each worker.
-WORDS = 500_000
+WORDS = 150_000
 #: Rows of a part of the graph's tables, and parts at least: a round over few links shouldn't write as many files as a large shuffle has.
 PART_ROWS, PARTS = 100_000, 8
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
