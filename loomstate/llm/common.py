@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_path, stored
+
+__all__ = ["batches", "column_of", "columns_of", "fold", "ints_as_lists", "read_table", "scratch_path", "stored", "text_column", "texts_of"]
 #: Rows that one Arrow batch brings to a Python worker; with long texts the default of 10,000 is too much memory.
 ARROW_ROWS = 1024
 #: ASCII white space, as every word pattern of the operators has it.
@@ -23,29 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if shared:
-        return shared.rstrip("/")
-    if not sc.master.startswith("local") or "cluster" in sc.master:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstate-"))
-    return sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends here, and it survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column | str, of: int = 5) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

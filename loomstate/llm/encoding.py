@@ -1,11 +1,11 @@
 """Token ids of whole texts by the tokenizers library, piece by piece where that is exactly the same.
 
-Both vocabularies split a text before they merge, and never across the cuts made here: the byte-level pattern
-starts a new piece at a single space between two non-space characters and at a single newline between two; the
-word vocabulary drops white space altogether. So each distinct part goes through the library once for each worker
-and is then a look-up; a text that has anything else around its spaces goes to the library in larger parts. A new
-part whose characters are all below U+0250, where no normal form changes anything, is split here by the same pattern
-and its pieces go straight to the library's merges. Both caches are bounded by their number of entries.
+Both vocabularies split a text by a pattern before they merge. A text whose characters are all below U+0250, where no normal
+form changes anything and letters, numbers and white space are few ranges, is split here by the same pattern, and each
+distinct piece goes through the library's merges once for each worker and is then a look-up. Any other text is cut where
+the pattern cuts whatever stands there: at white space for the word vocabulary; for the byte-level one before a single space
+between two other characters and around a single newline between two; what is between the cuts is encoded by the library. The
+caches are bounded by their number of entries.
 
 The library finds the vocabulary's added tokens in a text before it splits it, wherever they stand; a text with the marks
 that these begin with goes to the library whole. `added=False` takes their strings for ordinary text.
@@ -18,7 +18,9 @@ import re
 from array import array
 from functools import lru_cache
 
-KEPT_PIECES, KEPT_LENGTH = 100_000, 80
+KEPT_PIECES, KEPT_LENGTH = 250_000, 80
+#: A piece of more characters goes to the library as a text.
+LONG_PIECE = 1000
 #: Python takes these for white space, Unicode doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 #: A cut where a single space, with a character before and after it, begins a piece.
@@ -28,9 +30,10 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Below U+0250: letters, numbers and white space, as the patterns' classes have them.
 LETTERS, NUMBERS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: The splits of the two vocabularies, for parts without white space inside.
+BEYOND = re.compile("[^\x00-\u024f]")
+#: The splits of the two vocabularies.
 WORD_SPLIT = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
-BYTE_SPLIT = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+")
+BYTE_SPLIT = re.compile(f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,15 +46,22 @@ def byte_letters() -> dict[int, str]:
 class Merged(dict):
     """A piece of the split to its ids, by the library's merges."""
 
-    def __init__(self, library):
+    def __init__(self, library, whole):
         super().__init__()
-        self.model, self.letters = library.model, byte_letters()
+        self.tokenize, self.whole, self.letters = library.model.tokenize, whole, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        letters = "".join([self.letters[b] for b in piece.encode()])
-        found = self[piece] = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        if len(piece) > LONG_PIECE:
+            return self.whole(piece)
+        if piece.isascii() and piece.isprintable() and " " not in piece[1:]:
+            letters = piece if piece[0] != " " else self.letters[32] + piece[1:]
+        else:
+            letters = "".join([self.letters[b] for b in piece.encode()])
+        found = array("I", [x.id for x in self.tokenize(letters)]).tobytes()
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -92,7 +102,7 @@ class Encoder:
         self.library, self.spaces = Tokenizer.from_file(path), spaces
         self.library.encode_special_tokens = not added
         self.marks = {begins(t.content) for t in self.library.get_added_tokens_decoder().values()} if added else set()
-        self.merged, self.split = Merged(self.library), (BYTE_SPLIT if spaces else WORD_SPLIT).findall
+        self.merged, self.split = Merged(self.library, self.whole), (BYTE_SPLIT if spaces else WORD_SPLIT).findall
         self.first, self.later, self.parts = Pieces(self.part), Pieces(self.part, " "), Pieces(self.whole, whole=True)
 
     def whole(self, text: str) -> bytes:
@@ -109,6 +119,8 @@ class Encoder:
             return b""
         if any(mark in text for mark in self.marks):
             return self.whole(text)
+        if text.isascii() or not BEYOND.search(text):
+            return b"".join(map(self.merged.__getitem__, self.split(text if self.spaces else text.lower())))
         if not self.spaces:
             if ODD.search(text):
                 return self.whole(text)
