@@ -167,7 +167,10 @@ def test_selection_ties_and_refusals(spark):
     assert pick("first_by_identity") == {1: 4, 2: 1}
     assert pick("only_without_irreversible") == {2: 1}
     done = selecting.settle(c, selecting.select_future(c, "highest_score"))
-    assert rows(done.where("execution_id = 1").select("future_id", "status"), "future_id") == [(2, "failed"), (4, "committed"), (7, "rejected")]
+    assert rows(done.where("execution_id = 1").select("future_id", "status", "before"), "future_id") == [(2, "rejected", "failed"), (4, "committed", "evaluable"), (7, "rejected", "evaluable")]
+    assert rows(selecting.settle(c, selecting.select_future(c, F.lit(None))).select("status", "before").distinct(), "status") == [("evaluable", "evaluable"), ("failed", "failed")]
+    waiting = spark.createDataFrame([(1, 5, "running", 7), (1, 3, "running", 7), (1, 1, "blocked", 0), (1, 2, "failed", 0), (2, 1, "committed", 0)], "execution_id long, future_id long, status string, ready_at long")
+    assert rows(selecting.next_runnable(waiting)) == [(1, 3)]
 
 
 def test_effects(spark):
@@ -177,6 +180,32 @@ def test_effects(spark):
     assert rows(effects.first_results(tries), "effect_key") == [("k", 1, "read", 21, 1), ("w", 3, "irreversible", None, 0)]
 
 
+def test_attempts_and_journal(spark):
+    schema = "effect_key string, seq long, class string, args long, deferred boolean"
+    tries = spark.createDataFrame([("k", 1, "read", 10, False), ("k", 2, "read", 99, False), ("k", 3, "read", 7, False), ("w", 4, "irreversible", 1, False), ("w", 5, "irreversible", 1, False)], schema)
+    found = effects.attempt_log(tries, fails_once=F.col("effect_key") == "k").select("seq", "outcome", "result")
+    assert rows(found, "seq") == [(1, "failed", None), (2, "performed", 199), (3, "repeated", 199), (4, "performed", None), (5, "repeated", None)]
+    assert rows(effects.first_results(tries, bias=0).select("effect_key", "result"), "effect_key") == [("k", 20), ("w", None)]
+    intents = spark.createDataFrame([("a", 1, "irreversible", 5, True), ("a", 2, "irreversible", 6, True), ("b", 3, "read", 1, False), ("b", 4, "read", 2, False), ("b", 5, "irreversible", 3, True)], schema)
+    assert rows(effects.journal(intents).select("effect_key", "args", "deferred"), "effect_key") == [("a", 5, True), ("b", 2, False)]
+    assert rows(effects.journal(intents, intents.where("effect_key = 'a'")).select("effect_key", "deferred"), "effect_key") == [("a", False), ("b", False)]
+
+
+def test_lineage_removes_what_is_below(spark):
+    tree = spark.createDataFrame([(1, p, "evaluable") for p in ([], [0], [1], [0, 0], [0, 1], [1, 0], [0, 1, 2])], "execution_id long, path array<int>, status string")
+    gone = spark.createDataFrame([(1, [0, 1]), (2, [1])], "execution_id long, path array<int>")
+    assert sorted(r["path"] for r in lineage.remove(tree, gone).collect()) == [[], [0], [0, 0], [1], [1, 0]]
+    assert rows(lineage.alternatives(tree).select("parent", "arms", "settled"), "parent") == [([], 2, True), ([0], 2, True), ([0, 1], 1, True), ([1], 1, True)]
+
+
+def test_costs(spark):
+    told = spark.createDataFrame([(1, 0, "step", 9000), (1, 1, "step", 2500), (2, 0, "step", 0), (2, 1, "settled", 900)], "execution_id long, sequence long, kind string, at_us long")
+    assert rows(logs.cost_ms(told, ["execution_id"]), "execution_id") == [(1, 2), (2, 1)]
+    sizes = spark.range(178).selectExpr("1L as execution_id", "id as sequence", "22L as size")
+    cost = lambda n: rows(logs.group_commit(sizes, ["execution_id"], n, flush_us=5000))[0]
+    assert cost(1) == (1, 178, 3916, 902_460, 1) and cost(8)[1:] == (23, 3916, 23 * 5070, 8) and cost(1000)[1] == 1
+
+
 def test_log_prefixes(spark):
     f = spark.createDataFrame([(1, i, 10, i != 3) for i in range(5)], "execution_id long, seq long, size long, valid boolean")
     assert [r["seq"] for r in logs.valid_prefix(f).orderBy("seq").collect()] == [0, 1, 2]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomstate.operators import logs
 from loomstate.plans import Plan, PlanError, Run
-from loomstate.plans.strategies import Strategy, contract_events, outbox
+from loomstate.plans.strategies import Strategy, compare, contract_events, outbox
 
 
 def delivery():
@@ -44,3 +44,14 @@ def test_events_are_in_order(spark):
     found = [r["event"] for r in contract_events(run).orderBy("sequence").collect()]
     assert found[:2] == ["effect e7/0.e0 read performed 2", "effect e7/0.e1 irreversible deferred"] and found[6:9] == ["future 0 rejected 10", "future 1 committed 20", "future 2 rejected 15"]
     assert found[9:] == ["state fulfilled=1", "state order=7", "state quoted=4", "state score=20"]
+
+
+def test_comparison(spark):
+    """Arms that run ahead change nothing; a world that is only watched gets no write; a past run needs no world."""
+    run = Run(delivery(), spark.range(1, 4).withColumnRenamed("id", "execution_id"))
+    own = Strategy("deterministic")
+    assert compare(run, own, Strategy("speculative", 3)).count() == 0
+    told = sorted((r["event"].split()[1], r["event"].split()[-1], r["side"]) for r in compare(run, own, Strategy("observe")).collect())
+    assert told == sorted((f"e{i}/1.e1", sink, side) for i in (1, 2, 3) for sink, side in (("performed", "a"), ("suppressed", "b")))
+    journal = own.issued(run).select("effect_key", "result")
+    assert compare(run, Strategy("observe"), Strategy("replay"), journal).where("event not like '%read%'").count() == 0
