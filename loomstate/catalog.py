@@ -812,12 +812,12 @@ def contract_dedupe(spark, d):
 HOUR = 3_600_000
 #: tenant, contract, trigger, where, expects, forbids, deadline, the contract whose breach opens it
 CONTRACTS = (
-    ("t0", "onboarding", "signup", {"parity": "0"}, [("purchase", 12 * HOUR, True), ("view", 6 * HOUR, False), ("click", 30 * HOUR, False)], [("error", 2)], 24 * HOUR, None),
-    ("t1", "onboarding", "signup", None, [("purchase", 20 * HOUR, True)], [("error", 9), ("purchase", 3)], None, None),
+    ("t0", "onboarding", "signup", {"parity": "0"}, [("purchase", 12 * HOUR, True), ("view", 6 * HOUR, False), ("click", 30 * HOUR, False)], [("error", 14)], 24 * HOUR, None),
+    ("t1", "onboarding", "signup", None, [("purchase", 60 * HOUR, True)], [("error", 15), ("purchase", 16)], None, None),
     ("t0", "care", "error", {"kind": "error", "parity": "1"}, [("click", 8 * HOUR, True)], [], None, None),
-    ("t0", "recovery", None, None, [("purchase", 48 * HOUR, True), ("purchase", 5 * HOUR, False)], [("signup", 4)], None, "onboarding"),
+    ("t0", "recovery", None, None, [("purchase", 96 * HOUR, True), ("purchase", 72 * HOUR, False)], [("signup", 12)], None, "onboarding"),
     ("t0", "alarm", None, None, [("view", 3 * HOUR, True)], [], None, "recovery"),
-    ("t2", "audit", "purchase", None, [], [("error", 4)], None, None),
+    ("t2", "audit", "purchase", None, [], [("error", 12)], None, None),
 )
 
 
