@@ -7,7 +7,7 @@ position that is refused is an error of the job, or a row of `refused`, which te
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ID = "execution_id"
@@ -77,3 +77,19 @@ def truncate_to(frames: DataFrame, positions: DataFrame) -> DataFrame:
 def rolled_back(frames: DataFrame) -> DataFrame:
     """What a crash leaves: the durable frames."""
     return frames.where("durable")
+
+
+def create(frames: DataFrame, path: str) -> None:
+    """Writes the durable frames as a new store at path; what was there is gone. A store's files are of whole logs' parts, by execution."""
+    rolled_back(frames).repartition(ID).sortWithinPartitions(ID, "seq").write.mode("overwrite").parquet(path)
+
+
+def extend(frames: DataFrame, path: str) -> None:
+    """Adds durable frames to the store at path, behind those that it has; none that it has already, so that a lost job may run again."""
+    held = open_store(frames.sparkSession, path).select(ID, "end_pos")
+    rolled_back(frames).join(held, [ID, "end_pos"], "left_anti").select(*FRAME).repartition(ID).sortWithinPartitions(ID, "seq").write.mode("append").parquet(path)
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The frames of the store at path, all durable."""
+    return spark.read.parquet(path).select(*FRAME)

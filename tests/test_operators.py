@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import duckdb
 import pytest
@@ -265,6 +266,23 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     assert rows(logs.agreement(found, batch)) == []
 
 
+@pytest.mark.parametrize("how", [{}, {"slide": "2 hours"}, {"gap": "5 hours"}])
+def test_streamed_windows(spark, tmp_path, how):
+    """Windows that the watermark has passed go out once, and are those of the batch; late events count nowhere."""
+    at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    files = [[(1, 1, at(0), 2.0), (2, 1, at(5), 3.0), (3, 2, at(1), 4.0)], [(4, 1, at(7), 5.0), (5, 2, at(20), 6.0)], [(9, 2, at(20.5), 1.0)], [(6, 1, at(2), 99.0), (7, 1, at(40), 7.0)], [(8, 2, at(80), 8.0)]]
+    schema = "event_id long, user_id long, ts timestamp, value double"
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    totals = lambda df: ledger_stream.windowed_totals(df, "user_id", "ts", "6 hours", "1 hour", **how)
+    found = ledger_stream.run_to_end(totals(stream), str(tmp_path / "check"), "append", f"windows{len(str(how))}")
+    in_time = spark.createDataFrame([r for part in files for r in part if r[0] != 6], schema)
+    due = totals(in_time).where(F.col("ends") <= F.lit(at(79)))
+    assert found.count() > 3 and rows(logs.agreement(found, due)) == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -47,3 +47,16 @@ def test_refusals(spark, action, f, position, why):
         f(frames(spark), at(spark, position)).collect()
     assert [tuple(r) for r in store.refused(frames(spark), at(spark, position), action).collect()] == [(1, position, why)]
     assert store.refused(frames(spark), at(spark, 0), action).count() == 0
+
+
+def test_files(spark, tmp_path):
+    """A store that is opened has what was durable; making it anew drops that, extending it doesn't, nor does it add a frame twice."""
+    path = str(tmp_path / "store")
+    store.create(frames(spark), path)
+    assert seqs(store.open_store(spark, path)) == [0, 1, 2]
+    more = store.commit_all(frames(spark))
+    store.extend(more, path)
+    store.extend(more, path)
+    assert seqs(store.open_store(spark, path)) == [0, 1, 2, 3, 4] and [tuple(r) for r in store.ends(store.open_store(spark, path)).collect()] == [(1, 50, 50)]
+    store.create(frames(spark, durable=(4,), waiting=()), path)
+    assert seqs(store.open_store(spark, path)) == [0]
