@@ -57,7 +57,7 @@ def test_ties_and_evaluators(spark):
 def test_failed_arm_and_refusals(spark):
     run = Run(Plan().fork(Plan().set("score", 5), Plan().fail("bad").set("score", 99)).select("highest_score").commit(), one(spark))
     assert state(run) == {"score": 5}
-    assert [r["status"] for r in run.futures().orderBy("path").collect()] == ["committed", "failed"]
+    assert [(r["status"], r["failed"]) for r in run.futures().orderBy("path").collect()] == [("committed", False), ("rejected", True)]
     for bad in (Plan(), Plan().fail(), Plan().select("cheapest"), Plan().fork(*arms(1, 2)).commit()):
         with pytest.raises(PlanError):
             Run(bad, one(spark))
