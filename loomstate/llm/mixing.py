@@ -6,7 +6,8 @@ proportion; as a node never gets more than its children can give together, a sho
 reaches the ancestors only when a whole subtree is used up. Each leaf then gives whole epochs, and of the next one the
 prefix, in an order seeded by epoch, whose tokens fit its budget.
 
-The prefix is found by hashed ranges: tokens are summed by leaf and range, a bounded table; only the range in which
+The prefix is found by hashed ranges: tokens are summed by leaf and range, a bounded table, and added up by 64 wide ranges
+first and inside these then, so that a task orders 64 rows of a leaf at most; only the range in which
 a leaf's budget ends is ordered by row, and gives the leaf's threshold; the rows themselves are only filtered.
 
 Defined results: null domain, language or source count as empty text; null or empty texts have one token; a null
@@ -89,9 +90,12 @@ def mix(docs: DataFrame, columns: list, domain: Column, share: float = SHARE, ep
     few = leaves.count() <= BROADCAST_LEAVES
     small = F.broadcast if few else lambda x: x
     hashed = slim.join(small(leaves), LEAF).where("rest > 0").withColumn("_h", ordering(F.col("full"), seed)).withColumn("_range", F.shiftright("_h", 48))
-    sums = hashed.groupBy(*LEAF, "rest", "_range").agg(F.sum("_t").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("_range"))
-    ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("_range", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
+    sums = hashed.groupBy(*LEAF, "rest", "_range").agg(F.sum("_t").alias("t")).withColumn("_wide", F.shiftright("_range", 6))
+    sums = stored(sums, "sums")
+    wide = sums.groupBy(*LEAF, "_wide").agg(F.sum("t").alias("s"))
+    wide = wide.select(*LEAF, "_wide", (F.sum("s").over(Window.partitionBy(*LEAF).orderBy("_wide")) - F.col("s")).alias("ahead"))
+    upto = F.col("ahead") + F.sum("t").over(Window.partitionBy(*LEAF, "_wide").orderBy("_range"))
+    ends = sums.join(wide, [*LEAF, "_wide"]).withColumn("upto", upto).where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("_range", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
     ends = stored(ends.select(*LEAF, F.col("e._range").alias("_end"), F.col("e.before").alias("before")), "ends")
     edge = hashed.join(small(ends), LEAF).where("_range = _end")
     reach = F.col("before") + F.sum("_t").over(Window.partitionBy(*LEAF).orderBy("_h", "_id"))
