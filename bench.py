@@ -1,4 +1,4 @@
-"""Times the headline queries after a warm-up, the least of RUNS runs each, and their CPU seconds; prints one JSON line.
+"""Times the headline queries after a warm-up, the least of BENCH_RUNS (2) runs each, and their CPU seconds; prints one JSON line.
 
 Queries that read ledgers or logs are timed over stored ones too (the names that end in `_stored`), so that making the input isn't
 counted, and so is one pass over the ledger (`ledger_pass`).
@@ -15,7 +15,7 @@ from loomstate.operators import rebuild
 from loomstate.sources import frames
 from loomstate.storage import stored
 
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = ["state_fold_affine", "state_fold_closed", "state_prefix_versions", "delta_coalesce", "three_way_merge", "select_highest_score", "effect_dedup", "effect_owed", "log_valid_prefix", "contract_outcomes", "plan_run_states", "plan_run_effects", "rebuild_states", "frame_read"]
 
 
@@ -44,7 +44,7 @@ def main() -> None:
     records = stored(catalog.orders_run(spark, where).records(), "records")
     logs = stored(catalog.hurt_logs(spark, where), "logs")
     runs = {name: lambda name=name: catalog.QUERIES[name](spark, where) for name in HEADLINE}
-    runs |= {"contract_multi": lambda: catalog.QUERIES["contract_multi"](spark, where), "ledger_pass": lambda: records, "rebuild_states_stored": lambda: rebuild.states(records), "frame_read_stored": lambda: frames.read_logs(logs, "user_id")}
+    runs |= {"ledger_pass": lambda: records, "rebuild_states_stored": lambda: rebuild.states(records), "frame_read_stored": lambda: frames.read_logs(logs, "user_id")}
     took, cpu = {}, {}
     for name, run in runs.items():
         times = []
