@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +14,46 @@ from pyspark.sql import functions as F
 
 from ..storage import scratch_path, stored
 
-__all__ = ["batches", "column_of", "columns_of", "fold", "ints_as_lists", "read_table", "scratch_path", "stored", "text_column", "texts_of"]
+__all__ = ["batches", "column_of", "columns_of", "fold", "give_back", "ints_as_lists", "lean", "read_table", "scratch_path", "stored", "text_column", "texts_of"]
 #: Rows that one Arrow batch brings to a Python worker; with long texts the default of 10,000 is too much memory.
 ARROW_ROWS = 1024
 #: ASCII white space, as every word pattern of the operators has it.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Seconds between two times that a worker gives memory back; each takes it a few milliseconds.
+GIVE_BACK_S = 0.1
+_given = 0.0
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def give_back(always: bool = False) -> None:
+    """Gives the system what this worker has freed; else its allocators keep the most that any batch took, for all stages to come."""
+    global _given
+    if always or time.monotonic() - _given >= GIVE_BACK_S:
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+        _given = time.monotonic()
+
+
+def lean(rows_of: Callable) -> Callable:
+    """A function over a task's Arrow batches that gives back what it has freed, after batches and at the end."""
+
+    @wraps(rows_of)
+    def rows(parts: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(parts, *args, **kwargs):
+            yield batch
+            del batch
+            give_back()
+        give_back(always=True)
+
+    return rows
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name; Spark reads it, so any store that Spark knows will do."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

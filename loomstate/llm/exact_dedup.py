@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, column_of, columns_of, read_table, stored, text_column, texts_of
+from .common import SPACES, column_of, columns_of, lean, read_table, stored, text_column, texts_of
 
 #: Bytes of labels that an input task's trie gathers before it passes them on, and that an owner's holds before it spills.
 LOCAL_BYTES, OWNER_BYTES = 24 << 20, 96 << 20
@@ -177,6 +177,7 @@ def _rows(items: Iterator[tuple[bytes, tuple]], name: Callable, schema: pa.Schem
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+@lean
 def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An input task's own trie; passed on and begun anew when it is full."""
     trie = PatriciaTrie()
@@ -189,6 +190,7 @@ def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(trie.items(), bytes, LOCAL)
 
 
+@lean
 def own(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The owner's trie over all that has been dealt to it."""
     trie = PatriciaTrie(OWNER_BYTES)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import column_of, columns_of, fold, read_table, text_column, texts_of
+from .common import column_of, columns_of, fold, lean, read_table, text_column, texts_of
 
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 65536
 STEPS, RATE, RIDGE = 250, 0.15, 1e-4
@@ -148,6 +148,7 @@ def score_texts(texts: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> tup
     return scores, lengths, np.add.reduceat((good < 0.5).astype(np.int64), first)
 
 
+@lean
 def score_rows(parts: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         texts = texts_of(batch, "_text")
@@ -157,6 +158,7 @@ def score_rows(parts: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([column_of(part, "_row"), *map(pa.array, found)], names=["_row", "score", "n_lines", "bad_lines"])
 
 
+@lean
 def line_rows(parts: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         texts = texts_of(batch, "_text")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, columns_of, read_table, stored, text_column, texts_of
+from .common import column_of, columns_of, give_back, lean, read_table, stored, text_column, texts_of
 
 #: MinHash samples and bits of a sketch; members of a block, and shingles of all of them if these are shared out evenly.
 SAMPLES, BITS, BLOCK, BLOCK_SHINGLES = 384, 1024, 1024, 8_000_000
@@ -118,6 +118,7 @@ def set_key(items: np.ndarray) -> int:
     return int(mix(items ^ M1).sum().view(np.int64))
 
 
+@lean
 def feature_rows(parts: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     seen: dict[tuple, tuple] = {}
     for batch in parts:
@@ -143,6 +144,7 @@ def feature_rows(parts: Iterator[pa.RecordBatch], width: int, bands: int, rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
 
+@lean
 def set_rows(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The full sets by node, each once from a task."""
     told: set[tuple] = set()
@@ -158,6 +160,7 @@ def set_rows(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(found, ["id", "key"]), pa.array(sets, pa.binary())], names=["rep", "items"])
 
 
+@lean
 def confirm_rows(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         pairs = zip(column_of(batch, "items_a").to_pylist(), column_of(batch, "items_b").to_pylist(), strict=True)
@@ -199,6 +202,7 @@ def with_candidates(percent: int, most: int):
         for i in block.left.tolist():
             if len(js := block.candidates(i)):
                 some[i] = some[js] = True
+        give_back()
         return table.filter(pa.array(some))
 
     return members
@@ -233,6 +237,8 @@ def linked_in_block(table: pa.Table, percent: int, most: int) -> pa.Table:
             if a != b and alike(whole(i), whole(j), percent):
                 parent[max(a, b)] = min(a, b)
                 found.append((i, j))
+    del sets
+    give_back()
     of = lambda k: pa.StructArray.from_arrays([table.column(c).take(pa.array([x[k] for x in found], pa.int64())).combine_chunks() for c in ("rep_id", "rep_key")], ["id", "key"])
     return pa.table({"a": of(0), "b": of(1)})
 

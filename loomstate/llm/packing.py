@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, read_table, stored, text_column, texts_of
+from .common import column_of, lean, read_table, stored, text_column, texts_of
 from .encoding import encoder, vocabulary
 
 ROOM, END_ID = 1024, 0
@@ -32,6 +32,7 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@lean
 def cut_rows(parts: Iterator[pa.RecordBatch], path: str, room: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path, True), np.array([end_id], "<u4").tobytes()
     for batch in parts:
@@ -89,6 +90,7 @@ def segments(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, n
     return tuple(np.array(c, np.int64) for c in zip(*sorted(rows), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
+@lean
 def assign_rows(parts: Iterator[pa.RecordBatch], plan, with_ids: bool) -> Iterator[pa.RecordBatch]:
     first, before, (keys, lows, firsts, offsets) = plan.value
     for batch in parts:
